@@ -55,14 +55,14 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text
 
 # CRC-32 in SQL: the 256-entry table from its rule (polynomial 0xEDB88320), then one step a byte.
 ORACLE = """
-WITH step AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], (c, z) -> xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)),
+WITH step AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)),
 sized AS (
   SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size FROM documents),
 summed AS (
   SELECT doc_id, size,
          xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(text)), 2 * k - 1, 2))::BIGINT FOR k IN range(1, size)]),
-                         (c, b) -> xor(c >> 8, (SELECT t FROM step)[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
-  FROM sized),
+                         lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
+  FROM sized, step),
 placed AS (
   SELECT *, sum(size) OVER w - size AS start, sum(size) OVER () AS total, row_number() OVER w - 1 AS pos
   FROM summed WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),

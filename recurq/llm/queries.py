@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, secret_scan, sharding, simhash, token_counts
+from . import decontaminate, exact_dedup, language_id, secret_scan, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), _byte_bpe)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_simhash_near_dedup, op5_exact_dedup, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan, op4_simhash_near_dedup, op5_exact_dedup, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

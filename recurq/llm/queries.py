@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, packing, secret_scan, sharding, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, language_id, packing, secret_scan, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     return toxicity.severities(documents, toxicity.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -57,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan, op4_simhash_near_dedup, op5_exact_dedup, op7_toxicity, op8_best_fit_packing, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan, op4_simhash_near_dedup, op5_exact_dedup, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

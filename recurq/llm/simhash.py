@@ -230,12 +230,31 @@ def hamming_components(distinct: DataFrame, radius: int = 4, block_rows: int = 1
     return connected_components(written(forests, "forests"))
 
 
+def _classes(marked: DataFrame, radius: int, **search: int) -> DataFrame:
+    """(fp, component, least) of the distinct fingerprints of a written table with doc_id and fp."""
+    vertices = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
+    found = hamming_components(vertices.select("fp"), radius, **search)
+    return vertices.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", **search: int) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable)."""
     marked = written(fingerprints(df, id_col, text_col), "fingerprints")
-    vertices = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
-    found = hamming_components(vertices.select("fp"), radius, **search)
-    classes = vertices.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = _classes(marked, radius, **search)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     per_fp = written(classes.join(least, "component").select("fp", "component_id"), "per-fingerprint")
     return marked.join(maybe_broadcast(per_fp, 200_000), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", **search: int) -> DataFrame:
+    """The rows of ``df`` that have the least id of their component, one for each component, with all their columns.
+
+    Rows with equal ids are told apart by their text; rows equal in both stay or go together.
+    """
+    row = F.xxhash64(F.col(text_col).cast("string"))
+    keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row.alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = written(fingerprints(keyed, "doc_id", "text"), "fingerprints")
+    classes = written(_classes(marked, radius, **search), "classes")
+    stay = classes.groupBy("component").agg(F.min("least").alias("least")).select("least")
+    go = written(marked.join(stay, marked["doc_id"] == F.col("least"), "left_anti").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.row").alias("__row")).distinct(), "near-copies")
+    return df.join(maybe_broadcast(go), df[id_col].eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left_anti")

@@ -1,0 +1 @@
+"""recurq: recurring questions from chat conversations, on Spark DataFrames."""

@@ -91,7 +91,7 @@ def evidence_support(intent: Column, statement: Column, question: Column, answer
     blank = lambda x: F.coalesce(x, F.lit(""))
     said = F.concat_ws(" ", *[T.normalize_text(blank(x)) for x in (intent, statement, question, answer)])
     qs = F.filter(F.transform(questions, T.clean_question_evidence), lambda x: x != "")
-    ans = F.filter(F.transform(answers, T.clean_answer_evidence), lambda x: x != "")
+    ans = F.filter(F.transform(answers, lambda a: T.clean_answer_evidence(a)), lambda x: x != "")
     evidence = F.array_join(F.concat(qs, ans), " ")
     folded_said, folded_evidence = T.fold_text(said), T.fold_text(evidence)
     q_tokens, a_tokens = T.support_tokens(question), T.support_tokens(F.concat_ws(" ", blank(statement), answer))

@@ -66,7 +66,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_faqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr(
-        "concat('faq-', item_id) AS id", "concat('agent-', item_id % 7, '-0') AS agent_id", "text AS question", "CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 5 = 1 THEN ' ' ELSE upper(text) END AS answer",
+        "concat('faq-', item_id) AS id", "concat('agent-', item_id % 7, '-0') AS agent_id", "text AS question", "CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 5 = 1 THEN ' ' ELSE concat('R. ', text) END AS answer",
         "CASE WHEN item_id % 4 = 0 THEN timestamp_ntz'2024-02-01 00:00:00' END AS deleted_at",
     )
 
@@ -83,5 +83,5 @@ raw_messages AS (SELECT conv_id, turn, 'msg-' || (conv_id * 100 + turn) AS id, c
   CASE WHEN turn % 3 = 0 THEN 'note' ELSE 'text' END AS message_type, TIMESTAMP '2024-01-01' + conv_id * INTERVAL 1 HOUR + turn * INTERVAL 1 MINUTE AS created_at,
   CASE WHEN conv_id % 8 < 6 THEN nullif(trim(text, ' '), '') END AS content_text, conv_id % 8 AS shape FROM conversations),
 raw_faqs AS (SELECT 'faq-' || item_id AS id, 'agent-' || (item_id % 7) || '-0' AS agent_id, text AS question,
-  CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 5 = 1 THEN ' ' ELSE upper(text) END AS answer, CASE WHEN item_id % 4 = 0 THEN TIMESTAMP '2024-02-01' END AS deleted_at FROM benchmark)
+  CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 5 = 1 THEN ' ' ELSE 'R. ' || text END AS answer, CASE WHEN item_id % 4 = 0 THEN TIMESTAMP '2024-02-01' END AS deleted_at FROM benchmark)
 """

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +58,6 @@ def fold_text(x: Column | str) -> Column:
 
 def fold_text_udf():
     """Full compatibility folding, vectorised over Arrow batches, for scripts beyond Latin."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         def one(t):

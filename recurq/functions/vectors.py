@@ -88,7 +88,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: st
             return pd.DataFrame({"a": [], "b": [], "sim": []})
         sims = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
         x, y = np.nonzero(sims >= least)
-        a, b = left["k"].to_numpy()[x], right["k"].to_numpy()[y]
+        a, b = np.array(left["k"].tolist())[x], np.array(right["k"].tolist())[y]
         keep = a < b if i == j else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sims[x, y][keep]})
 
@@ -109,7 +109,7 @@ def nearest(queries: DataFrame, known: DataFrame, key: str, vector: str, within:
         if left.empty or right.empty:
             return pd.DataFrame({"k": [], "best": []})
         sims = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
-        return pd.DataFrame({"k": left["k"], "best": sims.max(axis=1)})
+        return pd.DataFrame({"k": left["k"].tolist(), "best": sims.max(axis=1)})
 
     found = q.groupBy("g", "bucket").cogroup(k.groupBy("g", "bucket")).applyInPandas(best, f"k {kind}, best double")
     top = found.groupBy("k").agg(F.max("best").alias("best"))

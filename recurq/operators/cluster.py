@@ -214,7 +214,7 @@ def cluster_by(df: DataFrame, group: str, key: str, vector: str, s: Settings, ru
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("k", kind="stable")
         labels, algorithm = run(np.stack(part["v"].to_list()), s)
-        return pd.DataFrame({"g": part["g"], "k": part["k"], "label": labels.astype(np.int32), "algorithm": algorithm})
+        return pd.DataFrame({"g": part["g"].tolist(), "k": part["k"].tolist(), "label": labels.astype(np.int32), "algorithm": algorithm})
 
     rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), as_double(vector).alias("v"))
     return rows.groupBy("g").applyInPandas(one, f"g {types[group]}, k {types[key]}, label int, algorithm string").withColumnsRenamed({"g": group, "k": key})

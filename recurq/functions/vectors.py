@@ -85,7 +85,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: st
         i, j = part["i"].iloc[0], part["j"].iloc[0]
         left, right = part[part["own"] == i], part[part["own"] == j]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
+            return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object), "sim": pd.Series([], dtype=float)})
         sims = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
         x, y = np.nonzero(sims >= least)
         a, b = np.array(left["k"].tolist())[x], np.array(right["k"].tolist())[y]
@@ -107,9 +107,9 @@ def nearest(queries: DataFrame, known: DataFrame, key: str, vector: str, within:
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"k": [], "best": []})
+            return pd.DataFrame({"k": pd.Series([], dtype=object), "best": pd.Series([], dtype=float)})
         sims = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
-        return pd.DataFrame({"k": left["k"].tolist(), "best": sims.max(axis=1)})
+        return pd.DataFrame({"k": pd.Series(left["k"].tolist(), dtype=object), "best": sims.max(axis=1)})
 
     found = q.groupBy("g", "bucket").cogroup(k.groupBy("g", "bucket")).applyInPandas(best, f"k {kind}, best double")
     top = found.groupBy("k").agg(F.max("best").alias("best"))

@@ -18,6 +18,7 @@ from recurq.config import Settings
 from recurq.functions import lexicon as L
 from recurq.functions import text as T
 from recurq.operators import quality as Q
+from recurq.sources.shared import written
 
 GENERATION = "publish boolean, cluster_intent_statement string, knowledge_statement string, canonical_question string, canonical_answer string, confidence double, reason string"
 _REQUIRED = {"publish": bool, "canonical_question": str, "canonical_answer": str, "confidence": (int, float), "reason": str}
@@ -133,39 +134,48 @@ def intent_statement(questions: Column) -> Column:
     )
 
 
-def template_generation(questions: Column, answers: Column, representative: Column) -> Column:
-    """The deterministic generator: the cleaned representative as question, the first usable answer or a prudent one."""
-    categories = Q.intents_of(questions)
-    usable = F.filter(F.transform(answers, lambda a: T.clean_canonical_answer(a)), lambda a: Q.is_valid_answer(a))
-    answer = F.coalesce(F.get(usable, F.lit(0)), prudent_answer(questions, categories))
-    own = T.clean_canonical_question(representative)
-    question = F.when(Q.is_valid_question(own), own).otherwise(F.coalesce(prudent_question(questions, categories), own))
-    confidence = F.when(F.size(usable) > 0, 0.75).otherwise(0.55)
-    return F.struct(
-        (F.size(questions) >= 2).alias("publish"), intent_statement(questions).alias("cluster_intent_statement"), answer.alias("knowledge_statement"), question.alias("canonical_question"),
-        answer.alias("canonical_answer"), confidence.alias("confidence"), F.lit("template").alias("reason"),
+def with_template(clusters: DataFrame) -> DataFrame:
+    """``clusters`` (questions, answers, representative) with ``generation`` of the deterministic generator: the cleaned
+    representative as question, the first usable answer or a prudent one; and ``categories``, ``prudent_answer``,
+    ``prudent_question``. Rows are few, one a cluster, so each step is a small table that the next one reads."""
+    q = F.col("questions")
+    rows = written(
+        clusters.withColumn("categories", Q.intents_of(q)).withColumn("clean_answers", F.transform("answers", lambda a: T.clean_canonical_answer(a)))
+        .withColumn("own_question", T.clean_canonical_question("representative")).withColumn("intent_statement", intent_statement(q)), "cleaned",
     )
+    rows = written(
+        rows.withColumn("usable", F.filter("clean_answers", lambda a: Q.is_valid_answer(a))).withColumn("own_valid", Q.is_valid_question(F.col("own_question")))
+        .withColumn("prudent_answer", prudent_answer(q, F.col("categories"))).withColumn("prudent_question", prudent_question(q, F.col("categories"))), "prudent",
+    )
+    answer = F.coalesce(F.get("usable", F.lit(0)), "prudent_answer")
+    question = F.when(F.col("own_valid"), F.col("own_question")).otherwise(F.coalesce("prudent_question", "own_question"))
+    generation = F.struct(
+        (F.size(q) >= 2).alias("publish"), F.col("intent_statement").alias("cluster_intent_statement"), answer.alias("knowledge_statement"), question.alias("canonical_question"),
+        answer.alias("canonical_answer"), F.when(F.size("usable") > 0, 0.75).otherwise(0.55).alias("confidence"), F.lit("template").alias("reason"),
+    )
+    return written(rows.withColumn("generation", generation).drop("clean_answers", "own_question", "own_valid", "usable", "intent_statement"), "generated")
 
 
 def recovered(clusters: DataFrame, s: Settings) -> DataFrame:
-    """Stages after generation, on rows with ``generation``, ``questions``, ``answers``: ``evidence``, then a prudent answer
-    where evidence is missing, then validation; ``generation_reject`` stays null for what can go on."""
+    """Stages after generation, on rows as ``with_template`` leaves them: ``evidence``, then a prudent answer where evidence
+    is missing, then validation; ``generation_reject`` stays null for what can go on."""
     g = F.col("generation")
     support = Q.evidence_support(g["cluster_intent_statement"], g["knowledge_statement"], g["canonical_question"], g["canonical_answer"], F.col("questions"), F.col("answers"))
-    staged = clusters.withColumn("evidence", support).withColumn("categories", Q.intents_of(F.col("questions")))
-    prudent, asked = prudent_answer(F.col("questions"), F.col("categories")), prudent_question(F.col("questions"), F.col("categories"))
-    question = F.when(Q.is_valid_question(g["canonical_question"], s), g["canonical_question"]).otherwise(asked)
-    can = F.col("evidence.hard_reject") & g["publish"] & (F.size("categories") > 0) & Q.is_valid_answer(prudent, s) & Q.is_valid_question(question, s)
+    staged = written(
+        clusters.withColumn("evidence", support).withColumn("question_valid", Q.is_valid_question(g["canonical_question"], s))
+        .withColumn("prudent_valid", Q.is_valid_answer(F.col("prudent_answer"), s)).withColumn("asked_valid", Q.is_valid_question(F.col("prudent_question"), s)), "evidence",
+    )
+    can = F.col("evidence.hard_reject") & g["publish"] & (F.size("categories") > 0) & F.col("prudent_valid") & (F.col("question_valid") | F.col("asked_valid"))
     staged = staged.withColumn("recovered", F.coalesce(can, F.lit(False)))
-    fixed = (
-        g.withField("canonical_question", F.when(F.col("recovered"), question).otherwise(g["canonical_question"]))
-        .withField("canonical_answer", F.when(F.col("recovered"), prudent).otherwise(g["canonical_answer"]))
-        .withField("knowledge_statement", F.when(F.col("recovered"), prudent).otherwise(g["knowledge_statement"]))
-        .withField("confidence", F.when(F.col("recovered"), F.least(g["confidence"], F.lit(0.62))).otherwise(g["confidence"]))
-    )
-    staged = staged.withColumn("generation", fixed)
+    pick = lambda name, new: F.when(F.col("recovered"), new).otherwise(g[name]).alias(name)
+    asked = F.when(F.col("question_valid"), g["canonical_question"]).otherwise(F.col("prudent_question"))
+    fixed = F.struct(
+        g["publish"].alias("publish"), g["cluster_intent_statement"].alias("cluster_intent_statement"), pick("knowledge_statement", F.col("prudent_answer")), pick("canonical_question", asked),
+        pick("canonical_answer", F.col("prudent_answer")), pick("confidence", F.least(g["confidence"], F.lit(0.62))), g["reason"].alias("reason"),
+    )
+    staged = written(staged.withColumn("generation", fixed), "fixed")
     reason = F.when(F.col("evidence.hard_reject") & ~F.col("recovered"), F.col("evidence.reason")).otherwise(Q.generation_reject_reason(F.col("generation"), s))
-    staged = staged.withColumn("generation_reason", reason)
+    staged = written(staged.withColumn("generation_reason", reason), "validated")
     kind = Q.can_keep_for_review(F.col("generation.publish"), F.col("generation.canonical_question"), F.col("generation_reason"), s)
     kept = F.when(F.col("generation_reason").isNull(), F.lit("full_faq")).otherwise(kind)
     return staged.withColumn("candidate_kind", kept).withColumn("generation_reject", F.when(F.col("candidate_kind").isNull(), F.col("generation_reason")))

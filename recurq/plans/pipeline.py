@@ -34,7 +34,7 @@ def questions(messages: DataFrame, s: Settings, as_of: datetime.datetime | None
     kept = pairing.truncated(pairing.eligible(messages, as_of, s.look_back_days if as_of else None), "conversation_pk", "created_at", s.message_limit)
     found = pairing.pairs(kept, "conversation_pk", ["created_at", "message_pk"])
     clean = T.normalize_chat_text("user_text", s.strip_urls, s.strip_emojis)
-    return found.withColumn("clean", clean).withColumn("reject_reason", T.candidate_reject_reason(F.col("clean")))
+    return written(found.withColumn("clean", clean), "cleaned").withColumn("reject_reason", T.candidate_reject_reason(F.col("clean")))
 
 
 def cluster_rows(members: DataFrame, s: Settings) -> DataFrame:
@@ -51,9 +51,10 @@ def cluster_rows(members: DataFrame, s: Settings) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 10, F.struct("rank", "user_text", "similarity")))), lambda x: F.struct(x["user_text"].alias("text"), x["similarity"].alias("similarity"))).alias("examples"),
     )
     out = stats.join(texts, keys)
-    answers = F.filter(F.transform("raw_answers", lambda a: T.clean_answer_evidence(a)), T.is_answer_evidence_usable)
+    out = written(out.withColumn("clean_answers", F.transform("raw_answers", lambda a: T.clean_answer_evidence(a))), "answers")
+    answers = F.filter("clean_answers", T.is_answer_evidence_usable)
     distinct = F.array_distinct(F.filter(F.transform("questions", lambda q: T.normalize_question(T.clean_question_evidence(q))), lambda q: q != ""))
-    out = out.withColumn("answers", answers).withColumn("n_questions", F.size(distinct)).withColumn("categories", Q.intents_of(F.col("questions")))
+    out = written(out.withColumn("answers", answers).withColumn("n_questions", F.size(distinct)).withColumn("categories", Q.intents_of(F.col("questions"))), "evidence")
     mixed = Q.is_mixed(F.col("categories"))
     args = (F.col("size"), F.col("support"), F.col("cohesion"), mixed, s)
     few_questions = ~((F.col("n_questions") >= s.min_question_evidence) | ((F.col("n_questions") == 1) & (F.col("size") >= 3)))
@@ -65,13 +66,12 @@ def cluster_rows(members: DataFrame, s: Settings) -> DataFrame:
 
 def candidates_of(clusters: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     """All clusters through generation, evidence, validation, alignment and known FAQs; ``reject_reason`` says where one ended."""
-    rows = clusters.withColumn("generation", generate.template_generation(F.col("questions"), F.col("answers"), F.col("representative")))
-    staged = generate.recovered(rows, s)
+    staged = generate.recovered(generate.with_template(clusters), s)
     staged = staged.withColumn("candidate_id", F.md5(F.concat_ws("|", "workspace_id", "label", "representative")))
     embed = hash_embedding(s.embedding_dim)
     staged = written(staged.withColumn("question_vector", embed(T.fold_text(F.col("generation.canonical_question")))), "staged")
     fit = Q.alignment(F.col("generation.canonical_question"), F.col("questions"), dot(F.col("question_vector"), F.col("centroid")), F.col("average_similarity"), s)
-    staged = staged.withColumn("alignment", fit)
+    staged = written(staged.withColumn("alignment", fit), "aligned")
     named = staged.withColumn("question", F.col("generation.canonical_question"))
     faqs = written(known.select("workspace_id", "question", embed(T.fold_text("question")).alias("question_vector")), "known")
     marked = dedup.mark_known(named, faqs, "candidate_id", "question", "question_vector", "workspace_id", s.duplicate_threshold)

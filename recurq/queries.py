@@ -13,7 +13,7 @@ from recurq.functions import lexicon as L
 from recurq.functions import text as T
 from recurq.functions import vectors as V
 from recurq.operators import cluster as C
-from recurq.operators import dedup, generate, normalize, pairing, reports, review
+from recurq.operators import dedup, examples, generate, normalize, pairing, reports, review
 from recurq.operators import quality as Q
 from recurq.plans import pipeline
 from recurq.sources import chat, io
@@ -685,6 +685,35 @@ def run_metrics(spark, d):
     return io.unpivot_metrics(m.withColumn("average_size", F.col("messages") / F.col("conversations")))
 
 
+@query("WITH n AS (SELECT user_id % 20 AS g, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT g, event_type, n FROM n QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, f) = 1")
+def most_frequent_value(spark, d):
+    e = table(spark, d, "events").withColumn("g", F.expr("user_id % 20"))
+    return examples.most_frequent(e, ["g"], "event_type", "event_id")
+
+
+@query("SELECT workspace_id, len(list_distinct(list(text))) AS n, count(*) AS messages FROM (SELECT conv_id % 7 AS workspace_id, text FROM conversations WHERE role = 'user') GROUP BY 1")
+def user_text_spread(spark, d):
+    return said_by_users(spark, d).groupBy("workspace_id").agg(F.count_distinct("text").alias("n"), F.count(F.lit(1)).alias("messages"))
+
+
+@query()
+def support_examples(spark, d):
+    users = said_by_users(spark, d)
+    return examples.first_examples(users, ["workspace_id"], "text", "message_pk")
+
+
+@query()
+def ranked_support_examples(spark, d):
+    users = said_by_users(spark, d).withColumn("similarity", F.lit(0.5))
+    return examples.ranked_examples(users, ["workspace_id"], F.col("text"), "text", "similarity", "message_pk")
+
+
+@query()
+def common_answers(spark, d):
+    found = pairing.pairs(table(spark, d, "conversations"), "conv_id", ["turn"], "text").withColumn("workspace_id", F.expr("conv_id % 7"))
+    return examples.most_common_answer(found, ["workspace_id"], "assistant_text", "conv_id")
+
+
 def analysis(spark: SparkSession, d: str) -> pipeline.Run:
     c = Clean(spark, d)
     # documents repeat where conversations don't: each is a question, its reply the next conversation's text

@@ -16,8 +16,8 @@ from recurq.llm.shared import written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without a letter go."""
     model = language_id.train(docs)
-    marked = language_id.with_language(docs, model)
-    return marked.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    marked = language_id.with_language(docs, model, into=("__language", "__score"))
+    return marked.filter(F.col("__language") != language_id.UNDETERMINED).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ blocked Bloom filter of the hashes that occur at least twice: a hash selects one
 bits in it; (word, bits) pairs that two or more rows set are kept and their bits OR-ed into the word.
 Pass two tests every row against the filter. A repeated hash always hits; rows that miss are unique and
 pass straight through without a shuffle. Only the rows that hit shuffle, on their SHA-256, and are
-resolved exactly, so a false hit costs time and never a result.
+resolved exactly, so a false hit costs time and never a result. Groups of ``HOT_ROWS`` or more are few and are
+joined by broadcast, so that a hot text is not one task.
 
 The filter has ``2**filter_bits / 64`` words at most and is broadcast only when it has at most
 ``BROADCAST_ROWS`` non-empty words; beyond that the test is a shuffle join of digests.
@@ -27,6 +28,7 @@ from pyspark.sql.window import Window
 from .shared import maybe_broadcast, text_of, written
 
 FILTER_BITS = 31
+HOT_ROWS = 1000
 
 
 def word_of(h: Column, filter_bits: int = FILTER_BITS) -> Column:
@@ -46,20 +48,20 @@ def _bit(h: Column, at: int) -> Column:
 def repeated_filter(hashes: DataFrame, col: str = "h", filter_bits: int = FILTER_BITS) -> DataFrame:
     """Pass one: (word, bits) of all hashes that occur at least twice, and of a few that do not."""
     return (
-        hashes.select(word_of(F.col(col), filter_bits).alias("word"), bits_of(F.col(col)).alias("bits"))
-        .groupBy("word", "bits")
+        hashes.select(word_of(F.col(col), filter_bits).alias("__word"), bits_of(F.col(col)).alias("bits"))
+        .groupBy("__word", "bits")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .groupBy("word")
-        .agg(F.bit_or("bits").alias("filter_word"))
+        .groupBy("__word")
+        .agg(F.bit_or("bits").alias("__filter_word"))
     )
 
 
 def with_hits(df: DataFrame, filter_words: DataFrame, col: str = "h", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Pass two: ``possibly_repeated`` for each row."""
-    tested = df.withColumn("word", word_of(F.col(col), filter_bits)).join(filter_words, "word", "left")
+    """Pass two: ``__possibly_repeated`` for each row."""
+    tested = df.withColumn("__word", word_of(F.col(col), filter_bits)).join(filter_words, "__word", "left")
     bits = bits_of(F.col(col))
-    return tested.withColumn("possibly_repeated", F.coalesce(F.col("filter_word").bitwiseAND(bits) == bits, F.lit(False))).drop("word", "filter_word")
+    return tested.withColumn("__possibly_repeated", F.coalesce(F.col("__filter_word").bitwiseAND(bits) == bits, F.lit(False))).drop("__word", "__filter_word")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,10 +75,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     table = digests(df, id_col, text_col)
     filter_words = maybe_broadcast(written(repeated_filter(table, "h", filter_bits), "repeated"))
     tested = with_hits(table, filter_words, "h", filter_bits)
-    alone = tested.filter(~F.col("possibly_repeated")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    hits = tested.filter("possibly_repeated").select("doc_id", "sha")
-    groups = hits.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = hits.join(groups.hint("merge"), "sha")
+    alone = tested.filter(~F.col("__possibly_repeated")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    hits = tested.filter("__possibly_repeated").select("doc_id", "sha")
+    groups = written(hits.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    # A hot text meets its group by broadcast, so its rows don't go to one task; such groups are at most 1 / HOT_ROWS of the rows.
+    hot = maybe_broadcast(written(groups.filter(F.col("group_size") >= HOT_ROWS), "hot-groups"))
+    joined = hits.join(hot, "sha").unionByName(hits.join(hot, "sha", "left_anti").join(groups.hint("merge"), "sha"))
     largest = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # rows of one text that also share the largest id: exactly one stays
     first = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.lit(1)))
@@ -93,12 +97,12 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = written(marked.select("__h"), "hashes")
     filter_words = maybe_broadcast(written(repeated_filter(table, "__h"), "repeated"))
     tested = with_hits(marked, filter_words, "__h")
-    hits = tested.filter("possibly_repeated")
+    hits = tested.filter("__possibly_repeated")
     winners = hits.groupBy("__sha").agg(F.max(id_col).alias("__keep"))
     key = (F.col("__sha") == F.col("__wsha")) & F.col(id_col).eqNullSafe(F.col("__keep"))
     stay = hits.join(winners.withColumnRenamed("__sha", "__wsha"), key, "left_semi")
     stay = stay.withColumn("__n", F.row_number().over(Window.partitionBy("__sha", id_col).orderBy(F.lit(1)))).filter("__n = 1")
-    return tested.filter(~F.col("possibly_repeated")).select(df.columns).unionByName(stay.select(df.columns))
+    return tested.filter(~F.col("__possibly_repeated")).select(df.columns).unionByName(stay.select(df.columns))
 
 
 ORACLE = """

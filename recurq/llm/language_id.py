@@ -133,8 +133,8 @@ class Predictor:
         return self.model.languages[best], 1.0 / sum(math.exp((s - sums[best]) * scale) for s in sums)
 
 
-def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``."""
+def with_language(df: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with the predicted language and its score, in columns named by ``into``, which ``df`` must not have."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -143,9 +143,9 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
         predictor = Predictor(shared.value)
         for batch in batches:
             said = [predictor.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], names=[*names, *into])
 
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.mapInArrow(run, f"{schema}, `{into[0]}` string, `{into[1]}` double")
 
 
 def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training: int) -> DataFrame:

@@ -126,7 +126,7 @@ def best_fit(df: DataFrame, capacity: int = 8192, block_rows: int = 16_384, id_c
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets = pack(part["size"].to_numpy(), _codes(part["source"], False), _codes(part["cluster"], True), capacity)
-        return part[["doc_id", "piece", "start", "size"]].assign(bin=part["block"].to_numpy() * (1 << 32) + bins, offset=offsets)
+        return pd.DataFrame({c: part[c].tolist() for c in ("doc_id", "piece", "start", "size")}).assign(bin=part["block"].to_numpy() * (1 << 32) + bins, offset=offsets)
 
     # as text, hashes keep all their bits where a block has nulls
     pieces = pieces.withColumn("source", F.col("source").cast("string")).withColumn("cluster", F.col("cluster").cast("string"))

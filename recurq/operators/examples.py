@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recurq.functions import text as T
+from recurq.sources.shared import written
 
 UNSURE = "La informacion disponible no es suficiente para publicar una respuesta definitiva; se debe confirmar el procedimiento con el equipo responsable."
 
@@ -42,6 +43,6 @@ def most_frequent(df: DataFrame, keys: list[str], value: str, position: str) ->
 
 def most_common_answer(df: DataFrame, keys: list[str], answer: str, position: str) -> DataFrame:
     """The cleaned answer of 25 characters or more that is most common in each group, or a fixed sentence."""
-    clean = df.withColumn("answer", T.clean_faq_answer(answer))
+    clean = written(df.select(*keys, position, T.clean_faq_answer(answer).alias("answer")), "answers")
     found = most_frequent(clean.filter(F.char_length("answer") >= 25), keys, "answer", position)
     return df.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("answer", F.lit(UNSURE)).alias("answer"))

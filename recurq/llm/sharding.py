@@ -60,7 +60,7 @@ sized AS (
   SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size FROM documents),
 summed AS (
   SELECT doc_id, size,
-         xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(text)), 2 * k - 1, 2))::BIGINT FOR k IN range(1, size)]),
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || p)::BIGINT FOR p IN regexp_extract_all(hex(encode(text)), '..')]),
                          lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
   FROM sized, step),
 placed AS (

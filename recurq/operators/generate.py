@@ -97,10 +97,6 @@ def _product_focus(questions: Column) -> Column:
     return F.array_join(F.slice(kept, 1, 3), " ")
 
 
-def _ordered(rules: list, order: list[str | None]) -> list:
-    return [r for c in order for r in rules if r[0] == c]
-
-
 def prudent_answer(questions: Column, categories: Column) -> Column:
     """A cautious sentence for the first intent in order of payment, scheduling, shipping, product and price."""
     return _sentence(L.PRUDENT_ANSWERS, categories, T.fold_text(F.array_join(questions, " ")), _product_focus(questions))

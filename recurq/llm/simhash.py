@@ -205,7 +205,10 @@ def hamming_components(distinct: DataFrame, radius: int = 4, block_rows: int = 1
     rows = distinct.count()
     blocks = max(-(-rows // block_rows), min(least_blocks, -(-rows // 1000)), 1)
     ranked = distinct.select("fp", gray_rank_column("fp").alias("rank"))
-    ranked = written(ranked.repartitionByRange(blocks, "rank").withColumn("block", F.spark_partition_id()), "gray")
+    ranked = written(ranked.repartitionByRange(blocks, "rank").withColumn("part", F.spark_partition_id()), "gray")
+    parts = (ranked.agg(F.max("part")).first()[0] or 0) + 1
+    # neighbouring range partitions make a block, however many partitions the session made of them
+    ranked = ranked.withColumn("block", F.expr(f"cast(part * {min(blocks, parts)} div {parts} as int)")).drop("part")
     # Upper nodes: what all fingerprints of a block share. One row a block.
     uppers = ranked.groupBy("block").agg(F.bit_and("fp").alias("one"), F.bit_or("fp").alias("any"))
     i, j = uppers.select(*[F.col(c).alias(f"{c}_i") for c in uppers.columns]), uppers.select(*[F.col(c).alias(f"{c}_j") for c in uppers.columns])

@@ -1,64 +1,5 @@
-"""Shared-folder tables, bounded filters and helpers that several operators use."""
+"""Tables in the shared folder, as the operators of this subpackage use them."""
 
-from __future__ import annotations
+from recurq.sources.shared import BROADCAST_ROWS, drop_path, maybe_broadcast, new_path, shared_dir, small, text_of, written, written_at
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_own_dirs: dict[str, str] = {}
-
-#: A side is broadcast only when its row count, read from a written table, is at most this.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none, a local session gets a temporary folder; a cluster gets an error,
-    as a machine-local folder would lose data there.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = sc.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="recurq-")
-    return _own_dirs[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/recurq-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most ``rows`` rows (a metadata count for Parquet)."""
-    return df.count() <= rows
-
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a written table of a proven size; otherwise leave the shuffle join to the optimizer."""
-    return F.broadcast(df) if small(df, rows) else df.hint("merge")
-
-
-def text_of(col: str) -> Column:
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+__all__ = ["BROADCAST_ROWS", "drop_path", "maybe_broadcast", "new_path", "shared_dir", "small", "text_of", "written", "written_at"]

@@ -1,8 +1,8 @@
 """Clustering of unit vectors, by workspace: density, hierarchy, and the policy that picks between them.
 
-A workspace is a group of ``applyInPandas``, in blocked matrix products. A workspace too large for a task goes
-by ``components_at_scale``: the same density clustering at two samples, as similarity blocks and connected
-components.
+A workspace is a group of ``applyInPandas`` and must fit into a task; the hierarchies hold dense n x n distances.
+``components_at_scale`` is density clustering at two samples without that limit, as similarity blocks and connected
+components; callers choose it, nothing is routed to it.
 """
 
 from __future__ import annotations

@@ -716,8 +716,10 @@ def common_answers(spark, d):
 
 def analysis(spark: SparkSession, d: str) -> pipeline.Run:
     c = Clean(spark, d)
+    # no bound on messages here: that is truncate_conversations' part
+    s = Settings(min_support=0.3, reject_support=0.2, hard_reject_cohesion=0.1, algorithm="dbscan", eps=0.5, message_limit=max(1, c.msgs.count()))
     # documents repeat where conversations don't: each is a question, its reply the next conversation's text
-    return pipeline.run(c.msgs.select("conversation_pk", "message_pk", "workspace_id", "role", "content_text", "created_at"), dedup.known_faqs(c.faqs).filter("workspace_id IS NOT NULL"), Settings(min_support=0.3, reject_support=0.2, hard_reject_cohesion=0.1, algorithm="dbscan", eps=0.5))
+    return pipeline.run(c.msgs.select("conversation_pk", "message_pk", "workspace_id", "role", "content_text", "created_at"), dedup.known_faqs(c.faqs).filter("workspace_id IS NOT NULL"), s)
 
 
 @query()

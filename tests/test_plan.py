@@ -1,5 +1,6 @@
 import datetime
 
+from recurq import queries
 from recurq.config import Settings
 from recurq.operators import runs
 from recurq.plans import pipeline
@@ -51,3 +52,14 @@ def test_streamed_pairs(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.user_text, r.assistant_text) for r in spark.sql("SELECT * FROM streamed").collect()}
     assert got == {("a", "r"), ("b", "r"), ("second", "x")}
+
+
+def test_the_analysis_takes_all_messages(spark, monkeypatch):
+    class Large:
+        def __init__(self, spark, d):
+            self.msgs = spark.range(60_000).selectExpr("id AS conversation_pk", "id AS message_pk", "1L AS workspace_id", "'user' AS role", "'a' AS content_text", "timestamp_ntz'2024-01-01' AS created_at")
+            self.faqs = spark.createDataFrame([], "workspace_id long, question string, is_active boolean")
+
+    monkeypatch.setattr(queries, "Clean", Large)
+    monkeypatch.setattr(pipeline, "run", lambda messages, known, s: s)
+    assert queries.analysis(spark, "").message_limit >= 60_000

@@ -80,9 +80,33 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, prefixes: bool = False) -> Words:
-    """The words of texts ``lo`` to ``hi``. ``prefixes`` keeps the sums that ``prefix_hash`` needs."""
+def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, prefixes: bool = False, piece: int = 1 << 21) -> Words:
+    """The words of texts ``lo`` to ``hi``. ``prefixes`` keeps the sums that ``prefix_hash`` needs.
+
+    Without them the bytes go by in pieces of about ``piece``, cut between words, so that a very long text takes its
+    own size and a few numbers a word. The result does not depend on the cuts.
+    """
     a, b = int(offsets[lo]), int(offsets[hi])
+    if prefixes or b - a <= piece:
+        part, starts, ends, hashes, sums = _words(data, offsets, lo, hi, a, b)
+    else:
+        cuts = [a]
+        while cuts[-1] < b:
+            cut = min(cuts[-1] + piece, b)
+            # between words: after a byte that belongs to none
+            while cut < b and not len(outside := np.flatnonzero(~_IS_WORD[_LOWER[data[cut : cut + 4096]]])):
+                cut += 4096
+            cuts.append(min(b, cut + int(outside[0]) + 1) if cut < b else b)
+        parts = [_words(data, offsets, lo, hi, x, y)[:4] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        shift = [x - a for x in cuts[:-1]]
+        part, hashes, sums = np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts]), None
+        starts, ends = (np.concatenate([p[k] + d for p, d in zip(parts, shift, strict=True)]) for k in (1, 2))
+    first = np.searchsorted(starts, offsets[lo : hi + 1] - a)
+    return Words(part, starts + a, ends + a, hashes, first, sums if prefixes else None, a)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, a: int, b: int) -> tuple[np.ndarray, ...]:
+    """Folded bytes ``a`` to ``b``; starts, ends and hashes of their words, counted from ``a``; sums."""
     part = _LOWER[data[a:b]]
     if b > a:  # upper case of the Latin-1 letters: second bytes 80 to 9E after C3, but for the times sign
         latin = np.flatnonzero(part[:-1] == 0xC3) + 1
@@ -90,7 +114,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, prefixes: boo
         part[latin] = np.where((second >= 0x80) & (second <= 0x9E) & (second != 0x97), second + 0x20, second)
     is_word = _IS_WORD[part]
     bounds = np.zeros(b - a + 1, bool)
-    bounds[offsets[lo : hi + 1] - a] = True
+    inside = offsets[lo : hi + 1]
+    bounds[inside[(inside >= a) & (inside <= b)] - a] = True
     before = np.concatenate(([False], is_word[:-1])) if b > a else is_word
     after = np.concatenate((is_word[1:], [False])) if b > a else is_word
     starts = np.flatnonzero(is_word & (~before | bounds[:-1]))
@@ -99,8 +124,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, prefixes: boo
         powers = _power(_BASE, b - a + 1)[: b - a]
         sums = np.concatenate(([np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)))
         hashes = mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, b - a + 1)[starts])
-    first = np.searchsorted(starts, offsets[lo : hi + 1] - a)
-    return Words(part, starts + a, ends + a, hashes, first, sums if prefixes else None, a)
+    return part, starts, ends, hashes, sums
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a minimum per vertex, combined on the map side, and a join back on the vertex; a hot vertex is
-split by the adaptive skew join. Edges and labels stay in tables in the shared folder; only one row with
+met by broadcast. Edges and labels stay in tables in the shared folder; only one row with
 a count and a checksum reaches the driver in each round.
 """
 
@@ -13,14 +13,27 @@ from pyspark.sql import functions as F
 from recurq.sources.shared import drop_path, new_path
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over (u, v) rows with u > v. Large: each vertex hangs its larger neighbours on its smallest."""
+#: A vertex with more than 1 / ``HOT_VERTICES`` of the rows, and at least ``HOT_ROWS``, is hot: at most that many are.
+HOT_VERTICES, HOT_ROWS = 10_000, 1_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` with the least neighbour ``m`` of their ``u``. Hot vertices' come by broadcast, so no task gets all rows of one."""
+    limit = max(HOT_ROWS, n_rows // HOT_VERTICES)
+    if n_rows <= limit:
+        return rows.join(least.drop("n").hint("merge"), "u")
+    hot, others = F.broadcast(least.filter(F.col("n") > limit).drop("n")), least.filter(F.col("n") <= limit).drop("n")
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(others.hint("merge"), "u"))
+
+
+def _star(edges: DataFrame, large: bool, n_rows: int) -> DataFrame:
+    """One step over ``n_rows`` (u, v) rows with u > v. Large: each vertex hangs its larger neighbours on its smallest."""
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        return _with_least(both.filter("v > u"), least, 2 * n_rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hung = _with_least(edges, least, n_rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionAll(least.select("u", F.col("m").alias("v")))
 
 
@@ -40,8 +53,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     table, path, mark = state(edges.select(F.col(u).alias("u"), F.col(v).alias("v")))
     while mark[0]:
-        after_large, large_path, _ = state(_star(table, True))
-        after, next_path, next_mark = state(_star(after_large, False))
+        after_large, large_path, large_mark = state(_star(table, True, mark[0]))
+        after, next_path, next_mark = state(_star(after_large, False, large_mark[0]))
         drop_path(spark, large_path)
         drop_path(spark, path)
         done = next_mark == mark

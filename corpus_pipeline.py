@@ -14,29 +14,31 @@ from recurq.llm.shared import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without a letter go."""
+    """Documents in which a language can be told; those without a letter, null texts included, go."""
     model = language_id.train(docs)
-    marked = language_id.with_language(docs, model, into=("__language", "__score"))
-    return marked.filter(F.col("__language") != language_id.UNDETERMINED).select(docs.columns)
+    taken = max(map(len, docs.columns))
+    said = "language".ljust(taken + 1, "_")  # longer than any name of docs
+    marked = language_id.with_language(docs, model, into=(said, "score".ljust(taken + 1, "_")))
+    return marked.filter(F.col(said) != language_id.UNDETERMINED).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest id."""
+    """Of documents with equal texts, the one with the largest id; of rows that share both, one. Null counts as empty."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the least id."""
+    """Of each component of near copies, the document with the least id. Texts without a word are near copies of each other."""
     return simhash.drop_near_copies(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; without a word in the items, all."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their bins and offsets."""
+    """Pieces of the documents with their bins and offsets; rows that repeat are packed each."""
     return packing.best_fit(docs)
 
 

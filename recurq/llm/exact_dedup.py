@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import maybe_broadcast, text_of, written
 
@@ -65,9 +64,9 @@ def with_hits(df: DataFrame, filter_words: DataFrame, col: str = "h", filter_bit
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_sha256 as 32 bytes, h) of every row, written to the shared folder."""
+    """(id, text_sha256 as 32 bytes, a number of the row, h) of every row, written to the shared folder."""
     sha = F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))
-    return written(df.select(F.col(id_col).alias("doc_id"), sha.alias("sha")).withColumn("h", F.xxhash64("sha")), "digests")
+    return written(df.select(F.col(id_col).alias("doc_id"), sha.alias("sha"), F.monotonically_increasing_id().alias("row")).withColumn("h", F.xxhash64("sha")), "digests")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -76,33 +75,31 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     filter_words = maybe_broadcast(written(repeated_filter(table, "h", filter_bits), "repeated"))
     tested = with_hits(table, filter_words, "h", filter_bits)
     alone = tested.filter(~F.col("__possibly_repeated")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    hits = tested.filter("__possibly_repeated").select("doc_id", "sha")
-    groups = written(hits.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    hits = tested.filter("__possibly_repeated").select("doc_id", "sha", "row")
+    # rows of one text that also share the largest id: the last of them stays
+    groups = hits.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.select("sha", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"), "groups")
     # A hot text meets its group by broadcast, so its rows don't go to one task; such groups are at most 1 / HOT_ROWS of the rows.
     hot = maybe_broadcast(written(groups.filter(F.col("group_size") >= HOT_ROWS), "hot-groups"))
     joined = hits.join(hot, "sha").unionByName(hits.join(hot, "sha", "left_anti").join(groups.hint("merge"), "sha"))
-    largest = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # rows of one text that also share the largest id: exactly one stays
-    first = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.lit(1)))
-    stay = joined.filter(largest).withColumn("kept", first == 1)
-    go = joined.filter(~largest).withColumn("kept", F.lit(False))
-    columns = ["doc_id", "keep_id", "group_size", "kept", "sha"]
-    return alone.unionByName(stay.select(columns)).unionByName(go.select(columns)).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
+    settled = joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
+    return alone.unionByName(settled).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns. Rows that the filter misses never shuffle."""
     sha = F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))
-    marked = df.withColumn("__sha", sha).withColumn("__h", F.xxhash64("__sha"))
-    table = written(marked.select("__h"), "hashes")
-    filter_words = maybe_broadcast(written(repeated_filter(table, "__h"), "repeated"))
-    tested = with_hits(marked, filter_words, "__h")
-    hits = tested.filter("__possibly_repeated")
-    winners = hits.groupBy("__sha").agg(F.max(id_col).alias("__keep"))
-    key = (F.col("__sha") == F.col("__wsha")) & F.col(id_col).eqNullSafe(F.col("__keep"))
-    stay = hits.join(winners.withColumnRenamed("__sha", "__wsha"), key, "left_semi")
-    stay = stay.withColumn("__n", F.row_number().over(Window.partitionBy("__sha", id_col).orderBy(F.lit(1)))).filter("__n = 1")
-    return tested.filter(~F.col("__possibly_repeated")).select(df.columns).unionByName(stay.select(df.columns))
+    # the row travels as one column, so that no name of it can clash
+    marked = df.select(F.struct("*").alias("kept"), F.col(id_col).alias("id"), sha.alias("sha")).withColumn("h", F.xxhash64("sha"))
+    table = written(marked.select("h"), "hashes")
+    filter_words = maybe_broadcast(written(repeated_filter(table), "repeated"))
+    tested = with_hits(marked, filter_words)
+    hits = tested.filter("__possibly_repeated").select("kept", "id", "sha")
+    winners = hits.groupBy("sha").agg(F.max("id").alias("keep")).withColumnRenamed("sha", "of")
+    stay = hits.join(winners, (F.col("sha") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    # combined in each task first, so that rows repeated with id and text don't meet in one
+    stay = stay.dropDuplicates(["sha", "id"])
+    return tested.filter(~F.col("__possibly_repeated")).select("kept.*").unionByName(stay.select("kept.*"))
 
 
 ORACLE = """

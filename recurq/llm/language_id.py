@@ -113,7 +113,8 @@ class Predictor:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(_WORD.findall((text or "").lower()))
-        if not found or not self.model.languages:
+        # numerals such as fractions are word characters, too, but no letters
+        if not self.model.languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in found):
             return UNDETERMINED, 0.0
         if len(self._memo) > self._entries:
             self._memo = {}

@@ -9,8 +9,8 @@ to the next, so the piece ends in the tightest compatible bin, or opens one. Pie
 A bit that is clear proves that there is no conflict. With more than 64 sources or clusters a bit stands
 for several, and a set bit is settled by the bin's own lists, so aliases never cost a place.
 
-Pieces are dealt to blocks of about ``block_rows`` by a hash of the whole row, which no source, cluster or
-size can skew, and every block is packed by itself; only fixed-size rows shuffle, not text.
+Pieces are dealt to blocks of about ``block_rows`` by a hash of a number that each row
+gets, which no source, cluster, size or repeated row can skew, and every block is packed by itself; only fixed-size rows shuffle, not text.
 
 Cases: null and empty texts take the separator's size; a null source or cluster conflicts with nothing;
 repeated rows are packed each, in different bins if they share a cluster; an empty table gives an empty
@@ -114,13 +114,14 @@ def best_fit(df: DataFrame, capacity: int = 8192, block_rows: int = 16_384, id_c
     text = text_of(text_col)
     cluster = F.xxhash64(text) if cluster is None else cluster
     rows = df.select(F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("chars"), F.xxhash64(F.col(source_col)).alias("hash"), F.col(source_col).isNull().alias("no_source"), cluster.cast("long").alias("cluster"))
-    rows = written(rows.select("doc_id", "chars", F.when(~F.col("no_source"), F.col("hash")).alias("source"), "cluster"), "sizes")
+    # rows that are equal in all columns are dealt by themselves, too
+    rows = written(rows.select("doc_id", "chars", F.when(~F.col("no_source"), F.col("hash")).alias("source"), "cluster", F.xxhash64(F.monotonically_increasing_id()).alias("deal")), "sizes")
     most = capacity - 1
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(chars - 1) div {most}")))).alias("piece"))
-    pieces = pieces.select("doc_id", "source", "cluster", "piece", (F.col("piece") * most).alias("start"), (F.least(F.lit(most), F.col("chars") - F.col("piece") * most) + 1).cast("long").alias("size"))
+    pieces = pieces.select("doc_id", "source", "cluster", "deal", "piece", (F.col("piece") * most).alias("start"), (F.least(F.lit(most), F.col("chars") - F.col("piece") * most) + 1).cast("long").alias("size"))
     n_pieces = rows.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.expr(f"(chars - 1) div {most} + 1"))), F.lit(0))).first()[0]
     n_blocks = max(1, -(-n_pieces // block_rows))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "size", "cluster"), F.lit(n_blocks)).cast("long"))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("deal", "piece"), F.lit(n_blocks)).cast("long")).drop("deal")
     id_type = df.select(id_col).schema.fields[0].dataType.simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

@@ -261,4 +261,5 @@ def drop_near_copies(df: DataFrame, radius: int = 4, id_col: str = "doc_id", tex
     classes = written(_classes(marked, radius, **search), "classes")
     stay = classes.groupBy("component").agg(F.min("least").alias("least")).select("least")
     go = written(marked.join(stay, marked["doc_id"] == F.col("least"), "left_anti").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.row").alias("__row")).distinct(), "near-copies")
-    return df.join(maybe_broadcast(go), df[id_col].eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left_anti")
+    go = maybe_broadcast(go)
+    return df.join(go, df[id_col].eqNullSafe(go["__id"]) & (row == go["__row"]), "left_anti")

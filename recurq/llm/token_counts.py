@@ -2,8 +2,8 @@
 
 Every text is cut into pre-tokens, the tokenizer's own units, which no merge crosses. Within a block of
 texts the distinct pre-tokens form one table, pieces are counted once for each of its rows, and that table
-is joined to the pre-token frequencies of each document; counts are sums of frequency times pieces. Ids
-are never built. The table of a task outlives its block, up to ``memo_entries`` rows; when it is full it
+is joined to the pre-token frequencies of each document; counts are sums of frequency times pieces. No
+ids of a document are kept. The table of a task outlives its block, up to ``memo_entries`` rows; when it is full it
 starts anew, which costs time and changes no result. Nothing shuffles, so no key can be hot.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; a special token's

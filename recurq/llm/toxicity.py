@@ -110,14 +110,14 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     n = labels.count()
     if n > max_training_rows:
         labels = labels.filter(F.pmod(F.xxhash64(F.lit("train"), "__id"), F.lit(1 << 20)) < int((1 << 20) * max_training_rows / n))
-    rows = documents.join(F.broadcast(labels), documents[id_col] == F.col("__id")).select("__id", "__toxic", documents[text_col].cast("string").alias("text"))
+    rows = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(labels), "__id").select("__id", "__toxic", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             lists = []
             for lo, hi in blocks(offsets):
-                found = words(data, offsets, lo, hi, prefixes=True)
+                found = words(data, offsets, lo, hi)
                 text = np.repeat(np.arange(hi - lo), np.diff(found.first))
                 parts = [(text[which], h) for which, h in _features(found)]
                 who, what = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
@@ -167,7 +167,7 @@ def severities(documents: DataFrame, model: OrdinalModel | None, id_col: str = "
             data, offsets = buffers(batch.column(1))
             x = np.zeros(batch.num_rows)
             for lo, hi in blocks(offsets):
-                text, feature = model.present(words(data, offsets, lo, hi, prefixes=True), seen)
+                text, feature = model.present(words(data, offsets, lo, hi), seen)
                 x[lo:hi] = np.bincount(text, model.weights[feature], hi - lo)
             above = model.probabilities(x)
             exact = np.concatenate((1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]), axis=1)

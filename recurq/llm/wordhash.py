@@ -48,13 +48,16 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
-    prefix_sums: np.ndarray | None
     base: int
 
     def prefix_hash(self, which: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the first ``length`` bytes of the given words, which must be that long."""
         s = self.starts[which] - self.base
-        return mix((self.prefix_sums[s + length] - self.prefix_sums[s]) * _power(_BASE_INVERSE, len(self.data) + 1)[s])
+        h = np.zeros(len(s), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(length - 1, -1, -1):
+                h = h * _BASE + self.data[s + k].astype(np.uint64) + np.uint64(1)
+        return mix(h)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +83,15 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, prefixes: bool = False, piece: int = 1 << 21) -> Words:
-    """The words of texts ``lo`` to ``hi``. ``prefixes`` keeps the sums that ``prefix_hash`` needs.
+def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, piece: int = 1 << 21) -> Words:
+    """The words of texts ``lo`` to ``hi``.
 
-    Without them the bytes go by in pieces of about ``piece``, cut between words, so that a very long text takes its
+    The bytes go by in pieces of about ``piece``, cut between words, so that a very long text takes its
     own size and a few numbers a word. The result does not depend on the cuts.
     """
     a, b = int(offsets[lo]), int(offsets[hi])
-    if prefixes or b - a <= piece:
-        part, starts, ends, hashes, sums = _words(data, offsets, lo, hi, a, b)
+    if b - a <= piece:
+        part, starts, ends, hashes = _words(data, offsets, lo, hi, a, b)
     else:
         cuts = [a]
         while cuts[-1] < b:
@@ -97,16 +100,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, prefixes: boo
             while cut < b and not len(outside := np.flatnonzero(~_IS_WORD[_LOWER[data[cut : cut + 4096]]])):
                 cut += 4096
             cuts.append(min(b, cut + int(outside[0]) + 1) if cut < b else b)
-        parts = [_words(data, offsets, lo, hi, x, y)[:4] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = [_words(data, offsets, lo, hi, x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         shift = [x - a for x in cuts[:-1]]
-        part, hashes, sums = np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts]), None
+        part, hashes = np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts])
         starts, ends = (np.concatenate([p[k] + d for p, d in zip(parts, shift, strict=True)]) for k in (1, 2))
     first = np.searchsorted(starts, offsets[lo : hi + 1] - a)
-    return Words(part, starts + a, ends + a, hashes, first, sums if prefixes else None, a)
+    return Words(part, starts + a, ends + a, hashes, first, a)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, a: int, b: int) -> tuple[np.ndarray, ...]:
-    """Folded bytes ``a`` to ``b``; starts, ends and hashes of their words, counted from ``a``; sums."""
+    """Folded bytes ``a`` to ``b``; starts, ends and hashes of their words, counted from ``a``."""
     part = _LOWER[data[a:b]]
     if b > a:  # upper case of the Latin-1 letters: second bytes 80 to 9E after C3, but for the times sign
         latin = np.flatnonzero(part[:-1] == 0xC3) + 1
@@ -124,7 +127,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, a: int, b: i
         powers = _power(_BASE, b - a + 1)[: b - a]
         sums = np.concatenate(([np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)))
         hashes = mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, b - a + 1)[starts])
-    return part, starts, ends, hashes, sums
+    return part, starts, ends, hashes
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -76,3 +76,11 @@ def test_near_duplicates_against_brute_force(spark, sf_dir):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_several_blocks_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(5000 + k, f"{rows[k][1]} tail{k}") for k in range(60)] + [(9000, None), (9001, ""), (9002, " ")]
+    got = simhash.near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, block string, fp int"), block_rows=40).collect()
+    want = brute_components([brute_fingerprint(t) for _, t in rows], [i for i, _ in rows])
+    assert {r.doc_id: r.component_id for r in got} == dict(zip([i for i, _ in rows], want, strict=True))

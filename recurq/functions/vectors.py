@@ -95,11 +95,12 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: st
     return sides.groupBy("g", "i", "j").applyInPandas(product, f"a {kind}, b {kind}, sim double")
 
 
-def nearest(queries: DataFrame, known: DataFrame, key: str, vector: str, within: str | None = None, buckets: int = 32) -> DataFrame:
+def nearest(queries: DataFrame, known: DataFrame, key: str, vector: str, within: str | None = None, bucket_rows: int = 20_000) -> DataFrame:
     """(key, best) the largest product of each query with any known vector of its group; null where there is none.
 
-    Known vectors are dealt to buckets by a hash; each (group, bucket) is a matrix product, and the maxima combine.
+    Known vectors are dealt by a hash to buckets of about ``bucket_rows``; each (group, bucket) is a matrix product, and the maxima combine.
     """
+    buckets = max(1, -(-known.count() // bucket_rows))
     g = F.col(within) if within else F.lit(0)
     q = queries.select(F.col(key).alias("k"), as_double(vector).alias("v"), g.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
     k = known.select(as_double(vector).alias("v"), g.alias("g")).withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))

@@ -14,7 +14,7 @@ from recurq.sources.shared import drop_path, new_path
 
 
 #: A vertex with more than 1 / ``HOT_VERTICES`` of the rows, and at least ``HOT_ROWS``, is hot: at most that many are.
-HOT_VERTICES, HOT_ROWS = 10_000, 1_000
+HOT_VERTICES, HOT_ROWS = 10_000, 100
 
 
 def _with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:

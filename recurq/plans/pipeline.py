@@ -15,6 +15,7 @@ from recurq.functions.vectors import as_double, dot, hash_embedding
 from recurq.operators import cluster as C
 from recurq.operators import dedup, generate, pairing
 from recurq.operators import quality as Q
+from recurq.operators.examples import most_frequent
 from recurq.sources.shared import written
 
 
@@ -50,7 +51,9 @@ def cluster_rows(members: DataFrame, s: Settings) -> DataFrame:
         F.min("created_at").alias("first_seen_at"), F.max("created_at").alias("last_seen_at"), F.any_value("centroid").alias("centroid"), F.avg("similarity").alias("average_similarity"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 10, F.struct("rank", "user_text", "similarity")))), lambda x: F.struct(x["user_text"].alias("text"), x["similarity"].alias("similarity"))).alias("examples"),
     )
-    out = stats.join(texts, keys)
+    # the agent most pairs of a cluster have, the first seen on a tie
+    agents = most_frequent(members, keys, "agent_id", "message_pk").drop("n") if "agent_id" in members.columns else members.select(*keys, F.lit(None).cast("string").alias("agent_id")).distinct()
+    out = stats.join(texts, keys).join(agents, keys, "left")
     out = written(out.withColumn("clean_answers", F.transform("raw_answers", lambda a: T.clean_answer_evidence(a))), "answers")
     answers = F.filter("clean_answers", T.is_answer_evidence_usable)
     distinct = F.array_distinct(F.filter(F.transform("questions", lambda q: T.normalize_question(T.clean_question_evidence(q))), lambda q: q != ""))
@@ -82,7 +85,7 @@ def candidates_of(clusters: DataFrame, known: DataFrame, s: Settings) -> DataFra
     earlier = F.concat("review_reasons", F.array_compact(F.array(F.when(F.col("evidence.answer_review"), F.col("evidence.reason")), F.when(F.col("alignment.status") == "partial_alignment", "partial_alignment"))))
     reasons = Q.tier_reasons(g["confidence"], F.col("cohesion"), F.col("support"), F.size("answers"), earlier, s)
     return marked.select(
-        "candidate_id", "workspace_id", F.left("representative", F.lit(120)).alias("cluster_label"), g["canonical_question"].alias("normalized_question"), g["canonical_answer"].alias("suggested_answer"),
+        "candidate_id", "workspace_id", "agent_id", F.left("representative", F.lit(120)).alias("cluster_label"), g["canonical_question"].alias("normalized_question"), g["canonical_answer"].alias("suggested_answer"),
         F.col("size").cast("int").alias("recurrence_count"), "first_seen_at", "last_seen_at", "candidate_kind", "algorithm", "support", "cohesion", "alignment", "evidence", "examples",
         Q.score(F.col("size"), F.col("cohesion"), g["confidence"], F.size("questions"), F.size("answers")).alias("cluster_score"),
         Q.tier(reasons).alias("quality_tier"), F.array_join(reasons, "; ").alias("review_reason"), F.when(F.size(reasons) > 0, "needs_review").otherwise("pending").alias("status"), reason.alias("reject_reason"),

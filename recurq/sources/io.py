@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recurq.sources.shared import written
+
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -62,13 +64,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], pk: str | None =
     """``old`` with the rows of ``new`` put in by key; ``new`` has each key once.
 
     With ``pk``, a surrogate key that ``new`` lacks, rows that exist keep theirs and new ones get the next numbers in
-    the order of their keys. The numbering is the only global order, over keys that are new.
+    the order of their keys, without a task that sees them all.
     """
     if pk:
         known = new.join(old.select(*keys, pk), list(keys), "left")
         top = old.agg(F.coalesce(F.max(pk), F.lit(0)).cast("long").alias("__top"))
-        fresh = known.filter(F.col(pk).isNull()).drop(pk).crossJoin(F.broadcast(top))
-        fresh = fresh.withColumn(pk, F.col("__top") + F.row_number().over(Window.orderBy(*keys))).drop("__top")
+        # ranges of keys are numbered by themselves; a row a range tells how many come before it
+        ranged = written(known.filter(F.col(pk).isNull()).drop(pk).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "fresh")
+        sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")
+        starts = sizes.withColumn("__before", before).drop("n").crossJoin(top)
+        number = F.col("__top") + F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+        fresh = ranged.join(F.broadcast(starts), "__part").withColumn(pk, number).drop("__top", "__before", "__part")
         new = known.filter(F.col(pk).isNotNull()).unionByName(fresh)
     stay = old.join(new.select(*keys), list(keys), "left_anti")
     return stay.unionByName(new, allowMissingColumns=True)

@@ -2,7 +2,7 @@ import datetime
 
 from recurq import queries
 from recurq.config import Settings
-from recurq.operators import runs
+from recurq.operators import ingest, runs
 from recurq.plans import pipeline
 from recurq.streaming.pairs import streamed_pairs
 
@@ -63,3 +63,23 @@ def test_the_analysis_takes_all_messages(spark, monkeypatch):
     monkeypatch.setattr(queries, "Clean", Large)
     monkeypatch.setattr(pipeline, "run", lambda messages, known, s: s)
     assert queries.analysis(spark, "").message_limit >= 60_000
+
+
+def test_candidates_carry_the_most_common_agent(spark):
+    asked = ["Quiero agendar una clase de prueba", "Necesito agendar una clase de prueba", "Quisiera agendar una clase de prueba ya"]
+    rows = talk(asked, "Las clases de prueba se agendan desde la pagina de horarios del negocio.")
+    agents = {0: "a", 1: "b", 2: "b"}
+    messages = spark.createDataFrame([(*r, agents[r[0]]) for r in rows], MESSAGES + ", agent_id string")
+    known = spark.createDataFrame([], "workspace_id long, question string")
+    (c,) = pipeline.run(messages, known, Settings(algorithm="dbscan")).candidates.collect()
+    assert c.agent_id == "b" and c.recurrence_count == 3
+
+
+def test_ingest_puts_rows_in_by_key(spark):
+    first = spark.createDataFrame([("m2", "user", 1, datetime.datetime(2024, 1, 2)), ("m1", "user", 2, datetime.datetime(2024, 1, 1)), (None, "user", 1, None)], "id string, role string, workspace_id int, created_at timestamp_ntz")
+    once = ingest.ingest({}, {"messages": first})
+    assert sorted((r.id, r.role, r.message_pk) for r in once["messages"].collect()) == [("m1", "user", 1), ("m2", "user", 2)]
+    later = spark.createDataFrame([("m2", "assistant", 1, datetime.datetime(2024, 1, 2)), ("m0", "user", 1, datetime.datetime(2024, 1, 3)), ("m0", "user", 1, datetime.datetime(2024, 1, 3))], first.schema)
+    twice = ingest.ingest(once, ingest.selected({"messages": later}, workspace_id=1, since=datetime.datetime(2024, 1, 2)))
+    assert sorted((r.id, r.role, r.message_pk) for r in twice["messages"].collect()) == [("m0", "user", 3), ("m1", "user", 1), ("m2", "assistant", 2)]
+    assert ingest.ingest(twice, {"messages": later.limit(0)})["messages"].count() == 3

@@ -82,6 +82,30 @@ def repeated_questions(spark, d):
     return reports.repeated_questions(table(spark, d, "documents"), "text", least=2)
 
 
+@query(BASE + """SELECT trim(regexp_replace(lower(content_text), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), ' ') AS question, count(*) AS repetitions FROM msgs
+WHERE role = 'user' AND content_text IS NOT NULL AND length(trim(regexp_replace(lower(content_text), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), ' ')) >= 3
+GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 100""")
+def repeated_user_questions(spark, d):
+    return reports.repeated_questions(Clean(spark, d).msgs.filter("role = 'user'"), "content_text")
+
+
+@query(
+    BASE
+    + """SELECT 'conversations.source_agent_chat_id' AS key_name, source_agent_chat_id::VARCHAR AS key_value, count(*) AS duplicates FROM convs GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'messages.id', id::VARCHAR, count(*) FROM msgs GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'faqs.faq_id', faq_id::VARCHAR, count(*) FROM faqs GROUP BY 2 HAVING count(*) > 1"""
+)
+def duplicate_source_ids(spark, d):
+    c = Clean(spark, d)
+    found = [reports.duplicates(c.convs, "source_agent_chat_id", "conversations.source_agent_chat_id"), reports.duplicates(c.msgs, "id", "messages.id"), reports.duplicates(c.faqs, "faq_id", "faqs.faq_id")]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@query(BASE + " UNION ALL ".join(f"SELECT '{t}' AS metric, count(*) AS value FROM {t}" for t in ("workspaces", "agents", "convs", "msgs", "faqs")))
+def clean_table_counts(spark, d):
+    c = Clean(spark, d)
+    return reports.counts({t: getattr(c, t) for t in ("workspaces", "agents", "convs", "msgs", "faqs")})
+
+
 # --- normalization
 
 
@@ -405,11 +429,12 @@ def support_tokens(spark, d):
 
 
 @query(
-    f"""WITH t AS (SELECT lang, doc_id, unnest({_TOKENS}) AS token FROM documents), n AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM n) SELECT lang, n, rank FROM r WHERE rank <= 4"""
+    f"""WITH l AS (SELECT lang, doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-z]{{4,}}') AS l FROM documents), t AS (SELECT lang, doc_id, unnest(l) AS token, unnest(range(len(l))) AS i FROM l),
+n AS (SELECT lang, token, count(DISTINCT doc_id) AS n, min(doc_id::BIGINT * 10000000 + i) AS first FROM t WHERE token NOT IN ({_STOP}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS rank FROM n) SELECT lang, token, n, rank FROM r WHERE rank <= 4"""
 )
 def token_top4(spark, d):
-    return reports.token_counts(table(spark, d, "documents"), ["lang"], "text", "doc_id").select("lang", "n", F.col("rank").cast("long").alias("rank"))
+    return reports.token_counts(table(spark, d, "documents"), ["lang"], "text", "doc_id").select("lang", "token", "n", F.col("rank").cast("long").alias("rank"))
 
 
 @query()

@@ -1,32 +1,70 @@
-"""Run the analysis once from the command line: ``python -m recurq.cli DATA_DIR OUT_DIR``."""
+"""From the command line: ``python -m recurq.cli DATA_DIR OUT_DIR`` runs the analysis, with ``--ingest`` the ingest.
+
+The analysis puts its candidates into the table ``OUT_DIR/candidates`` by key and takes those that are there as earlier
+ones. The ingest puts clean rows into the tables under ``OUT_DIR/clean``; with ``--dry-run`` it only counts them.
+"""
 
 from __future__ import annotations
 
 import argparse
+import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from recurq import queries
-from recurq.operators import runs
+from recurq.operators import ingest, reports, runs
+from recurq.plans import pipeline
+from recurq.sources import io
 
 
-def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("data", help="a folder with the source tables")
-    parser.add_argument("out", help="a folder for pairs, clusters, candidates, metrics and the run log")
-    parser.add_argument("--debug", action="store_true", help="also write cluster members with their labels")
-    args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("recurq").getOrCreate()
-    run_id = runs.start(spark, f"{args.out}/runs", {"data": args.data})
+def _clean(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
+    c = queries.Clean(spark, args.data)
+    tables = {"workspaces": c.workspaces, "agents": c.agents, "conversations": c.convs, "messages": c.msgs, "faqs": c.faqs}
+    return ingest.selected(tables, args.workspace, args.agent, args.since)
+
+
+def ingested(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Put the selected rows into the clean tables, a new version of each."""
+    tables = _clean(spark, args)
+    if args.dry_run:
+        reports.counts(tables).orderBy("metric").show(truncate=False)
+        return
+    old = {name: io.read_table(spark, path) for name in tables if io.has_table(spark, path := f"{args.out}/clean/{name}")}
+    for name, df in ingest.ingest(old, tables).items():
+        io.replace_table(df, f"{args.out}/clean/{name}", spark)
+
+
+def analysed(spark: SparkSession, args: argparse.Namespace) -> None:
+    """One run with its log; pairs, clusters and metrics are those of the last run, candidates those of all."""
+    run_id = runs.start(spark, f"{args.out}/runs", {"data": args.data, "agent": args.agent, "since": args.since}, args.workspace)
     try:
-        found = queries.analysis(spark, args.data)
-        for name in ("pairs", "clusters", "candidates", "metrics", *(["members"] if args.debug else [])):
+        path = f"{args.out}/candidates"
+        earlier = io.read_table(spark, path) if io.has_table(spark, path) else None
+        found = queries.analysis(spark, args.data, _clean(spark, args), earlier)
+        for name in ("pairs", "clusters", "metrics", *(["members"] if args.debug else [])):
             getattr(found, name).write.mode("overwrite").parquet(f"{args.out}/{name}")
+        now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+        io.replace_table(pipeline.persisted(earlier, found.candidates, now), path, spark)
         runs.finish(spark, f"{args.out}/runs", run_id, "succeeded")
     except Exception as error:
         runs.finish(spark, f"{args.out}/runs", run_id, "failed", str(error)[:500])
         raise
 
 
+def main(argv: list[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(description=__doc__)
+    parser.add_argument("data", help="a folder with the source tables")
+    parser.add_argument("out", help="a folder for the tables of runs, or of the ingest")
+    parser.add_argument("--ingest", action="store_true", help="put clean rows into tables, without an analysis")
+    parser.add_argument("--dry-run", action="store_true", help="with --ingest: count the rows and write nothing")
+    parser.add_argument("--workspace", type=int, help="only rows of this workspace")
+    parser.add_argument("--agent", help="only rows of this agent")
+    parser.add_argument("--since", type=datetime.datetime.fromisoformat, help="only messages from this time on")
+    parser.add_argument("--debug", action="store_true", help="also write cluster members with their labels")
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("recurq").getOrCreate()
+    (ingested if args.ingest else analysed)(spark, args)
+
+
 if __name__ == "__main__":
     main()

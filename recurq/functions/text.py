@@ -212,6 +212,21 @@ def json_object_text(x: Column) -> Column:
     return F.when(whole.isNotNull() & clean.startswith("{"), clean).when(F.try_parse_json(inner).isNotNull() & (inner != ""), inner)
 
 
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?)?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def parse_datetime(x: Column) -> Column:
+    """The local time of an ISO text with separators; its offset is dropped, not applied. Other texts give null."""
+    local = F.regexp_replace(x, F.lit(r"(Z|[+-]\d{2}:\d{2})$"), F.lit(""))
+    return F.when(F.regexp_like(x, F.lit(_ISO)), local.try_cast("timestamp_ntz"))
+
+
+def merged_json(a: Column, b: Column) -> Column:
+    """The fields of two JSON objects, those of the second where both have one. Values stay whole; null counts as no fields."""
+    left, right = (F.coalesce(F.from_json(x, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")) for x in (a, b))
+    return F.to_json(F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k)), right))
+
+
 def company_key(company: Column, workspace: Column) -> Column:
     return normalize_text(F.coalesce(F.nullif(company.cast("string"), F.lit("")), workspace.cast("string"), F.lit("unknown")))
 

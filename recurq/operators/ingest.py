@@ -24,13 +24,21 @@ TABLES = {
 
 
 def selected(tables: dict[str, DataFrame], workspace_id: int | str | None = None, agent_id: str | None = None, since: datetime.datetime | None = None) -> dict[str, DataFrame]:
-    """The rows of clean tables that an ingest by workspace, agent or time takes; a table without the column keeps all."""
+    """The rows of clean tables that an ingest by workspace, agent or time takes; a table without the column keeps all.
+
+    By agent, agents and FAQs are the agent's own, and conversations, messages and workspaces those of its workspaces, if the
+    tables have ``agents``; without that table, rows that have an agent are its own and others stay.
+    """
     out = {}
+    at_work = tables["agents"].filter(F.col("agent_id") == agent_id).select("workspace_id") if agent_id is not None and "agents" in tables else None
     for name, df in tables.items():
         if workspace_id is not None and "workspace_id" in df.columns:
             df = df.filter(F.col("workspace_id") == workspace_id)
-        if agent_id is not None and "agent_id" in df.columns:
+        own = name in ("agents", "faqs") or at_work is None
+        if agent_id is not None and own and "agent_id" in df.columns:
             df = df.filter(F.col("agent_id") == agent_id)
+        elif at_work is not None and not own and "workspace_id" in df.columns:
+            df = df.join(at_work, "workspace_id", "left_semi")
         if since is not None and name == "messages":
             df = df.filter(F.col("created_at") >= F.lit(since))
         out[name] = df

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from recurq.functions import lexicon as L
 
 ROLES = ["user", "assistant", "system", "tool"]
 
@@ -108,6 +115,56 @@ def issues(convs: DataFrame, faqs: DataFrame, msgs: DataFrame) -> DataFrame:
     )
 
 
+def raw_scan(raw: DataFrame, chats: DataFrame, raw_workspaces: DataFrame, raw_agents: DataFrame, since: datetime.datetime, workspace_id: int | None = None, agent_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Raw messages since a time with their chat and company name, those of a workspace or of the workspaces of an agent.
+
+    With ``limit``, the first rows by workspace, chat, time and id; without, rows come in no order, as sorting all of
+    them has no use to a table. Messages of unknown chats are left out, those of unknown workspaces stay.
+    """
+    of = chats.select(F.col("id").alias("agent_chat_id"), "workspace_id", "conversation_id", "model")
+    if workspace_id is not None:
+        of = of.filter(F.col("workspace_id") == workspace_id)
+    if agent_id:
+        of = of.join(raw_agents.filter(F.col("id").cast("string") == agent_id).select("workspace_id"), "workspace_id", "left_semi")
+    found = raw.filter(F.col("created_at") >= F.lit(since)).select(F.col("id").alias("message_id"), "message", "created_at", "agent_chat_id", "message_type").join(of, "agent_chat_id")
+    found = found.join(raw_workspaces.select(F.col("id").alias("workspace_id"), F.col("name").alias("company_name")), "workspace_id", "left")
+    return found if limit is None else found.orderBy("workspace_id", "agent_chat_id", "created_at", "message_id").limit(limit)
+
+
+def first_text(value: object) -> str:
+    """The first text in a JSON value: lists give all of theirs, objects that of the first known path with any."""
+    if isinstance(value, str):
+        return " ".join(value.split())
+    if isinstance(value, list):
+        return " ".join(t for t in map(first_text, value) if t)
+    if isinstance(value, dict):
+        for path in L.MESSAGE_PATHS:
+            inner: object = value
+            for name in path.split("."):
+                inner = inner.get(name) if isinstance(inner, dict) else None
+            if text := first_text(inner):
+                return text
+    return ""
+
+
+def dry_run_text(message: str | None) -> str:
+    """The text of a raw message as a dry run sees it: parts of known types in one line; what is not JSON is text itself."""
+    try:
+        value = json.loads(message or "null")
+    except (ValueError, RecursionError):
+        value = message
+    content = value.get("content") if isinstance(value, dict) else None
+    if isinstance(content, list):
+        return first_text([p for p in content if not isinstance(p, dict) or p.get("type") in L.PART_TYPES])
+    return first_text(content) or first_text(value)
+
+
+@F.pandas_udf(StringType())
+def dry_run_texts(message: pd.Series) -> pd.Series:
+    """``dry_run_text`` in Arrow batches: JSON nests to any depth, which no fixed expression follows."""
+    return message.map(dry_run_text)
+
+
 def skip_reason(message: Column) -> Column:
     """Why a raw message gives no row in a dry run: not JSON, another role, or no text; null if it does."""
     role = F.lower(F.get_json_object(message, "$.role"))

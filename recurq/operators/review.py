@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recurq.functions import lexicon as L
+
 STATUSES = ["pending", "needs_review", "approved", "rejected"]
 
 
@@ -42,8 +44,11 @@ def decisions(candidates: DataFrame, requests: DataFrame) -> DataFrame:
 
 def state(candidates: DataFrame, edits: DataFrame, events: DataFrame) -> DataFrame:
     """Candidates after their events: text of the last edit, status of the last decision, and counts."""
-    e = edits.filter("error IS NULL").groupBy("candidate_id").agg(F.max_by("new_question", "at").alias("__q"), F.max_by("new_answer", "at").alias("__a"), F.count(F.lit(1)).alias("__n"), F.max_by("editor", "at").alias("last_edited_by"), F.max("at").alias("last_edited_at"))
-    v = events.filter("error IS NULL").groupBy("candidate_id").agg(F.max_by("new_status", "at").alias("__s"), F.max_by("reviewer", "at").alias("human_reviewed_by"))
+    # the last event as a whole, so that a tie of times can't mix two
+    last = edits.filter("error IS NULL").groupBy("candidate_id").agg(F.max(F.struct("at", "new_question", "new_answer", "editor")).alias("__e"), F.count(F.lit(1)).alias("__n"))
+    e = last.select("candidate_id", F.col("__e.new_question").alias("__q"), F.col("__e.new_answer").alias("__a"), "__n", F.col("__e.editor").alias("last_edited_by"), F.col("__e.at").alias("last_edited_at"))
+    decided = events.filter("error IS NULL").groupBy("candidate_id").agg(F.max(F.struct("at", "new_status", "reviewer")).alias("__v"))
+    v = decided.select("candidate_id", F.col("__v.new_status").alias("__s"), F.col("__v.reviewer").alias("human_reviewed_by"))
     j = candidates.drop("last_edited_by", "last_edited_at", "human_reviewed_by").join(e, "candidate_id", "left").join(v, "candidate_id", "left")
     return (
         j.withColumn("normalized_question", F.coalesce("__q", "normalized_question"))
@@ -89,6 +94,24 @@ def list_suggestions(candidates: DataFrame, clusters: DataFrame, workspaces: Dat
     return j.withColumn("edit_count", F.coalesce("edit_count", F.lit(0))).withColumn("support_examples", F.coalesce("support_examples", F.array().cast("array<string>")))
 
 
+def review_label(code: Column, reason: Column) -> Column:
+    """What a reviewer reads of a review reason: by its code, else by what the reason has, else the reason; null without one."""
+    by_code = F.element_at(F.create_map(*[F.lit(x) for pair in L.REVIEW_LABELS.items() for x in pair]), code)
+    label = F.nullif(reason, F.lit(""))
+    for part, text in reversed(L.REVIEW_LABEL_PARTS):
+        label = F.when(F.lower(reason).contains(part), text).otherwise(label)
+    return F.coalesce(by_code, label)
+
+
+def suggestion_summary(suggestions: DataFrame, company: str = "workspace_id", size: str = "recurrence_count", silhouette: str = "silhouette_score") -> DataFrame:
+    """One row over listed suggestions: companies, clusters, examples, examples a cluster, and a silhouette, that of the least candidate id that has one."""
+    n, total = F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))
+    return suggestions.agg(
+        F.count_distinct(company).alias("company_count"), n.alias("cluster_count"), total.cast("long").alias("total_examples"),
+        F.when(n > 0, F.round(total / n, 2)).otherwise(0.0).alias("average_cluster_size"), F.round(F.min_by(silhouette, F.when(F.col(silhouette).isNotNull(), F.col("candidate_id"))), 4).alias("silhouette_score"),
+    )
+
+
 def list_events(events: DataFrame, candidates: DataFrame, workspace_id: int | None = None) -> DataFrame:
     found = events.filter("event_type <> 'created'").join(candidates.select("candidate_id", "workspace_id", F.left("normalized_question", F.lit(180)).alias("question_preview")), "candidate_id", "left")
     return found if workspace_id is None else found.filter(F.col("workspace_id") == workspace_id)

@@ -33,7 +33,10 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id").agg(F.max_by(row, "logged_at").alias("r")).select("run_id", "r.*")
 
 
-def by_company(metrics: DataFrame, company: str, counters: list[str], silhouette: str = "silhouette") -> DataFrame:
-    """Sums of counters over companies, the mean of the silhouettes there are, and examples a cluster."""
-    total = metrics.agg(*[F.sum(c).alias(c) for c in counters], F.avg(silhouette).alias(silhouette), F.count_distinct(company).alias("companies"))
-    return total
+def by_company(metrics: DataFrame, company: str, counters: list[str], silhouette: str = "silhouette", examples: str = "total_examples", clusters: str = "clusters_valid") -> DataFrame:
+    """One row over companies: sums of counters, the mean of the silhouettes there are, and examples a valid cluster."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters]
+    total = metrics.agg(*sums, F.round(F.avg(silhouette), 4).alias(silhouette), F.count_distinct(company).alias("companies"))
+    if examples not in counters or clusters not in counters:
+        return total
+    return total.withColumn("average_cluster_size", F.when(F.col(clusters) > 0, F.round(F.col(examples) / F.col(clusters), 2)).otherwise(0.0))

@@ -67,8 +67,20 @@ def cluster_rows(members: DataFrame, s: Settings) -> DataFrame:
     return out.withColumn("gate_reject", gate).withColumn("review_reasons", reviews)
 
 
-def candidates_of(clusters: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
-    """All clusters through generation, evidence, validation, alignment and known FAQs; ``reject_reason`` says where one ended."""
+def messages_of(msgs: DataFrame, convs: DataFrame | None = None, workspaces: DataFrame | None = None) -> DataFrame:
+    """Messages of conversations in known workspaces, with the agent of the conversation; without conversations, messages as they are."""
+    if convs is None or workspaces is None:
+        return msgs.select("conversation_pk", "message_pk", "workspace_id", "role", "content_text", "created_at")
+    of = convs.select("conversation_pk", "workspace_id", "agent_id").join(workspaces.select("workspace_id"), "workspace_id", "left_semi")
+    return msgs.select("conversation_pk", "message_pk", "role", "content_text", "created_at").join(of, "conversation_pk")
+
+
+def candidates_of(clusters: DataFrame, known: DataFrame, s: Settings, earlier: DataFrame | None = None) -> DataFrame:
+    """All clusters through generation, evidence, validation, alignment, known FAQs and ``earlier`` candidates.
+
+    ``reject_reason`` says where one ended. A candidate whose question an earlier one has exactly stays and
+    supersedes it; one that is only near an earlier one goes.
+    """
     staged = generate.recovered(generate.with_template(clusters), s)
     staged = staged.withColumn("candidate_id", F.md5(F.concat_ws("|", "workspace_id", "label", "representative")))
     embed = hash_embedding(s.embedding_dim)
@@ -78,8 +90,15 @@ def candidates_of(clusters: DataFrame, known: DataFrame, s: Settings) -> DataFra
     named = staged.withColumn("question", F.col("generation.canonical_question"))
     faqs = written(known.select("workspace_id", "question", embed(T.fold_text("question")).alias("question_vector")), "known")
     marked = dedup.mark_known(named, faqs, "candidate_id", "question", "question_vector", "workspace_id", s.duplicate_threshold)
+    if earlier is None:
+        marked = marked.withColumn("same_candidate", F.lit(False)).withColumn("near_candidate", F.lit(False))
+    else:
+        held = dedup.known_candidates(earlier, s.skip_rejected).select("workspace_id", F.col("normalized_question").alias("question"), embed(T.fold_text("normalized_question")).alias("question_vector"))
+        held = dedup.mark_known(named, written(held, "earlier"), "candidate_id", "question", "question_vector", "workspace_id", s.duplicate_threshold)
+        marked = marked.join(held.select("candidate_id", F.col("exact_match").alias("same_candidate"), (F.col("semantic_match") & ~F.col("exact_match")).alias("near_candidate")), "candidate_id")
     reason = F.coalesce(
-        F.col("gate_reject"), F.col("generation_reject"), F.when(F.col("alignment.status") == "misaligned", "question_misaligned"), F.when(F.col("exact_match") | F.col("semantic_match"), "duplicate_of_faq")
+        F.col("gate_reject"), F.col("generation_reject"), F.when(F.col("alignment.status") == "misaligned", "question_misaligned"), F.when(F.col("exact_match") | F.col("semantic_match"), "duplicate_of_faq"),
+        F.when(F.col("near_candidate"), "duplicate_of_candidate"),
     )
     g = F.col("generation")
     earlier = F.concat("review_reasons", F.array_compact(F.array(F.when(F.col("evidence.answer_review"), F.col("evidence.reason")), F.when(F.col("alignment.status") == "partial_alignment", "partial_alignment"))))
@@ -89,6 +108,7 @@ def candidates_of(clusters: DataFrame, known: DataFrame, s: Settings) -> DataFra
         F.col("size").cast("int").alias("recurrence_count"), "first_seen_at", "last_seen_at", "candidate_kind", "algorithm", "support", "cohesion", "alignment", "evidence", "examples",
         Q.score(F.col("size"), F.col("cohesion"), g["confidence"], F.size("questions"), F.size("answers")).alias("cluster_score"),
         Q.tier(reasons).alias("quality_tier"), F.array_join(reasons, "; ").alias("review_reason"), F.when(F.size(reasons) > 0, "needs_review").otherwise("pending").alias("status"), reason.alias("reject_reason"),
+        F.col("same_candidate").alias("superseded_previous_candidate"),
     )
 
 
@@ -99,13 +119,21 @@ def metrics_of(pairs: DataFrame, members: DataFrame, candidates: DataFrame) -> D
     return count(pairs, "question", pairs["reject_reason"]).unionByName(count(members, "cluster_member", clustered)).unionByName(count(candidates, "cluster", candidates["reject_reason"]))
 
 
-def run(messages: DataFrame, known: DataFrame, s: Settings = Settings(), as_of: datetime.datetime | None = None) -> Run:  # noqa: B008
-    """The whole analysis. ``messages`` has conversation_pk, message_pk, workspace_id, role, content_text, created_at."""
+def persisted(old: DataFrame | None, candidates: DataFrame, at: datetime.datetime) -> DataFrame:
+    """The table of candidates after a run: those the run made are put in by workspace, agent and question."""
+    # ids are of this run: a cluster that comes again after its candidate was rejected is another candidate
+    made = candidates.filter("reject_reason IS NULL").drop("reject_reason").withColumn("created_at", F.lit(at)).withColumn("candidate_id", F.md5(F.concat_ws("|", "candidate_id", "created_at")))
+    return made if old is None else dedup.merge_candidates(old, made)
+
+
+def run(messages: DataFrame, known: DataFrame, s: Settings = Settings(), as_of: datetime.datetime | None = None, earlier: DataFrame | None = None) -> Run:  # noqa: B008
+    """The whole analysis. ``messages`` has conversation_pk, message_pk, workspace_id, role, content_text, created_at, and
+    ``agent_id`` where it is known; ``earlier``, the table of candidates before the run, has workspace_id, normalized_question, status."""
     pairs = written(questions(messages, s, as_of), "pairs")
     good = pairs.filter("reject_reason IS NULL")
     vectors = written(good.withColumn("embedding", hash_embedding(s.embedding_dim)(T.fold_text("clean"))), "vectors")
     labels = C.cluster_by(vectors, "workspace_id", "message_pk", "embedding", s).drop("workspace_id")
     members = written(vectors.join(labels, "message_pk"), "members")
     clusters = written(cluster_rows(members.filter("label >= 0"), s), "clusters")
-    candidates = written(candidates_of(clusters, known, s), "candidates")
+    candidates = written(candidates_of(clusters, known, s, earlier), "candidates")
     return Run(pairs, members, clusters, candidates, metrics_of(pairs, members, candidates))

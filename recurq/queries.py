@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +14,7 @@ from recurq.functions import lexicon as L
 from recurq.functions import text as T
 from recurq.functions import vectors as V
 from recurq.operators import cluster as C, ingest
-from recurq.operators import dedup, examples, generate, normalize, pairing, reports, review
+from recurq.operators import dedup, examples, generate, normalize, pairing, reports, review, runs
 from recurq.operators import quality as Q
 from recurq.plans import pipeline
 from recurq.sources import chat, io
@@ -32,6 +33,8 @@ def query(sql: str | None = None):
     return register
 
 
+_SQL_NORM = r"array_to_string(regexp_extract_all(coalesce({}, ''), '[^\s\x0B\x1c-\x1f\x{{85}}\x{{a0}}]+'), ' ')"
+
 # The clean tables as common table expressions of DuckDB.
 BASE = f"""WITH {chat.SQL},
 workspaces AS (SELECT id AS workspace_id, name, category, coalesce(active, true) AND deleted_at IS NULL AS active FROM raw_workspaces),
@@ -225,6 +228,54 @@ def ingest_dry_run(spark, d):
     return reports.group_counts(chat.raw_messages(spark, d).select(reason), "reason", name="n")
 
 
+@query(
+    BASE
+    + f"""SELECT message_pk, CASE WHEN conv_id % 8 < 6 THEN {_SQL_NORM.format('text')} ELSE '' END AS content FROM (SELECT conv_id, conv_id * 100 + turn AS message_pk, text FROM conversations)"""
+)
+def dry_run_text(spark, d):
+    return chat.raw_messages(spark, d).select("message_pk", normalize.dry_run_texts("message").alias("content"))
+
+
+_SCAN = """SELECT m.id AS message_id, m.agent_chat_id, m.created_at, c.workspace_id, c.conversation_id, c.model, w.name AS company_name FROM raw_messages m JOIN raw_chats c ON c.id = m.agent_chat_id
+LEFT JOIN raw_workspaces w ON w.id = c.workspace_id WHERE m.created_at >= TIMESTAMP '2024-01-03'"""
+_SCAN_COLUMNS = ["message_id", "agent_chat_id", "created_at", "workspace_id", "conversation_id", "model", "company_name"]
+
+
+def _scan(spark, d, **by) -> DataFrame:
+    c = Clean(spark, d)
+    return normalize.raw_scan(c.raw_messages, c.raw_chats, c.raw_workspaces, c.raw_agents, datetime.datetime(2024, 1, 3), **by).select(_SCAN_COLUMNS)
+
+
+@query(BASE + _SCAN)
+def raw_scan(spark, d):
+    return _scan(spark, d)
+
+
+@query(BASE + _SCAN + " AND EXISTS (SELECT 1 FROM raw_agents a WHERE a.workspace_id = c.workspace_id AND a.id = 'agent-4-1')")
+def raw_scan_by_agent(spark, d):
+    return _scan(spark, d, agent_id="agent-4-1")
+
+
+@query(BASE + _SCAN + " AND c.workspace_id = 2 ORDER BY c.workspace_id, m.agent_chat_id, m.created_at, m.id LIMIT 50")
+def raw_scan_first(spark, d):
+    return _scan(spark, d, workspace_id=2, limit=50)
+
+
+@query("""WITH t AS (SELECT event_id, ts, event_id % 6 AS k FROM events)
+SELECT event_id, CASE WHEN k < 4 THEN date_trunc('second', ts)::TIMESTAMP WHEN k = 4 THEN date_trunc('day', ts)::TIMESTAMP END AS at FROM t""")
+def parse_datetime(spark, d):
+    form = "CASE event_id % 6 WHEN 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'+02:00'\") WHEN 2 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') WHEN 3 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'.000-05:00'\") WHEN 4 THEN date_format(ts, 'yyyy-MM-dd') ELSE date_format(ts, 'MM/dd/yyyy') END"
+    return table(spark, d, "events").select("event_id", T.parse_datetime(F.expr(form)).alias("at"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE p_name END AS name, p_size AS size, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand FROM part""")
+def merged_metadata(spark, d):
+    a = F.expr("to_json(named_struct('name', p_name, 'size', p_size))")
+    b = F.expr("CASE WHEN p_partkey % 2 = 0 THEN to_json(named_struct('name', 'new', 'brand', p_brand)) END")
+    parsed = F.from_json(T.merged_json(a, b), "name string, size int, brand string")
+    return table(spark, d, "part").select("p_partkey", parsed.alias("j")).select("p_partkey", "j.*")
+
+
 # --- reports
 
 _COUNTS = {"raw.workspaces": "raw_workspaces", "mvp.workspaces": "workspaces", "raw.agents": "raw_agents", "mvp.agents": "agents", "raw.agent_chats": "raw_chats", "mvp.conversations": "convs", "raw.chat_messages": "raw_messages", "mvp.messages": "msgs", "raw.agent_faqs": "raw_faqs", "mvp.existing_faqs": "faqs"}
@@ -328,8 +379,6 @@ def table_counts(spark, d):
 
 @query(BASE + "SELECT message_pk, conversation_pk, role, content_text FROM msgs WHERE role IN ('user','assistant') AND trim(content_text) <> '' AND created_at >= TIMESTAMP '2024-01-04' - INTERVAL 2 DAY")
 def eligible_messages(spark, d):
-    import datetime
-
     return pairing.eligible(Clean(spark, d).msgs, datetime.datetime(2024, 1, 4), 2).select("message_pk", "conversation_pk", "role", "content_text")
 
 
@@ -375,8 +424,6 @@ def pair_stats(spark, d):
 
 # --- text
 
-_SQL_NORM = r"array_to_string(regexp_extract_all(coalesce({}, ''), '[^\s\x0B\x1c-\x1f\x{{85}}\x{{a0}}]+'), ' ')"
-
 
 @query(f"SELECT doc_id, {_SQL_NORM.format('text')} AS clean FROM documents")
 def normalize_text(spark, d):
@@ -714,6 +761,82 @@ def list_suggestions(spark, d):
     return found.select("candidate_id", "company_name", F.col("run_id").cast("int").alias("run_id"), "silhouette_score", F.size("support_examples").cast("long").alias("n_examples"), F.col("edit_count").cast("int").alias("edit_count"))
 
 
+@query(
+    """WITH x AS (SELECT l_partkey AS id, string_agg(l_orderkey || '-' || l_linenumber, ' ' ORDER BY l_discount DESC, l_orderkey || '-' || l_linenumber) AS texts FROM lineitem GROUP BY 1)
+SELECT p_partkey AS candidate_id, coalesce(texts, '') AS texts FROM part LEFT JOIN x ON id = p_partkey WHERE p_partkey % 40 % 3 = 1 AND p_partkey % 3 <> 0"""
+)
+def suggestion_examples(spark, d):
+    r = Reviewed(spark, d)
+    ws = spark.range(7).selectExpr("id AS workspace_id", "concat('ws-', id) AS name")
+    found = review.list_suggestions(r.candidates, r.clusters, ws, r.examples, r.runs, r.metrics, r.edit_events, status="pending")
+    return found.select("candidate_id", F.array_join("support_examples", " ").alias("texts"))
+
+
+@query(
+    """SELECT count(DISTINCT p_partkey % 7) AS company_count, count(*) AS cluster_count, coalesce(sum(p_size), 0)::BIGINT AS total_examples, CASE WHEN count(*) > 0 THEN round(sum(p_size) / count(*), 2) ELSE 0 END AS average_cluster_size,
+CASE WHEN count(*) > 0 THEN 0.1::DOUBLE END AS silhouette_score FROM part WHERE p_partkey % 40 % 3 = 1 AND p_partkey % 3 <> 0"""
+)
+def suggestion_summary(spark, d):
+    r = Reviewed(spark, d)
+    ws = spark.range(7).selectExpr("id AS workspace_id", "concat('ws-', id) AS name")
+    sized = r.candidates.join(table(spark, d, "part").selectExpr("p_partkey AS candidate_id", "p_size AS recurrence_count"), "candidate_id")
+    return review.suggestion_summary(review.list_suggestions(sized, r.clusters, ws, r.examples, r.runs, r.metrics, r.edit_events, status="pending"))
+
+
+def _labels_sql() -> str:
+    codes = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.REVIEW_LABELS.items())
+    parts = " ".join(f"WHEN contains(lower(reason), '{k}') THEN '{v}'" for k, v in L.REVIEW_LABEL_PARTS)
+    return f"coalesce(CASE code {codes} END, CASE WHEN reason = '' THEN NULL {parts} ELSE reason END)"
+
+
+_REASON_SQL = "[{}][(p_partkey % 12 + 1)::INT]".format(", ".join([*[f"'{k}'" for k in L.REVIEW_LABELS], "'unknown'", "''", "NULL"]))
+_REASON_TEXT = "[{}][(p_partkey % 9 + 1)::INT]".format(", ".join([*[f"'Motivo: {k.capitalize()}.'" for k, _ in L.REVIEW_LABEL_PARTS], "'otra cosa'", "''", "NULL"]))
+
+
+@query(f"SELECT p_partkey, {_labels_sql()} AS label FROM (SELECT p_partkey, {_REASON_SQL} AS code, {_REASON_TEXT} AS reason FROM part)")
+def review_labels(spark, d):
+    some = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(f"cast(p_partkey % {n} + 1 AS int)"))
+    code = some([*L.REVIEW_LABELS, "unknown", "", None], 12)
+    reason = some([*[f"Motivo: {k.capitalize()}." for k, _ in L.REVIEW_LABEL_PARTS], "otra cosa", "", None], 9)
+    return table(spark, d, "part").select("p_partkey", review.review_label(code, reason).alias("label"))
+
+
+@query("""SELECT event_id AS run_id FROM events WHERE event_id % 3 <> 0 AND (user_id % 7 = 3 OR user_id % 5 = 0)
+ORDER BY CASE WHEN event_id % 4 <> 1 THEN ts END DESC NULLS LAST, ts DESC, event_id LIMIT 1""")
+def latest_run_of_workspace(spark, d):
+    log = table(spark, d, "events").selectExpr(
+        "event_id AS run_id", "CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS status", "CASE WHEN event_id % 4 <> 1 THEN ts END AS finished_at", "ts AS started_at",
+        "CASE WHEN user_id % 5 <> 0 THEN user_id % 7 END AS workspace_id",
+    )
+    return review.latest_run(log, 3).select("run_id")
+
+
+@query("""WITH m AS (SELECT conv_id % 7 AS w, count(*) AS e, count(DISTINCT conv_id) AS c, CASE WHEN conv_id % 7 % 3 > 0 THEN conv_id % 7 / 10 END AS s FROM conversations GROUP BY ALL)
+SELECT sum(e)::BIGINT AS total_examples, sum(c)::BIGINT AS clusters_valid, round(avg(s), 4) AS silhouette, count(DISTINCT w) AS companies, round(sum(e) / sum(c), 2) AS average_cluster_size FROM m""")
+def company_rollup(spark, d):
+    m = table(spark, d, "conversations").groupBy(F.expr("conv_id % 7").alias("company")).agg(F.count(F.lit(1)).alias("total_examples"), F.count_distinct("conv_id").alias("clusters_valid"))
+    return runs.by_company(m.withColumn("silhouette", F.expr("CASE WHEN company % 3 > 0 THEN company / 10 END")), "company", ["total_examples", "clusters_valid"])
+
+
+# Candidates before a run are those of even parts, half of them in capitals; the run makes those of every third part.
+_STATUS_SQL = "['pending', 'needs_review', 'approved', 'rejected'][(p_partkey // 2 % 4 + 1)::INT]"
+
+
+@query(
+    f"""WITH o AS (SELECT p_partkey AS k, 'old-' || p_partkey AS id, p_partkey % 7 AS w, {_STATUS_SQL} AS status, 1 AS at FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT p_partkey AS k, 'new-' || p_partkey AS id, p_partkey % 7 AS w, CASE WHEN p_partkey % 5 = 0 THEN 'needs_review' ELSE 'pending' END AS status, 2 AS at FROM part WHERE p_partkey % 3 = 0)
+SELECT coalesce(CASE WHEN o.status <> 'rejected' THEN o.id END, n.id) AS candidate_id, n.w AS workspace_id, CASE WHEN o.id IS NULL OR o.status = 'rejected' THEN n.status WHEN o.status = 'pending' THEN n.status ELSE o.status END AS status,
+CASE WHEN o.status <> 'rejected' THEN o.at ELSE n.at END AS created_at FROM n LEFT JOIN o USING (k) UNION ALL SELECT o.id, o.w, o.status, o.at FROM o WHERE o.status = 'rejected' OR k % 3 <> 0"""
+)
+def merged_candidates(spark, d):
+    part = table(spark, d, "part")
+    asked = "concat(p_name, ' ', p_partkey)"
+    status = "element_at(array('pending', 'needs_review', 'approved', 'rejected'), cast(p_partkey div 2 % 4 + 1 AS int))"
+    old = part.filter("p_partkey % 2 = 0").selectExpr("concat('old-', p_partkey) AS candidate_id", "p_partkey % 7 AS workspace_id", "CAST(NULL AS string) AS agent_id", f"CASE WHEN p_partkey % 4 = 0 THEN upper({asked}) ELSE {asked} END AS normalized_question", f"{status} AS status", "1 AS created_at")
+    new = part.filter("p_partkey % 3 = 0").selectExpr("concat('new-', p_partkey) AS candidate_id", "p_partkey % 7 AS workspace_id", "CAST(NULL AS string) AS agent_id", f"{asked} AS normalized_question", "CASE WHEN p_partkey % 5 = 0 THEN 'needs_review' ELSE 'pending' END AS status", "2 AS created_at")
+    return dedup.merge_candidates(old, new).select("candidate_id", "workspace_id", "status", "created_at")
+
+
 @query("SELECT DISTINCT conv_id % 7 AS workspace_id, 'ws-' || (conv_id % 7) AS name FROM conversations")
 def list_workspaces(spark, d):
     c = Clean(spark, d)
@@ -768,11 +891,15 @@ def common_answers(spark, d):
     return examples.most_common_answer(found, ["workspace_id"], "assistant_text", "conv_id")
 
 
-def analysis(spark: SparkSession, d: str) -> pipeline.Run:
+def analysis(spark: SparkSession, d: str, tables: dict[str, DataFrame] | None = None, earlier: DataFrame | None = None) -> pipeline.Run:
+    """The run over the clean tables of a folder, or over ``tables`` of the same names, after ``earlier`` candidates."""
     c = Clean(spark, d)
+    if tables is not None:
+        c.workspaces, c.convs, c.msgs, c.faqs = (tables[name] for name in ("workspaces", "conversations", "messages", "faqs"))
     # no bound on messages here: that is truncate_conversations' part
     s = Settings(min_support=0.3, reject_support=0.2, hard_reject_cohesion=0.1, algorithm="dbscan", eps=0.5, message_limit=max(1, c.msgs.count()))
-    return pipeline.run(c.msgs.select("conversation_pk", "message_pk", "workspace_id", "role", "content_text", "created_at"), dedup.known_faqs(c.faqs).filter("workspace_id IS NOT NULL"), s)
+    asked = pipeline.messages_of(c.msgs, *[vars(c).get(name) for name in ("convs", "workspaces")])
+    return pipeline.run(asked, dedup.known_faqs(c.faqs).filter("workspace_id IS NOT NULL"), s, **({} if earlier is None else {"earlier": earlier}))
 
 
 @query()

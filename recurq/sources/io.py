@@ -109,6 +109,13 @@ def replace_table(df: DataFrame, path: str, spark: SparkSession) -> str:
     return target
 
 
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether a version of a table was written whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(hadoop) and any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS")) for s in fs.listStatus(hadoop))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole version of a table."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

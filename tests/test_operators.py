@@ -5,9 +5,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recurq.config import Settings
+from recurq.functions import text as T
 from recurq.functions import vectors as V
 from recurq.operators import cluster as C
-from recurq.operators import dedup, normalize, pairing, review
+from recurq.operators import dedup, examples, normalize, pairing, review
 from recurq.operators.components import connected_components
 from recurq.sources import io
 
@@ -194,3 +195,43 @@ def test_eligible_window(spark):
     t = datetime.datetime(2024, 1, 5)
     df = spark.createDataFrame([("user", "a", t), ("user", "a", t - datetime.timedelta(days=9)), ("tool", "a", t), ("assistant", " ", t)], "role string, content_text string, created_at timestamp_ntz")
     assert pairing.eligible(df, t, 3).count() == 1
+
+
+def test_text_of_a_dry_run():
+    text = normalize.dry_run_text
+    assert text('{"content": [{"type": "text", "text": {"value": " a  b "}}, {"type": "image", "text": "no"}, {"text": "c"}, "d"]}') == "a b c d"
+    assert text('{"content": {"message": {"value": "m"}}}') == "m" and text('{"content": " ", "transcript": "t"}') == "t"
+    # the parts of known types only, though the message has another text
+    assert text('{"content": [{"type": "image", "text": "no"}], "text": "other"}') == ""
+    assert text("not  json") == "not json" and text('"x"') == "x" and text(None) == text("3") == text("") == ""
+    assert text("[" * 100_000) == "[" * 100_000
+
+
+def test_examples_against_brute_force(spark):
+    rng = random.Random(4)
+    asked = ["Quiero una clase", "quiero una clase", "Horario del lunes", "Precio de la clase", "", "Donde queda la sede", "Precio mensual"]
+    rows = [(g, i, rng.choice(asked)) for g in range(6) for i in range(rng.randrange(1, 12))]
+    df = spark.createDataFrame(rows, "g int, i int, t string")
+    clean = {r.i_g: (r.e, r.q) for r in df.select(F.struct("g", "i").alias("i_g"), T.clean_question_evidence("t").alias("e")).select("i_g", "e", T.normalize_question("e").alias("q")).collect()}
+    want = {}
+    for g, i, _ in rows:
+        example, question = clean[g, i]
+        if example == "":
+            continue
+        taken, seen, repeats = want.get(g, ([], set(), 0))
+        if len(taken) < 3:
+            taken, seen, repeats = (taken, seen, repeats + 1) if question in seen else ([*taken, example], seen | {question}, repeats)
+        want[g] = (taken, seen, repeats)
+    got = {r.g: (r.examples, r.duplicates) for r in examples.first_examples(df, ["g"], "t", "i").collect()}
+    assert got == {g: (taken, repeats) for g, (taken, _, repeats) in want.items()}
+    answers = spark.createDataFrame([(1, k, a) for k, a in enumerate(["Las clases se agendan en la pagina web.", "Otra respuesta que es larga de verdad.", "Las clases se agendan en la pagina web.", "corta"])] + [(2, 9, "corta")], "g int, i int, t string")
+    got = {r.g: r.answer for r in examples.most_common_answer(answers, ["g"], "t", "i").collect()}
+    assert got[1].startswith("Las clases se agendan") and got[2] == examples.UNSURE
+
+
+def test_one_event_gives_question_and_answer(spark):
+    c = spark.createDataFrame([("a", "q", "r", "pending")], "candidate_id string, normalized_question string, suggested_answer string, status string")
+    edits = spark.createDataFrame([("a", "q1", "r2", "ana", 1, None), ("a", "q2", "r1", "eva", 1, None)], "candidate_id string, new_question string, new_answer string, editor string, at int, error string")
+    none = spark.createDataFrame([], "candidate_id string, new_status string, reviewer string, at int, error string")
+    (r,) = review.state(c, edits, none).collect()
+    assert (r.normalized_question, r.suggested_answer, r.last_edited_by, r.status) == ("q2", "r1", "eva", "pending")

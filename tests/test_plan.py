@@ -1,9 +1,10 @@
 import datetime
 
-from recurq import queries
+from recurq import cli, queries
 from recurq.config import Settings
-from recurq.operators import ingest, runs
+from recurq.operators import ingest, review, runs
 from recurq.plans import pipeline
+from recurq.sources import io
 from recurq.streaming.pairs import streamed_pairs
 
 MESSAGES = "conversation_pk long, message_pk long, workspace_id long, role string, content_text string, created_at timestamp_ntz"
@@ -83,3 +84,62 @@ def test_ingest_puts_rows_in_by_key(spark):
     twice = ingest.ingest(once, ingest.selected({"messages": later}, workspace_id=1, since=datetime.datetime(2024, 1, 2)))
     assert sorted((r.id, r.role, r.message_pk) for r in twice["messages"].collect()) == [("m0", "user", 3), ("m1", "user", 1), ("m2", "assistant", 2)]
     assert ingest.ingest(twice, {"messages": later.limit(0)})["messages"].count() == 3
+
+
+def test_a_second_run_supersedes_and_its_candidate_is_promoted(spark):
+    asked = ["Quiero agendar una clase de prueba", "Necesito agendar una clase de prueba", "Quisiera agendar una clase de prueba ya"]
+    rows = talk(asked, "Las clases de prueba se agendan desde la pagina de horarios del negocio.")
+    messages = spark.createDataFrame([(*r, "a") for r in rows], MESSAGES + ", agent_id string")
+    none = spark.createDataFrame([], "workspace_id long, question string")
+    s = Settings(algorithm="dbscan")
+    got = pipeline.run(messages, none, s)
+    table = pipeline.persisted(None, got.candidates, datetime.datetime(2024, 2, 1))
+    (first,) = table.collect()
+    assert not first.superseded_previous_candidate
+    # the same question again: the open candidate is updated, not repeated
+    again = pipeline.candidates_of(got.clusters, none, s, earlier=table)
+    (second,) = pipeline.persisted(table, again, datetime.datetime(2024, 3, 1)).collect()
+    assert second.superseded_previous_candidate and (second.candidate_id, second.created_at) == (first.candidate_id, first.created_at)
+    # a near question of an earlier candidate stops it; one that was rejected, too, unless rejected ones are let in
+    near = spark.createDataFrame([(1, "¿Cómo puedo agendar la clase de prueba?", "rejected")], "workspace_id long, normalized_question string, status string")
+    (c,) = pipeline.candidates_of(got.clusters, none, s, earlier=near).collect()
+    assert c.reject_reason == "duplicate_of_candidate"
+    (c,) = pipeline.candidates_of(got.clusters, none, Settings(algorithm="dbscan", skip_rejected=False), earlier=near).collect()
+    assert c.reject_reason is None
+    # a rejected candidate stays as it was, next to the one of the next run
+    rejected = table.drop("status").selectExpr("*", "'rejected' AS status")
+    both = pipeline.persisted(rejected, got.candidates, datetime.datetime(2024, 3, 1)).collect()
+    assert len({r.candidate_id for r in both}) == 2 and sorted(r.status == "rejected" for r in both) == [False, True]
+    # approved, it becomes a known question, which the next run finds
+    events = review.decisions(table, spark.createDataFrame([(first.candidate_id, "approved", "eva", 1)], "candidate_id string, status string, reviewer string, at int"))
+    edits = review.edit_events(table, spark.createDataFrame([], "candidate_id string, question string, answer string, editor string, at int"))
+    faqs = review.promoted(review.state(table, edits, events))
+    (faq,) = faqs.collect()
+    assert (faq.question, faq.agent_id) == (first.normalized_question, "a")
+    (c,) = pipeline.candidates_of(got.clusters, faqs.select("workspace_id", "question"), s).collect()
+    assert c.reject_reason == "duplicate_of_faq"
+
+
+def test_command_line_ingest(spark, sf_dir, tmp_path):
+    out = str(tmp_path)
+    cli.main([sf_dir, out, "--ingest", "--dry-run"])
+    assert not io.has_table(spark, f"{out}/clean/messages")
+    cli.main([sf_dir, out, "--ingest", "--agent", "agent-2-0"])
+    some = {name: io.read_table(spark, f"{out}/clean/{name}") for name in ingest.TABLES}
+    assert {r.workspace_id for r in some["messages"].select("workspace_id").distinct().collect()} == {2} and some["agents"].count() == 1
+    cli.main([sf_dir, out, "--ingest"])
+    all_rows = io.read_table(spark, f"{out}/clean/messages")
+    c = queries.Clean(spark, sf_dir)
+    assert all_rows.count() == c.msgs.count() == all_rows.select("message_pk").distinct().count()
+    kept = all_rows.join(some["messages"].select("id", some["messages"]["message_pk"].alias("before")), "id")
+    assert kept.count() == some["messages"].count() and kept.filter("message_pk <> before").isEmpty()
+
+
+def test_command_line_run(spark, sf_dir, tmp_path):
+    out = str(tmp_path)
+    for _ in range(2):
+        cli.main([sf_dir, out, "--since", "2024-01-01"])
+    log = runs.latest(spark.read.schema(runs.LOG).parquet(f"{out}/runs")).collect()
+    assert [r.status for r in log] == ["succeeded"] * 2
+    table = io.read_table(spark, f"{out}/candidates")
+    assert table.count() == table.select("candidate_id").distinct().count() == table.selectExpr("workspace_id", "agent_id", "lower(normalized_question)").distinct().count()

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit sampling, weighed anchors, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit sampling, pieces that edits leave, exact edit verification.
 
 Texts are sequences of folded words. The CGK embedding walks a sequence: at step j it outputs the word
 under the cursor and moves on if the j-th random bit of that word is 1, so edit distance becomes Hamming
@@ -7,12 +7,11 @@ distance between walks. A walk starts at every word of every document and of eve
 agree in all sampled outputs of one repeat are verified, if the sampled words tell a place of the corpus.
 
 A walk falls out of step at every second edited word, so walks meet the near copies only: at the full allowed
-distance item-sized walks agree no more often than those of strangers (README). There the candidates come
-from anchors: the least grams of an item (one to ``GRAMS`` words) that are rare in the corpus. The corpus counts of all
-grams of the items are taken over all documents first. An anchor tells as many bits as it is rare; a window in
-which the anchors of one item lie in line and tell enough together is verified. ``enough`` is derived for each item from
-its own anchors: the bits that those without an edit reach with probability ``recall`` at the full distance, so short
-items need a single anchor and long ones several. No item loses its keys: where every gram is common, the longest are anchors.
+distance item-sized walks agree no more often than those of strangers (README). The exact way for all that they leave
+is by pieces: an item is cut into disjoint grams of characters, more than the edits that are allowed. An edit spoils one
+at most, so any text within the distance holds a known number of them as they are, at places that differ by the edits
+at most; every window with so many is verified, and none is left out (``Pieces``). Which grams are pieces, and how many, follows
+from a sample of the documents and bears on the cost only.
 
 Verification is exact: the least edit distance, in characters of the folded words joined by one space,
 between the item and any substring of the candidate's surroundings. A document contains an item if
@@ -20,7 +19,7 @@ between the item and any substring of the candidate's surroundings. A document c
 64 rows to a word; pieces of an item are edited no more than the whole, so most candidates go after the first.
 
 Items go to the executors in blocks of at most ``block_items`` rows and about ``block_bytes`` bytes, two passes over the
-documents for each. Documents are read whole, in place; only the counts of item grams shuffle. A very long
+documents for each. Documents are read whole, in place; only the counts of item words shuffle. A very long
 text goes by in pieces (``wordhash.words``), candidates in chunks.
 
 Cases: null or empty texts and items without a word match nothing; an item of one common word is met wherever that
@@ -41,10 +40,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .shared import maybe_broadcast, written
 from .wordhash import Words, blocks, buffers, mix, words
 
-#: Words of the longest gram that is an anchor.
-GRAMS = 3
 #: Characters of the items that are compared with their windows together.
 _CHUNK = 1 << 20
+#: Characters of the longest piece of an item, and what a window costs against a piece that is met.
+_LONGEST_PIECE, _WINDOW_COST = 8, 500.0
+#: Rows and characters of the sample by which pieces are chosen.
+_SAMPLE_ROWS, _SAMPLE_CHARS = 400, 800_000
+#: Cells of starts that are counted together.
+_CELLS = 1 << 19
 #: Characters of an item beyond which its windows are compared one by one, on whole numbers as long as the item.
 _LONG_ITEM = 4096
 
@@ -97,17 +100,6 @@ class Walks:
                     yield mix(key), inside_at[chosen[-1]], [places[j] for j in chosen]
 
 
-def gram_keys(hashes: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length up to ``GRAMS`` a key of the words from each place on, and whether they are all in its text."""
-    n = len(hashes)
-    padded, at = np.concatenate((hashes, np.zeros(GRAMS, np.uint64))), np.arange(n)
-    key = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for length in range(1, GRAMS + 1):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + padded[length - 1 : n + length - 1] + np.uint64(length))
-            yield key, at + length <= last
-
-
 class Index:
     """Distinct sorted keys, and the place of each among them."""
 
@@ -164,7 +156,7 @@ def least_edits(item: str, text: str) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items as words, with the grams that tell them."""
+    """A block of items as words."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = items
@@ -175,78 +167,104 @@ class Items:
         self.lengths = np.diff(found.first)
         self.owner = np.repeat(np.arange(len(texts)), self.lengths)
         self.last = found.first[1:][self.owner]
-        self.grams = list(gram_keys(found.hashes, self.last))
 
     def keys(self) -> np.ndarray:
-        """All keys that the corpus counts."""
-        return np.unique(np.concatenate([key[inside] for key, inside in self.grams]))
+        """The words that the corpus counts."""
+        return np.unique(self.words.hashes)
 
 
-class Anchors:
-    """The least grams of each item that are rare enough in the corpus, what each tells, and how much of it makes a candidate.
+class Weights:
+    """How many bits each word of the items tells, and how many tell a place of the corpus.
 
-    ``counts`` has the corpus count of each key of ``items.keys()`` and ``corpus_words`` their total; without them
-    all single words are anchors. The largest of a few limits is taken for which a word of the corpus meets
-    ``hits_a_word`` anchors on average; a gram that holds a rarer one is none. An item without an anchor takes its
-    longest grams, however common.
+    ``counts`` has the corpus count of each key of ``items.keys()`` and ``corpus_words`` their total; without them words
+    are weighed by the items, and any of them tells a place.
     """
 
-    def __init__(self, items: Items, similarity: float, recall: float, counts: np.ndarray | None = None, corpus_words: int = 0, hits_a_word: float = 0.05):
-        found, n_words = items.words, len(items.words.hashes)
-        keys = items.keys()
+    def __init__(self, items: Items, counts: np.ndarray | None = None, corpus_words: int = 0):
+        keys, which = np.unique(items.words.hashes, return_inverse=True)
         known = counts is not None and corpus_words > 0
         if not known:
-            counts, corpus_words = np.zeros(len(keys), np.int64), max(1, n_words)
-            for key, inside in items.grams:
-                np.add.at(counts, np.searchsorted(keys, key[inside]), 1)
-        shares = [(counts[np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))] + 1) / (corpus_words + 1) if len(keys) else np.zeros(0) for key, _ in items.grams]
-        self.word_bits = -np.log2(np.minimum(shares[0], 0.5))
+            counts, corpus_words = np.bincount(which, minlength=len(keys)), max(1, len(which))
+        self.word_bits = -np.log2(np.minimum((counts[which] + 1) / (corpus_words + 1), 0.5))
         self.walk_bits = math.log2(corpus_words) if known else 0.0
-        for most in 10.0 ** -np.arange(2, 7, 0.125) if known else (1.0,):
-            length = self._least(items, shares, most)
-            at = np.flatnonzero(length)
-            share = np.choose(length[at] - 1, [x[at] for x in shares]) if len(at) else np.zeros(0)
-            if share.sum() <= hits_a_word:
-                break
-        left = ~np.isin(items.owner, items.owner[at])
-        longest = np.minimum(items.last - np.arange(n_words), GRAMS)
-        at = np.sort(np.concatenate((at, np.flatnonzero(left))))
-        length = np.where(left, longest, length)[at]
-        self.row, owner = at, items.owner[at]
-        key = np.choose(length - 1, [k[at] for k, _ in items.grams]) if len(at) else np.zeros(0, np.uint64)
-        share = np.choose(length - 1, [x[at] for x in shares]) if len(at) else np.zeros(0)
-        self.bits = -np.log2(np.minimum(share, 0.5))
-        chars = (found.ends[at + length - 1] - found.starts[at]) if len(at) else np.zeros(0)
-        self.enough = enough(owner, self.bits, similarity**chars, math.log2(max(2, corpus_words) * max(1, len(items.items))), len(items.items), recall)
-        order = np.argsort(key, kind="stable")
-        self.row, self.bits = at[order], self.bits[order]
-        self.keys, begin, count = np.unique(key[order], return_index=True, return_counts=True)
-        self.begin, self.count = begin, count
-
-    @staticmethod
-    def _least(items: Items, shares: list[np.ndarray], most: float) -> np.ndarray:
-        """The length of the gram that is an anchor at each place, 0 for none."""
-        length = np.zeros(len(items.words.hashes), np.int64)
-        for n, ((_, inside), share) in enumerate(zip(items.grams, shares, strict=True), 1):
-            covered = np.zeros(len(length) + GRAMS, bool)
-            for m in range(1, n):  # an anchor of length m at a place within leaves this gram out
-                for k in range(n - m + 1):
-                    covered[: len(length) - k] |= length[k:] == m
-            length[(length == 0) & inside & ~covered[: len(length)] & (share <= most)] = n
-        return length
-
-
-def enough(owner: np.ndarray, bits: np.ndarray, clean: np.ndarray, most: float, n_items: int, recall: float, draws: int = 512) -> np.ndarray:
-    """For each item the bits that its unedited anchors reach with probability ``recall`` at the full allowed distance, ``most``
-    at most. Anchors are unedited with chance ``clean``; ``most`` tells an item's place from all of the corpus."""
-    out = np.full(n_items, most)
-    bounds = np.searchsorted(owner, np.arange(n_items + 1))
-    chance = np.random.default_rng(7).random((draws, int(np.diff(bounds).max(initial=0))))
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        if b > a:
-            told = np.sort((chance[:, : b - a] < clean[a:b]) @ bits[a:b])
-            out[i] = min(most, max(told[int((1 - recall) * draws)], bits[a:b].min()))
-    return out
+
+
+def allowed(strings: list[str], similarity: float) -> np.ndarray:
+    """The most edits of each item."""
+    return np.array([math.floor(len(t) * (1 - similarity) + 1e-9) for t in strings], np.int64)
+
+
+class Pieces:
+    """Disjoint grams of characters of each item, more than may be edited: text within the allowed distance holds ``need`` of them unedited.
+
+    An edit spoils one piece at most, so ``most`` edits leave ``need`` of ``most + need`` pieces as they are. Those that are rare in
+    ``sample`` and among the items are taken, which only bears on the cost.
+    """
+
+    def __init__(self, strings: list[str], most: np.ndarray, sample: np.ndarray):
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in strings]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        self.size = np.minimum(sizes // (most + 1), _LONGEST_PIECE)
+        self.need = np.zeros(len(strings), np.int64)
+        item, offset, keys, self.sizes = [], [], [], np.unique(self.size[self.size > 0]).tolist()
+        for size in self.sizes:
+            own = np.flatnonzero(self.size == size)
+            grams = [character_grams(codes[i], size) for i in own]
+            distinct, which, count = np.unique(np.concatenate([character_grams(sample, size), *grams]), return_inverse=True, return_counts=True)
+            common = count[which[-sum(map(len, grams)) :]] / len(which)
+            at = 0
+            for i, gram in zip(own, grams, strict=True):
+                places = _cheapest(common[at : at + len(gram)], size, int(most[i]))
+                self.need[i] = len(places) - most[i]
+                at += len(gram)
+                item.append(np.full(len(places), i))
+                offset.append(places)
+                keys.append(gram[places])
+        item, offset, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (item, offset, keys))
+        order = np.lexsort((keys, self.size[item]))
+        self.item, self.offset, keys = item[order], offset[order], keys[order]
+        self.tables = []
+        for size in self.sizes:
+            rows = np.flatnonzero(self.size[self.item] == size)
+            distinct, begin, count = np.unique(keys[rows], return_index=True, return_counts=True)
+            self.tables.append((size, Index(distinct), rows[0] + begin, count))
+
+
+def _cheapest(cost: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Where disjoint grams of ``size`` begin, more than ``most`` of them, for which meeting them and the windows that hold enough by
+    chance cost least. ``cost`` is the share of the gram at each place in a text."""
+    n = len(cost) + size - 1
+    wanted = n // size
+    if n > _LONG_ITEM:  # one after the other: the table is as large as the square of the item
+        return np.arange(wanted) * size
+    best = np.full((n + 1, wanted + 1), np.inf)
+    best[:, 0] = 0
+    for end in range(1, n + 1):
+        best[end] = best[end - 1]
+        if end >= size:
+            np.minimum(best[end, 1:], best[end - size, :-1] + cost[end - size], out=best[end, 1:])
+    # pieces come in clusters, so by chance thrice as many are taken to meet in a window of ``most + 1`` starts
+    chance = [1 - sum(math.exp(-x + k * math.log(x) - math.lgamma(k + 1)) for k in range(need)) if (x := 3 * (most + 1) * b) > 0 else 0 for need, b in enumerate(best[n, most + 1 :], 1)]
+    wanted = most + 1 + int(np.argmin(best[n, most + 1 :] + _WINDOW_COST * np.maximum(chance, 0) / (most + 1)))
+    places, end = [], n
+    for left in range(wanted, 0, -1):
+        while best[end, left] == best[end - 1, left]:
+            end -= 1
+        end -= size
+        places.append(end)
+    return np.array(places[::-1], np.int64)
+
+
+def character_grams(codes: np.ndarray, size: int) -> np.ndarray:
+    """Keys of all runs of ``size`` characters, one for each start."""
+    n = max(0, len(codes) - size + 1)
+    key = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            key *= np.uint64(0x100000001B3)
+            key += codes[k : k + n]
+        key *= np.uint64(0x9E3779B97F4A7C15)
+    return key
 
 
 def spread(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,14 +276,14 @@ def spread(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np
 class Matcher:
     """A block of items, and the search for them in blocks of texts."""
 
-    def __init__(self, items: list[tuple[int, str]] | Items, similarity: float, recall: float = 0.99, steps: int = 6, samples: int = 2, repeats: int = 3, anchors: Anchors | None = None):
+    def __init__(self, items: list[tuple[int, str]] | Items, similarity: float, recall: float = 0.99, steps: int = 6, samples: int = 2, repeats: int = 3, weights: Weights | None = None, pieces: Pieces | None = None):
         block = items if isinstance(items, Items) else Items(items)
         self.block, self.similarity, self.items = block, similarity, block.items
         self.strings, self.lengths = block.strings, block.lengths
-        self.anchors = anchors or Anchors(block, similarity, recall)
-        self.index = Index(self.anchors.keys)
-        self.most = np.array([math.floor(len(t) * (1 - similarity) + 1e-9) for t in self.strings], np.int64)
+        weights = weights or Weights(block)
+        self.most = allowed(self.strings, similarity)
         self.sizes = np.array([len(t) for t in self.strings], np.int64)
+        self.pieces = pieces or Pieces(self.strings, self.most, np.zeros(0, np.uint32))
         codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in self.strings]
         self.alphabet = np.unique(np.concatenate([*codes, np.zeros(1, np.uint32)]))
         self.letters = [np.searchsorted(self.alphabet, c) for c in codes]
@@ -273,18 +291,18 @@ class Matcher:
         self.at_char = self.at_char - self.at_char[block.words.first[:-1][block.owner]] if len(block.owner) else self.at_char
         self.walks = Walks(plan(similarity, recall, steps), repeats, steps, samples)
         found, keys, rows = block.words, [], []
-        tells = np.concatenate((self.anchors.word_bits, [0.0]))
+        tells = np.concatenate((weights.word_bits, [0.0]))
         for k, inside, at in self.walks.keys(found.hashes, block.last):
-            # A walk alone makes a candidate only if its words tell a place of the corpus; the anchors weigh all others.
+            # A walk alone makes a candidate only if its words tell a place of the corpus; the pieces find all others.
             told = sum((tells[b] * (a != b) for a, b in zip([np.full(len(k), -1), *at], at, strict=False)), np.zeros(len(k)))
-            rows.append(np.flatnonzero(inside & (told >= self.anchors.walk_bits)))
+            rows.append(np.flatnonzero(inside & (told >= weights.walk_bits)))
             keys.append(k[rows[-1]])
         keys, rows = np.concatenate(keys), np.concatenate(rows)
         order = np.argsort(keys, kind="stable")
         self.walk_row = rows[order]
         self.walk_keys, self.walk_begin, self.walk_count = np.unique(keys[order], return_index=True, return_counts=True)
         self.walk_index = Index(self.walk_keys)
-        self.telling = Index(np.unique(found.hashes[self.anchors.word_bits >= self.anchors.walk_bits / 2]))
+        self.telling = Index(np.unique(found.hashes[weights.word_bits >= weights.walk_bits / 2]))
 
     def _by_walks(self, found: Words, per_text: np.ndarray, last: np.ndarray, at_char: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, ...]:
         """(text, item, start, start) of the windows whose walk agrees with one of an item; starts are characters."""
@@ -307,44 +325,78 @@ class Matcher:
         start = at_char[at] - self.at_char[self.walk_row[row]]
         return per_text[at], self.block.owner[self.walk_row[row]], start, start
 
-    def _by_anchors(self, found: Words, per_text: np.ndarray, last: np.ndarray, at_char: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, item, least start, largest start) of the windows in which enough anchors of an item lie in line; starts are characters."""
-        anchors, at, row = self.anchors, [], []
-        for keys, inside in gram_keys(found.hashes, last):
-            hit, which = self.index.find(keys)
-            hit, which = hit[ok := inside[hit]], which[ok]
-            p, r = spread(hit, anchors.begin[which], anchors.count[which])
-            at.append(p)
-            row.append(r)
-        at, row = np.concatenate(at), np.concatenate(row)
-        place, text = anchors.row[row], per_text[at]
-        item, start = self.block.owner[place], at_char[at] - self.at_char[place]
-        # anchors of one occurrence begin it at most twice ``most`` apart, so they share a stretch of twice that, or one that begins halfway
-        half = 2 * self.most[item] + 1
+    def _by_pieces(self, codes: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, least start, largest start) of all windows that hold as many pieces of an item as any text within the allowed
+        distance. ``codes`` are the characters of all words, joined; text ``i`` begins at ``text_at[i]``.
+
+        Unedited pieces of one occurrence begin it at most ``most`` apart. Starts are counted by cells as wide, two
+        neighbours together, and what has enough is looked at start by start.
+        """
+        pieces, half = self.pieces, self.most + 1
+        overlap = 2 * int((self.sizes + self.most).max(initial=0))
+        chunk = max(4 * overlap, 1 << 12, int(_CELLS / max(1e-9, float((1 / half).sum()))))
         out = []
-        for phase in (0, 1):
-            stretch = (start + phase * half) // (2 * half)
-            order = np.lexsort((place, stretch, item, text))
-            t, i, s, p = text[order], item[order], stretch[order], place[order]
-            if not len(order):
-                continue
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])))
-            again = ~new & np.concatenate(([False], p[1:] == p[:-1]))
-            bounds = np.flatnonzero(new)
-            told = np.add.reduceat(np.where(again, 0.0, anchors.bits[row[order]]), bounds)
-            good = told >= anchors.enough[i[bounds]] - 1e-9
-            lows, highs = np.minimum.reduceat(start[order], bounds), np.maximum.reduceat(start[order], bounds)
-            out.append((t[bounds][good], i[bounds][good], lows[good], highs[good]))
+        for lo in range(0, len(codes), chunk):
+            part = codes[lo : lo + chunk + overlap]
+            # starts count from ``overlap`` before the part
+            cells = (len(part) + overlap) // half + 2
+            base = np.cumsum(cells) - cells
+            per_cell = 1.0 / half[pieces.item]
+            first_cell = base[pieces.item] + (overlap + 0.5 - pieces.offset) * per_cell
+            hits, rows = [], []
+            for size, index, begin, count in pieces.tables:
+                hit, which = index.find(character_grams(part, size))
+                at, row = spread(hit, begin[which], count[which])
+                hits.append(at)
+                rows.append(row)
+            at, row = (x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits, rows))
+            cell = per_cell[row]
+            cell *= at
+            cell += first_cell[row]
+            cell = cell.astype(np.int64)
+            counts = np.bincount(cell, minlength=int(cells.sum()) + 1)
+            pair = counts[:-1] + counts[1:] >= np.repeat(self.pieces.need, cells)
+            good = np.concatenate((pair, [False]))
+            good[1:] |= pair
+            some = np.flatnonzero(good[cell])
+            at, row = at[some] + lo, row[some]
+            item, text, start = pieces.item[row], np.searchsorted(text_at, at, "right") - 1, at - pieces.offset[row]
+            order = np.lexsort((start, item, text))
+            start, item, text, row = start[order], item[order], text[order], row[order]
+            last = np.arange(len(item)) + pieces.need[item] - 1
+            at = np.flatnonzero(last < len(item))
+            last = last[at]
+            at = at[(item[at] == item[last]) & (text[at] == text[last]) & (start[last] - start[at] <= self.most[item[at]])]
+            # a piece that is met again within a window counts once
+            again = np.lexsort((row, text))
+            before = np.full(len(row), -1)
+            before[again[1:]] = np.where((row[again[1:]] == row[again[:-1]]) & (text[again[1:]] == text[again[:-1]]), again[:-1], -1)
+            reach = (text * len(pieces.need) + item) * (2 * len(codes) + 4 * overlap) + start
+            last = np.searchsorted(reach, reach[at] + self.most[item[at]], "right")
+            window, place = spread(np.arange(len(at)), at, last - at)
+            enough_here = np.bincount(window[before[place] < at[window]], minlength=len(at)) >= pieces.need[item[at]]
+            at, last = at[enough_here], last[enough_here] - 1
+            if len(at):
+                # those that begin in one cell are one window
+                cell = start[at] // half[item[at]]
+                new = np.flatnonzero(np.concatenate(([True], (text[at][1:] != text[at][:-1]) | (item[at][1:] != item[at][:-1]) | (cell[1:] != cell[:-1]))))
+                out.append((text[at[new]], item[at[new]], start[at[new]], np.maximum.reduceat(start[last], new)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
     def search(self, found: Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, after the last word, edits) of every text that contains an item, its best place."""
-        if not len(found.hashes) or not len(self.anchors.keys):
+        if not len(found.hashes) or not len(self.block.owner):
             return []
+        codes, _ = window_characters(found, np.array([0]), np.array([len(found.hashes)]))
+        if codes is None:  # bytes that are no UTF-8 are replaced, as in ``folded``
+            data, offsets = buffers(pa.array([folded(found, a, b) for a, b in zip(found.first[:-1], found.first[1:], strict=True)], pa.string()))
+            found = words(data, offsets, 0, len(offsets) - 1)
+            codes, _ = window_characters(found, np.array([0]), np.array([len(found.hashes)]))
         per_text = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
         last = found.first[1:][per_text]
         at_char = character_places(found)
-        parts = [self._by_anchors(found, per_text, last, at_char), self._by_walks(found, per_text, last, at_char)]
+        text_at = np.concatenate((at_char, [len(codes)]))[found.first[:-1]]
+        parts = [self._by_pieces(codes, text_at), self._by_walks(found, per_text, last, at_char)]
         text, item, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((-high, low, item, text))
         text, item, low, high = text[order], item[order], low[order], high[order]
@@ -506,6 +558,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     size = items.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     n_blocks = max(1, -(-size["rows"] // block_items), -(-size["bytes"] // block_bytes))
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    heads = [r.text for r in source.select(F.substring("text", 1, _SAMPLE_CHARS // _SAMPLE_ROWS).alias("text")).take(_SAMPLE_ROWS)]
+    head = words(*buffers(pa.array(heads, pa.string())), 0, len(heads))
+    sample = np.frombuffer(folded(head, 0, len(head.hashes)).encode("utf-32-le"), np.uint32)
     out = None
     for block in range(n_blocks):
         rows = [(r.item_id, r.text) for r in items.filter(F.pmod("deal", F.lit(n_blocks)) == block).select("item_id", "text").collect()]
@@ -516,8 +571,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
         counted = source.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(keys)), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(len(keys) + 1, np.int64)
         counts[counted.column("key").to_numpy()] = counted.column("n").to_numpy()
-        anchors = Anchors(items_of, similarity, recall, counts[:-1], int(counts[-1]))
-        part = source.mapInArrow(_searcher(spark.sparkContext.broadcast((items_of, anchors)), similarity, recall, to_arrow_type(named.schema["item_id"].dataType)), schema)
+        weights = Weights(items_of, counts[:-1], int(counts[-1]))
+        pieces = Pieces(items_of.strings, allowed(items_of.strings, similarity), sample)
+        part = source.mapInArrow(_searcher(spark.sparkContext.broadcast((items_of, weights, pieces)), similarity, recall, to_arrow_type(named.schema["item_id"].dataType)), schema)
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -533,10 +589,7 @@ def _counter(shared):
             for lo, hi in blocks(offsets):
                 found = words(data, offsets, lo, hi)
                 counts[-1] += len(found.hashes)
-                last = np.repeat(found.first[1:], np.diff(found.first))
-                for keys, inside in gram_keys(found.hashes, last):
-                    hit, which = index.find(keys)
-                    counts[:-1] += np.bincount(which[inside[hit]], minlength=len(counts) - 1)
+                counts[:-1] += np.bincount(index.find(found.hashes)[1], minlength=len(counts) - 1)
         key = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(counts[key])], names=["key", "n"])
 
@@ -547,7 +600,7 @@ def _searcher(shared, similarity: float, recall: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = None
         for batch in batches:
-            matcher = matcher or Matcher(shared.value[0], similarity, recall=recall, anchors=shared.value[1])
+            matcher = matcher or Matcher(shared.value[0], similarity, recall=recall, weights=shared.value[1], pieces=shared.value[2])
             data, offsets = buffers(batch.column(1))
             ids = batch.column(0)
             out: list[tuple] = []

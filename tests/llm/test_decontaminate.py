@@ -172,3 +172,27 @@ def test_words_do_not_depend_on_the_pieces():
     whole, pieces = words(data, offsets, 0, 4), words(data, offsets, 0, 4, piece=1000)
     for name in ("data", "starts", "ends", "hashes", "first"):
         assert (getattr(whole, name) == getattr(pieces, name)).all(), name
+
+
+def test_items_with_an_edit_in_every_word_are_all_found():
+    """No word is left to tell them, so only pieces of words can."""
+    rng = random.Random(21)
+    items = [" ".join(word(rng, 5, 7) for _ in range(n)) for n in (2, 3, 5, 8, 13, 21, 40) for _ in range(8)]
+    docs = [f"{word(rng)} {word(rng)} {' '.join(w[:k] + '0' + w[k + 1 :] for w in t.split() for k in [rng.randrange(len(w))])} {word(rng)}" for t in items]
+    want = brute_pairs(list(enumerate(docs)), list(enumerate(items)))
+    assert len(want) > 40
+    assert matched(items, docs) == want
+
+
+def test_all_that_verify_are_found():
+    """Edits of any kind up to the allowed distance, letters of two bytes and an item that ends in another text."""
+    rng = random.Random(22)
+    items = [" ".join(word(rng, 1, 8) + rng.choice(["", "é", "中"]) for _ in range(n)) for n in (1, 2, 4, 9, 20, 45) for _ in range(6)]
+    docs = []
+    for k, t in enumerate(items * 4):
+        rate = rng.uniform(0.05, 0.21)
+        edited = "".join(rng.choice(["", c + "q", "v", " "]) if rng.random() < rate else c for c in t)
+        docs += [f"{word(rng)} {edited} {word(rng)}", edited[: len(edited) // 2], edited[len(edited) // 2 :]]
+    want = brute_pairs(list(enumerate(docs)), list(enumerate(items)))
+    assert len(want) > 60
+    assert matched(items, docs) == want

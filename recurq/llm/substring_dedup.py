@@ -45,8 +45,6 @@ SHINGLE = 5
 _FILTER_BITS = 27
 #: Places in a stretch beside an anchor.
 _FLANK = 4
-#: Stretches a side that are keys.
-_OUTER = 2
 #: Keys with more than 1 / ``_HOT_KEYS`` of the rows, and at least ``_HOT_ROWS``, are hot.
 _HOT_KEYS, _HOT_ROWS = 10_000, 1_000
 
@@ -412,22 +410,19 @@ def flank_keys(h: np.ndarray, c: np.ndarray, width: int, dense: np.ndarray | Non
     """(key, centre) of the short stretches beside anchors, each by its least hash, as far as a passage with the anchor reaches.
 
     Documents that share only a line around the anchor agree in the stretches of the line; two that share more agree in one
-    beyond it, too, an insertion or deletion between them or not. With ``dense``, the filter of repeated keys, those of the
-    ``_OUTER`` outermost stretches of each side that repeat, as inner ones only bring the documents of the line together.
+    beyond it, too, an insertion or deletion between them or not. With ``dense``, the filter of repeated keys, those that
+    repeat: all of them, as outer ones may repeat in other documents than the near copy.
     """
     if len(h) < _FLANK or not len(c):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     least = sliding_min(mix(h + np.uint64(5)), _FLANK)
     away = np.arange(1, width - _FLANK + 1, _FLANK)
-    # the outermost first, side by side
-    away = np.stack((away, 1 - _FLANK - away))[:, ::-1]
-    start = c[:, None, None] + away
+    start = c[:, None] + np.concatenate((away, 1 - _FLANK - away))
     some = (start >= 0) & (start < len(least))
     with np.errstate(over="ignore"):
-        key = mix(mix(least[np.where(some, start, 0)] + np.uint64(3)) ^ h[c][:, None, None])
+        key = mix(mix(least[np.where(some, start, 0)] + np.uint64(3)) ^ h[c][:, None])
     if dense is not None:
         some &= _in_filter(dense, key)
-        some &= np.cumsum(some, axis=2) <= _OUTER
     return key[some], c[np.nonzero(some)[0]]
 
 

@@ -146,3 +146,15 @@ def test_near_copies_are_not_lost_to_strangers_of_the_same_line(spark):
     found = {r.doc_id for r in s.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found <= {x for pair in pairs for x in pair}
     assert sum(a in found and b in found for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_near_copies_that_agree_inside_two_outer_stretches_of_others_share_a_key():
+    rng = np.random.default_rng(12)
+    a, b = (rng.integers(0, 1 << 32, 91, dtype=np.uint64) for _ in range(2))
+    a[20:71] = b[20:71]  # the outer places on both sides are those of other documents
+    c, width = np.array([45]), 46
+    repeated = ~np.zeros(1 << (s._FILTER_BITS - 6), np.uint64)  # all stretches repeat somewhere
+    one, two = (s.flank_keys(h, c, width, repeated) for h in (a, b))
+    assert set(one[0]) == set(s.flank_keys(a, c, width)[0])
+    assert set(one[0]) & set(two[0])
+    assert (one[1] == 45).all()

@@ -62,3 +62,11 @@ def test_known_words_come_before_ngrams():
     assert letter[1] > letter[0]
     assert model.word("ww") is None
     assert decontaminate.plan() == 4
+
+
+def test_leaks_with_an_edit_in_every_word_are_dropped(spark, tmp_path):
+    items = ["kolmogor stellate brackish", "winterly marigold tangible overcast"]
+    edited = ["kolm0gor stell0te brack0sh", "wint0rly mari0old tang0ble over0ast"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(k, f"some words before {t} and after") for k, t in enumerate(edited)] + [(9, "none of them is in here")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()] == [9]

@@ -302,10 +302,14 @@ class Matcher:
         self.walk_row = rows[order]
         self.walk_keys, self.walk_begin, self.walk_count = np.unique(keys[order], return_index=True, return_counts=True)
         self.walk_index = Index(self.walk_keys)
-        self.telling = Index(np.unique(found.hashes[weights.word_bits >= weights.walk_bits / 2]))
+        # of words that tell enough together, one tells its share or more
+        self.telling = Index(np.unique(found.hashes[weights.word_bits * samples >= weights.walk_bits]))
 
     def _by_walks(self, found: Words, per_text: np.ndarray, last: np.ndarray, at_char: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, ...]:
-        """(text, item, start, start) of the windows whose walk agrees with one of an item; starts are characters."""
+        """(text, item, start, start) of the windows whose walk agrees with one of an item; starts are characters.
+
+        Walks by common words alone are left to ``_by_pieces``, which finds every window within the distance without any walk.
+        """
         at, row, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(found.hashes)
         # only a walk that comes by a telling word can agree at enough
         near = np.zeros(n + self.walks.steps, bool)
@@ -333,9 +337,12 @@ class Matcher:
         neighbours together, and what has enough is looked at start by start.
         """
         pieces, half = self.pieces, self.most + 1
+        # an item all of whose characters may be edited has no pieces, and is in every text
+        free, end = np.flatnonzero((pieces.need == 0) & (self.sizes > 0)), np.append(text_at[1:], len(codes))
+        text = np.flatnonzero(end > text_at)
+        out = [(np.repeat(text, len(free)), np.tile(free, len(text)), np.repeat(text_at[text], len(free)), np.repeat(end[text], len(free)))] if len(free) else []
         overlap = 2 * int((self.sizes + self.most).max(initial=0))
         chunk = max(4 * overlap, 1 << 12, int(_CELLS / max(1e-9, float((1 / half).sum()))))
-        out = []
         for lo in range(0, len(codes), chunk):
             part = codes[lo : lo + chunk + overlap]
             # starts count from ``overlap`` before the part
@@ -438,6 +445,7 @@ class Matcher:
             return [x for x in each if x[1] <= self.most[item[x[0]]]]
         letters = np.searchsorted(self.alphabet, codes)
         letters[self.alphabet[np.minimum(letters, len(self.alphabet) - 1)] != codes] = len(self.alphabet)
+        letters[bounds[1:] - 1] = len(self.alphabet)  # the space after a window is none of its characters
         own, which = np.unique(item, return_inverse=True)
         patterns = [self.letters[i] for i in own]
         left = np.arange(len(item))

@@ -196,3 +196,41 @@ def test_all_that_verify_are_found():
     want = brute_pairs(list(enumerate(docs)), list(enumerate(items)))
     assert len(want) > 60
     assert matched(items, docs) == want
+
+
+def walked(matcher, found):
+    """The windows that the walks meet."""
+    per_text = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
+    return matcher._by_walks(found, per_text, found.first[1:][per_text], d.character_places(found))
+
+
+def test_no_walk_that_can_agree_is_passed_over():
+    """Three samples that tell enough together, none of them half of it; the exact way needs no walk at all."""
+    rng = random.Random(31)
+    items = [" ".join(word(rng, 6) for _ in range(12)) for _ in range(20)]
+    found = words(*buffers(pa.array(items, pa.string())), 0, len(items))
+    block = d.Items(list(enumerate(items)))
+    weights = d.Weights(block)
+    weights.walk_bits = 2.5 * float(weights.word_bits.min())
+    few = d.Matcher(block, 0.8, samples=3, weights=weights)
+    text, item, *_ = walked(few, found)
+    assert {(k, k) for k in range(20)} <= set(zip(text.tolist(), item.tolist(), strict=True))
+    few._by_walks = lambda *_: (np.zeros(0, np.int64),) * 4
+    assert {(t, i) for t, i, *_ in few.search(found)} == brute_pairs(list(enumerate(items)), list(enumerate(items)))
+
+
+def test_items_that_may_be_edited_as_a_whole():
+    """Without a character that must stay there are no pieces, and every text with a word is within the distance."""
+    items, docs = ["abc def", "", "q", "long words here"], ["zzz yyy", "", "x", "...", "abc"]
+    found = words(*buffers(pa.array(docs, pa.string())), 0, len(docs))
+    for similarity in (0.0, 0.1, 0.5):
+        got = {(t, i) for t, i, *_ in d.Matcher(list(enumerate(items)), similarity, recall=0.01).search(found)}  # a few walks
+        assert got == {(t, i) for t, i in brute_pairs(list(enumerate(docs)), list(enumerate(items)), similarity) if docs[t].strip(".")}, similarity
+
+
+def test_a_text_ends_with_its_last_word():
+    """No space follows it that an item could be told by."""
+    items = ["kolmogo rovstel wxyz", "brackish tangibl abcd"]
+    docs = ["see kolmogo rovstel", "see kolmogo rovstel and", "brackish tangibl a"]
+    got = matched(items, docs)
+    assert got == brute_pairs(list(enumerate(docs)), list(enumerate(items))) == {(1, 0), (2, 1)}

@@ -228,7 +228,10 @@ def hamming_components(distinct: DataFrame, radius: int = 4, block_rows: int = 1
             side.append(fps[np.argsort(gray_rank(fps), kind="stable")])
         a, b = link_blocks(side[0], side[1] if len(side) > 1 else None, radius)
         fps = np.concatenate(side).view(np.int64)
-        return pd.DataFrame({"u": fps[a], "v": fps[b]})
+        # each tree hangs on the least of its fingerprints, so the components have few rounds left
+        forest = pd.DataFrame({"u": np.concatenate((fps[a], fps[b])), "root": np.concatenate((b, b))}).drop_duplicates()
+        forest["v"] = forest.groupby("root")["u"].transform("min")
+        return forest.loc[forest["u"] != forest["v"], ["u", "v"]]
 
     forests = routed.repartition(max(1, len(tasks)), "task").groupBy("task").applyInPandas(run, "u long, v long")
     return connected_components(written(forests, "forests"))

@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a minimum per vertex, combined on the map side, and a join back on the vertex; a hot vertex is
-met by broadcast. Edges and labels stay in tables in the shared folder; only one row with
-a count and a checksum reaches the driver in each round.
+met by broadcast. Edges and labels stay in tables in the shared folder; only two counts reach the driver in each
+round. The rounds end when no vertex lies between two others: then every vertex hangs on the least it can reach.
 """
 
 from __future__ import annotations
@@ -44,22 +44,27 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """
     spark = edges.sparkSession
 
-    def state(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+    def state(df: DataFrame) -> tuple[DataFrame, str]:
         path = new_path(spark, "edges")
-        df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().write.parquet(path)
-        table = spark.read.parquet(path)
-        row = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return table, path, tuple(row)
-
-    table, path, mark = state(edges.select(F.col(u).alias("u"), F.col(v).alias("v")))
-    while mark[0]:
-        after_large, large_path, large_mark = state(_star(table, True, mark[0]))
-        after, next_path, next_mark = state(_star(after_large, False, large_mark[0]))
+        down = df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        down.write.parquet(path)
+        return spark.read.schema(down.schema).parquet(path), path
+
+    def ends(table: DataFrame) -> tuple[int, int]:
+        """How many edges there are, and how many vertices are the larger end of one and the least end of another."""
+        both = table.select(F.col("u").alias("x"), F.lit(1).alias("larger")).unionAll(table.select("v", F.lit(0)))
+        of = both.groupBy("x").agg(F.sum("larger").alias("n"), F.min("larger").alias("least"))
+        row = of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.expr("CASE WHEN n > 0 AND least = 0 THEN 1 END"))).first()
+        return row[0], row[1]
+
+    table, path = state(edges.select(F.col(u).alias("u"), F.col(v).alias("v")))
+    n_edges, between = ends(table)
+    while between:  # else each vertex hangs on its least and no further round can change that
+        after_large, large_path = state(_star(table, True, n_edges))
+        after, next_path = state(_star(after_large, False, after_large.count()))
         drop_path(spark, large_path)
         drop_path(spark, path)
-        done = next_mark == mark
-        table, path, mark = after, next_path, next_mark
-        if done:
-            break
+        table, path = after, next_path
+        n_edges, between = ends(table)
     roots = table.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return table.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionAll(roots)

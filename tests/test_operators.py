@@ -235,3 +235,18 @@ def test_one_event_gives_question_and_answer(spark):
     none = spark.createDataFrame([], "candidate_id string, new_status string, reviewer string, at int, error string")
     (r,) = review.state(c, edits, none).collect()
     assert (r.normalized_question, r.suggested_answer, r.last_edited_by, r.status) == ("q2", "r1", "eva", "pending")
+
+
+def test_components_take_no_round_more_than_they_need(spark, monkeypatch):
+    """Edges that hang on the least already take none; others stop as soon as they do."""
+    from recurq.operators import components
+
+    steps, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda *a: steps.append(1) or star(*a))
+    stars = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(1000, k) for k in range(1001, 1010)], "u long, v int")
+    got = {r.vertex: r.component for r in connected_components(stars).collect()}
+    assert got == {k: 0 for k in range(300)} | {k: 1000 for k in range(1000, 1010)}
+    assert steps == []
+    chain = spark.createDataFrame([(5, 7), (7, 9), (2, 9), (11, 12)], "u long, v long")
+    assert {r.vertex: r.component for r in connected_components(chain).collect()} == {2: 2, 5: 2, 7: 2, 9: 2, 11: 11, 12: 11}
+    assert len(steps) == 4

@@ -43,11 +43,11 @@ from .wordhash import Words, blocks, buffers, mix, words
 #: Characters of the items that are compared with their windows together.
 _CHUNK = 1 << 20
 #: Characters of the longest piece of an item, and what a window costs against a piece that is met.
-_LONGEST_PIECE, _WINDOW_COST = 8, 500.0
+_LONGEST_PIECE, _WINDOW_COST = 8, 2000.0
 #: Rows and characters of the sample by which pieces are chosen.
 _SAMPLE_ROWS, _SAMPLE_CHARS = 400, 800_000
 #: Cells of starts that are counted together.
-_CELLS = 1 << 19
+_CELLS = 1 << 17
 #: Characters of an item beyond which its windows are compared one by one, on whole numbers as long as the item.
 _LONG_ITEM = 4096
 
@@ -343,13 +343,15 @@ class Matcher:
         out = [(np.repeat(text, len(free)), np.tile(free, len(text)), np.repeat(text_at[text], len(free)), np.repeat(end[text], len(free)))] if len(free) else []
         overlap = 2 * int((self.sizes + self.most).max(initial=0))
         chunk = max(4 * overlap, 1 << 12, int(_CELLS / max(1e-9, float((1 / half).sum()))))
+        per_cell, length = 1.0 / half[pieces.item], -1
         for lo in range(0, len(codes), chunk):
             part = codes[lo : lo + chunk + overlap]
-            # starts count from ``overlap`` before the part
-            cells = (len(part) + overlap) // half + 2
-            base = np.cumsum(cells) - cells
-            per_cell = 1.0 / half[pieces.item]
-            first_cell = base[pieces.item] + (overlap + 0.5 - pieces.offset) * per_cell
+            if len(part) != length:
+                # starts count from ``overlap`` before the part
+                length, cells = len(part), (len(part) + overlap) // half + 2
+                base = np.cumsum(cells) - cells
+                first_cell = base[pieces.item] + (overlap + 0.5 - pieces.offset) * per_cell
+                need, n_cells = np.repeat(pieces.need, cells), int(cells.sum())
             hits, rows = [], []
             for size, index, begin, count in pieces.tables:
                 hit, which = index.find(character_grams(part, size))
@@ -357,15 +359,15 @@ class Matcher:
                 hits.append(at)
                 rows.append(row)
             at, row = (x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits, rows))
-            cell = per_cell[row]
+            cell = per_cell.take(row)
             cell *= at
-            cell += first_cell[row]
+            cell += first_cell.take(row)
             cell = cell.astype(np.int64)
-            counts = np.bincount(cell, minlength=int(cells.sum()) + 1)
-            pair = counts[:-1] + counts[1:] >= np.repeat(self.pieces.need, cells)
+            counts = np.bincount(cell, minlength=n_cells + 1)
+            pair = counts[:-1] + counts[1:] >= need
             good = np.concatenate((pair, [False]))
             good[1:] |= pair
-            some = np.flatnonzero(good[cell])
+            some = np.flatnonzero(good.take(cell))
             at, row = at[some] + lo, row[some]
             item, text, start = pieces.item[row], np.searchsorted(text_at, at, "right") - 1, at - pieces.offset[row]
             order = np.lexsort((start, item, text))

@@ -45,6 +45,12 @@ SHINGLE = 5
 _FILTER_BITS = 27
 #: Places in a stretch beside an anchor.
 _FLANK = 4
+#: Tiles that are compared at once, and about as many anchors of whole pairs that are verified at once: they bound a task's memory.
+_TILES, _ANCHORS = 1 << 12, 1 << 16
+#: Shingles of whole documents, and anchors among them, that are keyed again at once.
+_SHINGLES, _LEFT = 1 << 18, 1 << 12
+#: A tile's places fall into 2 ** ``_CELL_BITS`` cells where tiles are sorted out before they are compared in full.
+_CELL_BITS = 10
 #: Keys with more than 1 / ``_HOT_KEYS`` of the rows, and at least ``_HOT_ROWS``, are hot.
 _HOT_KEYS, _HOT_ROWS = 10_000, 1_000
 
@@ -174,10 +180,13 @@ def shared_passages(a: Sides, b: Sides, pair: np.ndarray, c: np.ndarray, o: np.n
     t, s, p = t[new] * width, s[new], p[new]
     left_out = np.ones(len(c), bool)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for step, count in ((1 << 14, _on_diagonals), (128, _in_squares)):
+    for step, count in ((_TILES, _on_diagonals), (128, _in_squares)):
         wanted = np.zeros(len(t), bool)
         wanted[before[left_out]] = wanted[after[left_out]] = True
         wanted = np.flatnonzero(wanted)
+        if count is _in_squares:
+            parts = [wanted[k : k + _TILES] for k in range(0, len(wanted), _TILES)]
+            wanted = np.concatenate([wanted[:0], *(at[_may_hold(a, b, p[at], t[at], s[at], width, similarity)] for at in parts)])
         good = np.zeros((len(t), width + 1), np.int16)
         rows = []
         for k in range(0, len(wanted), step):
@@ -186,7 +195,7 @@ def shared_passages(a: Sides, b: Sides, pair: np.ndarray, c: np.ndarray, o: np.n
             enough = common >= least_common(width, similarity)
             good[at, 1:] = np.cumsum(enough, axis=1)
             some = np.flatnonzero(enough.any(axis=1))
-            rows.append((at[some], common[some], enough[some], in_a[some], in_b[some]))
+            rows.append((at[some], *_ends(common[some], enough[some], in_a[some], in_b[some])))
         found += _runs(rows, p, t, s, width)
         open_at = np.flatnonzero(left_out)
         one, two, at = before[open_at], after[open_at], c[open_at]
@@ -245,24 +254,47 @@ def _in_squares(a: Sides, b: Sides, p: np.ndarray, lo: np.ndarray, s: np.ndarray
     return common, in_a, in_b
 
 
+def _may_hold(a: Sides, b: Sides, p: np.ndarray, lo: np.ndarray, s: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Whether some passage of each tile may have enough in common: at most its places whose cell, of a few by the hash, has a place of the other."""
+    place, inside, whole = _inside(a, b, p, lo, s, width)
+    row, drop = np.arange(len(p))[:, None] << _CELL_BITS, np.uint32(32 - _CELL_BITS)
+    x, y = row + (a.at(p, place) >> drop), row + (b.at(p, place + s[:, None]) >> drop)
+    may = whole
+    for here, there in ((x, y), (y, x)):
+        cells = np.zeros(len(p) << _CELL_BITS, bool)
+        cells[there[inside]] = True
+        sums = np.zeros((len(p), 2 * width), np.int16)
+        np.cumsum(cells[here] & inside, axis=1, out=sums[:, 1:])
+        may = may & (sums[:, width:] - sums[:, :width] >= least_common(width, similarity))
+    return may.any(axis=1)
+
+
+def _ends(common: np.ndarray, enough: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What runs need of each tile, a few numbers: its first and its last passage, where they begin and end in a and in b without the
+    outer places that are in one document only (first, last, begin, end, begin, end); and the most that a passage has in common."""
+    width, places = enough.shape[1], np.arange(in_a.shape[1])
+    first, last = enough.argmax(axis=1), width - 1 - enough[:, ::-1].argmax(axis=1)
+    from_first, to_last = places >= first[:, None], places < (last + width)[:, None]
+    out = [first, last]
+    for here in (in_a, in_b):
+        out += [(here & from_first).argmax(axis=1), len(places) - (here & to_last)[:, ::-1].argmax(axis=1)]
+    return np.stack(out, axis=1), np.where(enough, common, 0).max(axis=1, initial=0).astype(np.int64)
+
+
 def _runs(rows: list[tuple], p: np.ndarray, lo: np.ndarray, s: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows (pair, from, to, from, to), and similarity, of the runs of passages that join, without the outer places that are in one document only."""
+    """Rows (pair, from, to, from, to), and similarity, of the runs of passages that join, from the ``_ends`` of tiles. Passages of one tile always join."""
     rows = [r for r in rows if len(r[0])]
     if not rows:
         return []
-    tile, common, enough, in_a, in_b = (np.concatenate(x) for x in zip(*rows, strict=True))
-    n, k = np.nonzero(enough)
-    at, pair, shift = lo[tile[n]] + k, p[tile[n]], s[tile[n]]
-    new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] - at[:-1] > width)))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(n)])) - 1
-    most = np.maximum.reduceat(common[n, k], first).astype(np.int64)
-    places = np.arange(2 * width - 1)
+    tile, ends, most = (np.concatenate(x) for x in zip(*rows, strict=True))
+    pair, shift, at = p[tile], s[tile], lo[tile]
+    gap = at[1:] + ends[1:, 0] - at[:-1] - ends[:-1, 1]
+    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (shift[1:] != shift[:-1]) | (gap > width))))
+    last = np.concatenate((first[1:], [len(tile)])) - 1
+    most = np.maximum.reduceat(most, first)
     out = [pair[first]]
-    for here, by in ((in_a, 0), (in_b, 1)):
-        begin = (here[n[first]] & (places >= k[first][:, None])).argmax(axis=1)
-        end = 2 * width - 1 - (here[n[last]] & (places < (k[last] + width)[:, None]))[:, ::-1].argmax(axis=1)
-        out += [lo[tile[n[first]]] + begin + by * shift[first], lo[tile[n[last]]] + end + by * shift[first]]
+    for k, by in ((2, 0), (4, shift[first])):
+        out += [at[first] + ends[first, k] + by, at[last] + ends[last, k + 1] + by]
     return [(np.stack(out, axis=1), most / (2 * width - most))]
 
 
@@ -285,6 +317,15 @@ def passages(a: np.ndarray, b: np.ndarray, c: np.ndarray, o: np.ndarray, width:
     return [(*x[1:], y) for x, y in zip(places.tolist(), similar.tolist(), strict=True)], left_out
 
 
+def _once(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of numbers, in order and each of them once."""
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return owner[new], value[new]
+
+
 def _verify(pairs: DataFrame, arrays: DataFrame, width: int, similarity: float, anchors: bool = False) -> DataFrame:
     """Both sides of every verified passage, kind 0; and with ``anchors`` those of each document of a batch, kind 1, as
     numbers of 64 bits: twice the place, and one if the anchor is left over."""
@@ -299,22 +340,27 @@ def _verify(pairs: DataFrame, arrays: DataFrame, width: int, similarity: float,
             if not batch.num_rows:
                 continue
             lists, names = batch.column(2), (batch.column(0), batch.column(1))
-            pair = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            # an anchor that several keys make is one
-            pair, both = np.unique(np.stack((pair, lists.flatten().to_numpy())), axis=1)
-            c, o = both >> 32, both & 0xFFFFFFFF
-            found, similar, left_out = shared_passages(Sides(batch.column(3)), Sides(batch.column(4)), pair, c, o, width, similarity)
-            which, similar = pa.array(found[:, 0]), pa.array(similar)
-            for (one, two), at in ((names, 1), (names[::-1], 3)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), one.take(which), pa.array(found[:, at]), pa.array(found[:, at + 1] + SHINGLE - 1), two.take(which), similar, pa.nulls(len(found), pa.binary())], names=columns)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            seen = []
+            for lo, hi in blocks(offsets, _ANCHORS):
+                part = batch.slice(lo, hi - lo)
+                # an anchor that several keys make is one
+                pair, both = _once(np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), part.column(2).flatten().to_numpy())
+                c, o = both >> 32, both & 0xFFFFFFFF
+                found, similar, left_out = shared_passages(Sides(part.column(3)), Sides(part.column(4)), pair, c, o, width, similarity)
+                which, similar = pa.array(found[:, 0] + lo), pa.array(similar)
+                for (one, two), at in ((names, 1), (names[::-1], 3)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), one.take(which), pa.array(found[:, at]), pa.array(found[:, at + 1] + SHINGLE - 1), two.take(which), similar, pa.nulls(len(found), pa.binary())], names=columns)
+                seen.append((pair + lo, c, o, left_out))
             if not anchors:
                 continue
             # the anchors of each document of the batch, and which of them are left over
+            pair, c, o, left_out = (np.concatenate(x) for x in zip(*seen, strict=True))
             for one, at in ((names[0], c), (names[1], o)):
                 name = one.field("id")
                 code = np.arange(batch.num_rows) if pa.types.is_nested(name.type) else name.dictionary_encode().indices.to_numpy()
                 _, first, document = np.unique(np.stack((code, one.field("text").to_numpy())), axis=1, return_index=True, return_inverse=True)
-                owner, marked = np.unique(np.stack((document[pair], at * 2 + left_out)), axis=1)
+                owner, marked = _once(document[pair], at * 2 + left_out)
                 bounds = np.searchsorted(owner, np.arange(len(first) + 1))
                 places = pa.array([marked[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
                 none = pa.nulls(len(first), pa.int64())
@@ -374,51 +420,53 @@ def _around(anchors: DataFrame, arrays: DataFrame) -> DataFrame:
     return anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places")).join(arrays.hint("merge"), "doc_id").select("doc_id", "places", "shingles")
 
 
-def _marked(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of anchors of row ``k`` of ``_around``, and which of them are left over somewhere."""
-    codes = np.unique(np.frombuffer(b"".join(lists[k].as_py()), np.int64))
-    places, first = np.unique(codes >> 1, return_index=True)
-    return places, np.maximum.reduceat(codes & 1, first).astype(bool) if len(first) else np.zeros(0, bool)
-
-
-def _rekey(around: DataFrame, width: int) -> DataFrame:
-    """(key, doc_id, centre) of the min-hashes of every passage of full length around the anchors that are left."""
-    id_type = around.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                h = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32).astype(np.uint64)
-                places, left = _marked(batch.column(1), k)
-                own = places[left]
-                if len(h) < width or not len(own):
-                    continue
-                least = sliding_min(mix(h + np.uint64(1)), width)
-                # neighbouring passages mostly share their min-hash, so there are a few keys for an anchor
-                starts = own[:, None] + np.arange(1 - width, 1)
-                new = (starts >= 0) & (starts < len(least))
-                values = least[np.clip(starts, 0, len(least) - 1)]
-                new[:, 1:] &= (values[:, 1:] != values[:, :-1]) | ~new[:, :-1]
-                row, column = np.nonzero(new)
-                key, centre = mix(values[row, column] ^ mix(h[own])[row]), own[row].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([batch.column(0)[k].as_py()] * len(key), batch.column(0).type), pa.array(centre)], names=["key", "doc_id", "centre"])
-
-    return around.mapInArrow(run, f"key long, doc_id {id_type}, centre int")
+def _anchored(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some rows of ``_around`` at a time: ids, the shingles one after the other and where each document's begin (as ``first`` of words), and
+    of the anchors, each once, document, place in all shingles and whether it is left over somewhere."""
+    sizes = np.concatenate(([0], np.cumsum(Sides(batch.column(2)).size)))
+    for lo, hi in blocks(sizes, _SHINGLES):
+        part = batch.slice(lo, hi - lo)
+        side, lists = Sides(part.column(2)), part.column(1)
+        h, at = side.flat[side.start[0] : side.start[0] + side.size.sum()].astype(np.uint64), sizes[lo : hi + 1] - sizes[lo]
+        marks, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        _, offsets, data = marks.buffers()
+        ends = np.frombuffer(offsets, np.int32)[marks.offset : marks.offset + len(marks) + 1].astype(np.int64)
+        codes = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int64)
+        ends = (ends[bounds - bounds[0]] - ends[0]) // 8
+        owner, codes = _once(np.repeat(np.arange(hi - lo), np.diff(ends)), codes)
+        place = codes >> 1
+        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1]))))
+        owner = owner[first]
+        yield part.column(0), h, at, owner, place[first] + at[owner], np.maximum.reduceat(codes & 1, first).astype(bool)
+
+
+def passage_minima(h: np.ndarray, first: np.ndarray, last: np.ndarray, c: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, centre) of the min-hashes of every passage of full length around anchors, whose texts are from ``first`` to ``last``."""
+    if len(h) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    least = sliding_min(mix(h + np.uint64(1)), width)
+    # neighbouring passages mostly share their min-hash, so there are a few keys for an anchor
+    starts = c[:, None] + np.arange(1 - width, 1)
+    new = (starts >= first[:, None]) & (starts <= last[:, None] - width)
+    values = least[np.clip(starts, 0, len(least) - 1)]
+    new[:, 1:] &= (values[:, 1:] != values[:, :-1]) | ~new[:, :-1]
+    row, column = np.nonzero(new)
+    return mix(values[row, column] ^ mix(h[c])[row]), c[row]
 
 
-def flank_keys(h: np.ndarray, c: np.ndarray, width: int, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def flank_keys(h: np.ndarray, c: np.ndarray, width: int, dense: np.ndarray | None = None, first: np.ndarray | int = 0, last: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, centre) of the short stretches beside anchors, each by its least hash, as far as a passage with the anchor reaches.
 
     Documents that share only a line around the anchor agree in the stretches of the line; two that share more agree in one
     beyond it, too, an insertion or deletion between them or not. With ``dense``, the filter of repeated keys, those that
-    repeat: all of them, as outer ones may repeat in other documents than the near copy.
+    repeat: all of them, as outer ones may repeat in other documents than the near copy. Anchors' texts are from ``first`` to ``last``, or all of ``h``.
     """
     if len(h) < _FLANK or not len(c):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     least = sliding_min(mix(h + np.uint64(5)), _FLANK)
     away = np.arange(1, width - _FLANK + 1, _FLANK)
     start = c[:, None] + np.concatenate((away, 1 - _FLANK - away))
-    some = (start >= 0) & (start < len(least))
+    some = (start >= np.reshape(first, (-1, 1))) & (start <= np.reshape(len(h) if last is None else last, (-1, 1)) - _FLANK)
     with np.errstate(over="ignore"):
         key = mix(mix(least[np.where(some, start, 0)] + np.uint64(3)) ^ h[c][:, None])
     if dense is not None:
@@ -426,20 +474,24 @@ def flank_keys(h: np.ndarray, c: np.ndarray, width: int, dense: np.ndarray | Non
     return key[some], c[np.nonzero(some)[0]]
 
 
-def _flanks(around: DataFrame, width: int, dense=None) -> DataFrame:
-    """(key, doc_id, centre) of ``flank_keys`` of the anchors that are left, or h alone without ``dense``, the filter of repeated keys."""
+def _near(around: DataFrame, width: int, dense=None) -> DataFrame:
+    """(key, doc_id, centre) of ``passage_minima`` and ``flank_keys`` of the anchors that are left, or without ``dense``, the
+    filter of repeated keys of flanks, h of the flanks alone."""
     id_type = around.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                h = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32).astype(np.uint64)
-                places, left = _marked(batch.column(1), k)
-                key, centre = flank_keys(h, places[left], width, None if dense is None else dense.value)
-                if dense is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["h"])
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(np.full(len(key), k))), pa.array(centre.astype(np.int32))], names=["key", "doc_id", "centre"])
+            for ids, h, at, owner, places, left in _anchored(batch):
+                owner, places = owner[left], places[left]
+                for k in range(0, len(places), _LEFT):
+                    c, first, last = places[k : k + _LEFT], at[owner[k : k + _LEFT]], at[owner[k : k + _LEFT] + 1]
+                    key, centre = flank_keys(h, c, width, None if dense is None else dense.value, first, last)
+                    if dense is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["h"])
+                        continue
+                    key, centre = (np.concatenate(x) for x in zip((key, centre), passage_minima(h, first, last, c, width), strict=True))
+                    text = np.searchsorted(at, centre, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(text)), pa.array((centre - at[text]).astype(np.int32))], names=["key", "doc_id", "centre"])
 
     return around.mapInArrow(run, "h long" if dense is None else f"key long, doc_id {id_type}, centre int")
 
@@ -495,13 +547,7 @@ def _whole(around: DataFrame, width: int) -> DataFrame:
     def scan(stretches, passages) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sizes = np.concatenate(([0], np.cumsum([len(x) // 4 for x in batch.column(2).to_pylist()])))
-                for lo, hi in blocks(sizes):
-                    part = batch.slice(lo, hi - lo)
-                    h = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).astype(np.uint64)
-                    at, marked = sizes[lo : hi + 1] - sizes[lo], [_marked(part.column(1), k) for k in range(hi - lo)]
-                    owner = np.repeat(np.arange(hi - lo), [len(places) for places, _ in marked])
-                    c, left = np.concatenate([places for places, _ in marked]) + at[owner], np.concatenate([x for _, x in marked])
+                for ids, h, at, owner, c, left in _anchored(batch):
                     if stretches is None:
                         for key, which in stretch_keys(h, at[owner], at[owner + 1], c, width):
                             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left[which])], names=["h", "left"])
@@ -513,7 +559,7 @@ def _whole(around: DataFrame, width: int) -> DataFrame:
                     hit = _in_filter(passages.value, key)
                     key, start = key[hit], start[hit]
                     text = np.searchsorted(at, start, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(text)), pa.array((start - at[text]).astype(np.int32))], names=["key", "doc_id", "centre"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(text)), pa.array((start - at[text]).astype(np.int32))], names=["key", "doc_id", "centre"])
 
         return around.mapInArrow(run, "h long, left boolean" if passages is None else f"key long, doc_id {id_type}, centre int")
 
@@ -540,8 +586,8 @@ def repeated_passages(df: DataFrame, least_words: int = 50, similarity: float =
     around = written(_around(first.filter("kind = 1"), arrays), "around")
     drop_path(spark, pairs_path)
     drop_path(spark, arrays_path)
-    flanks = spark.sparkContext.broadcast(_dense(repeated_filter(_flanks(around, width), "h", _FILTER_BITS)))
-    rekeyed, rekeyed_path = written_at(_rekey(around, width).unionAll(_flanks(around, width, flanks)).unionAll(_whole(around, width)), "windows")
+    flanks = spark.sparkContext.broadcast(_dense(repeated_filter(_near(around, width), "h", _FILTER_BITS)))
+    rekeyed, rekeyed_path = written_at(_near(around, width, flanks).unionAll(_whole(around, width)), "windows")
     again = written(_pairs(rekeyed), "pairs")
     drop_path(spark, rekeyed_path)
     second = _verify(again, around.select("doc_id", "shingles"), width, similarity).filter("kind = 0")

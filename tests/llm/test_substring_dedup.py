@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -158,3 +159,24 @@ def test_near_copies_that_agree_inside_two_outer_stretches_of_others_share_a_key
     assert set(one[0]) == set(s.flank_keys(a, c, width)[0])
     assert set(one[0]) & set(two[0])
     assert (one[1] == 45).all()
+
+
+def test_verifying_many_pairs_takes_memory_for_some_tiles_at_a_time():
+    rng = np.random.default_rng(13)
+    text, pairs = rng.integers(0, 1 << 32, 460, dtype=np.uint64).astype(np.uint32), 4000
+    sides = s.Sides([text] * pairs)
+    pair, c = np.repeat(np.arange(pairs), 20), np.tile(np.arange(0, 460, 23), pairs)
+    tracemalloc.start()
+    found, similar, left_out = s.shared_passages(sides, sides, pair, c, c, 46, 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == [[k, 0, 460, 0, 460] for k in range(pairs)] and (similar == 1).all() and not left_out.any()
+    assert most < 60e6
+
+
+def test_rows_do_not_depend_on_how_much_is_done_at_once(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(map(tuple, s.repeated_passages(df).collect()))
+    for name, value in (("_TILES", 500), ("_ANCHORS", 3000), ("_SHINGLES", 20000), ("_LEFT", 300)):
+        monkeypatch.setattr(s, name, value)
+    assert want and sorted(map(tuple, s.repeated_passages(df).collect())) == want

@@ -2,7 +2,8 @@
 
 Each step is a minimum per vertex, combined on the map side, and a join back on the vertex; a hot vertex is
 met by broadcast. Edges and labels stay in tables in the shared folder; only two counts reach the driver in each
-round. The rounds end when no vertex lies between two others: then every vertex hangs on the least it can reach.
+round. The rounds end when the edges are stars: no vertex lies between two others and no vertex hangs on two, so every
+vertex hangs on the least it can reach and is in the result once.
 """
 
 from __future__ import annotations
@@ -51,20 +52,20 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         return spark.read.schema(down.schema).parquet(path), path
 
     def ends(table: DataFrame) -> tuple[int, int]:
-        """How many edges there are, and how many vertices are the larger end of one and the least end of another."""
+        """How many edges there are, and how many vertices are the larger end of two, or of one while they are the least end of another."""
         both = table.select(F.col("u").alias("x"), F.lit(1).alias("larger")).unionAll(table.select("v", F.lit(0)))
         of = both.groupBy("x").agg(F.sum("larger").alias("n"), F.min("larger").alias("least"))
-        row = of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.expr("CASE WHEN n > 0 AND least = 0 THEN 1 END"))).first()
+        row = of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.expr("CASE WHEN n > 1 OR n > 0 AND least = 0 THEN 1 END"))).first()
         return row[0], row[1]
 
     table, path = state(edges.select(F.col(u).alias("u"), F.col(v).alias("v")))
-    n_edges, between = ends(table)
-    while between:  # else each vertex hangs on its least and no further round can change that
+    n_edges, unsettled = ends(table)
+    while unsettled:  # else the edges are stars and no further round can change them
         after_large, large_path = state(_star(table, True, n_edges))
         after, next_path = state(_star(after_large, False, after_large.count()))
         drop_path(spark, large_path)
         drop_path(spark, path)
         table, path = after, next_path
-        n_edges, between = ends(table)
+        n_edges, unsettled = ends(table)
     roots = table.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return table.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionAll(roots)

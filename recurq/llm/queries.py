@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, secret_scan, sharding, simhash, substring_dedup, token_counts, toxicity
+from . import collocations, decontaminate, exact_dedup, language_id, packing, periodic_runs, secret_scan, sentence_pieces, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), _byte_bpe)
 
 
+def _piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -60,9 +67,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_documents(spark, sf_dir))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encoded(_documents(spark, sf_dir), _piece_bpe)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = periodic_runs.with_planted_periods(F.coalesce("text", F.lit("")), F.col("doc_id"))
+    found = periodic_runs.periodic_runs(_documents(spark, sf_dir), text=text)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan, op4_simhash_near_dedup, op5_exact_dedup, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan, op4_simhash_near_dedup, op5_exact_dedup, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op9_language_id, op10_sharding, op11_sentence_pieces, op12_periodic_runs, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op10_sharding": sharding.ORACLE}
+    return {"op3_secret_scan": secret_scan.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op10_sharding": sharding.ORACLE, "op13_collocations": collocations.ORACLE}

@@ -1,8 +1,7 @@
 """Clustering of unit vectors, by workspace: density, hierarchy, and the policy that picks between them.
 
-A workspace is a group of ``applyInPandas`` and must fit into a task; the hierarchies hold dense n x n distances.
-``components_at_scale`` is density clustering at two samples without that limit, as similarity blocks and connected
-components; callers choose it, nothing is routed to it.
+Here a workspace is a group of ``applyInPandas`` and must fit into a task; average linkage holds dense n x n distances.
+``cluster_scale`` has the same results for larger ones, over many tasks, and sends each workspace where it fits.
 """
 
 from __future__ import annotations
@@ -15,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurq.config import Settings
-from recurq.functions.vectors import as_double, dot, l2_normalize, mean_vectors, similar_pairs
-from recurq.operators.components import connected_components
+from recurq.functions.vectors import as_double, dot, l2_normalize, mean_vectors
 from recurq.sources.shared import written
 
 
@@ -29,7 +27,8 @@ def renumber(labels: np.ndarray) -> np.ndarray:
     return out
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def first_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place reachable from each, over edges between places."""
     parent = np.arange(n)
     while len(a):
         while (parent != parent[parent]).any():
@@ -55,7 +54,7 @@ def dbscan(x: np.ndarray, eps: float, min_samples: int, block: int = 1024) -> np
     b = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, int)
     core = np.bincount(a, minlength=n) >= min_samples
     both = core[a] & core[b]
-    roots = _roots(n, a[both], b[both])
+    roots = first_roots(n, a[both], b[both])
     labels = np.where(core, roots, -1)
     to_core = core[b] & ~core[a]
     first = np.full(n, n)
@@ -68,50 +67,85 @@ def dbscan(x: np.ndarray, eps: float, min_samples: int, block: int = 1024) -> np
 
 def agglomerative(x: np.ndarray, threshold: float, min_size: int) -> np.ndarray:
     """Average linkage by cosine distance up to a threshold; smaller clusters are noise."""
-    n = len(x)
-    if n < 2:
-        return np.full(n, -1)
-    d = 1 - x @ x.T
+    if len(x) < 2:
+        return np.full(len(x), -1)
+    member = linked_sums(x, np.ones(len(x)), threshold)
+    counts = np.bincount(member, minlength=len(x))
+    return renumber(np.where(counts[member] >= min_size, member, -1))
+
+
+def linked_sums(sums: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """Average linkage of clusters given as sums of unit vectors and sizes: for each the first it ends up with."""
+    n, size = len(sums), size.copy()
+    d = np.round(1 - sums @ sums.T / np.outer(size, size), 12)
     np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    member = np.arange(n)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
+    member, alive = np.arange(n), n
+    while alive > 1:
         i, j = divmod(int(d.argmin()), n)
         if not d[i, j] <= threshold:
             break
         i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        row = np.round((size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), 12)
         d[i], d[:, i] = row, row
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        alive[j] = False
+        alive -= 1
         member[member == j] = i
-    counts = np.bincount(member, minlength=n)
-    return renumber(np.where(counts[member] >= min_size, member, -1))
-
-
-def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int) -> np.ndarray:
-    """Hierarchical density clusters (Campello, Moulavi and Sander 2013), excess of mass, Euclidean distance."""
+    return member
+
+
+def nearest_of(sims: np.ndarray, most: int, own: bool) -> list[tuple[int, list[tuple[float, int]]]]:
+    """For each row of products the distances and places of its ``most`` nearest columns, but for itself if ``own``."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * np.round(sims, 12)))
+    if own:
+        np.fill_diagonal(d, np.inf)
+    k = min(most, d.shape[1])
+    if not k:
+        return []
+    at = np.argpartition(d, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(d, at, axis=1)
+    return [(n, [(x, y) for x, y in zip(row, of, strict=True) if np.isfinite(x)]) for n, (row, of) in enumerate(zip(near.tolist(), at.tolist(), strict=True))]
+
+
+def core_distances(x: np.ndarray, min_samples: int, block: int = 1024) -> np.ndarray:
+    """The distance of the ``min_samples``-th point from each, counted from itself; no more than ``block`` rows of distances are held."""
+    k, out = min(min_samples, len(x)) - 1, []
+    for lo in range(0, len(x), block):
+        d = np.sqrt(np.maximum(0, 2 - 2 * np.round(x[lo : lo + block] @ x.T, 12)))
+        d[np.arange(len(d)), lo + np.arange(len(d))] = 0
+        out.append(np.partition(d, k, axis=1)[:, k])
+    return np.concatenate(out)
+
+
+def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """The minimum spanning tree (distance, a < b) of mutual reachability, the only one in the order of those triples."""
     n = len(x)
-    if n < max(2, min_cluster):
-        return np.full(n, -1)
-    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
-    np.fill_diagonal(d, 0)
-    core = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
-    # minimum spanning tree of mutual reachability
-    best, frm, done, at, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0, []
+    best, low, high = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, int)
+    open_, places, at, edges = np.ones(n, bool), np.arange(n), 0, []
     for _ in range(n - 1):
-        done[at] = True
-        reach = np.maximum(np.maximum(d[at], core[at]), core)
-        closer = (reach < best) & ~done
-        best[closer], frm[closer] = reach[closer], at
-        at = int(np.where(done, np.inf, best).argmin())
-        edges.append((best[at], int(frm[at]), at))
-    edges.sort(key=lambda e: e[0])
+        open_[at] = False
+        reach = np.maximum(np.maximum(np.sqrt(np.maximum(0, 2 - 2 * np.round(x @ x[at], 12))), core[at]), core)
+        a, b = np.minimum(places, at), np.maximum(places, at)
+        closer = open_ & ((reach < best) | ((reach == best) & ((a < low) | ((a == low) & (b < high)))))
+        best[closer], low[closer], high[closer] = reach[closer], a[closer], b[closer]
+        left = np.where(open_, best, np.inf)
+        ties = np.flatnonzero(left == left.min())
+        at = int(ties[np.lexsort((high[ties], low[ties]))[0]])
+        edges.append((float(best[at]), int(low[at]), int(high[at])))
+    return edges
+
+
+def condensed(edges: list[tuple[float, int, int]], weight: np.ndarray, fade: np.ndarray, min_cluster: int) -> np.ndarray:
+    """Labels by excess of mass from the edges (distance, a, b) of which a spanning tree is the least one.
+
+    A point stands for ``weight`` points that come together at ``fade``. Edges within what is merged are passed over.
+    """
+    n = len(weight)
+    if weight.sum() < max(2, min_cluster):
+        return np.full(n, -1)
     # single linkage: nodes n.. are merges
-    up, kids, sizes, height = list(range(2 * n - 1)), {}, [1] * n, {}
+    up, kids, sizes, height = list(range(2 * n)), {}, weight.tolist(), {}
 
     def top(v: int) -> int:
         while up[v] != v:
@@ -119,12 +153,14 @@ def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int) -> np.ndarray:
             v = up[v]
         return v
 
-    for k, (w, a, b) in enumerate(edges):
-        a, b, new = top(a), top(b), n + k
+    for w, a, b in sorted(edges):
+        a, b, new = top(a), top(b), n + len(kids)
+        if a == b:
+            continue
         kids[new], height[new] = (a, b), w
         sizes.append(sizes[a] + sizes[b])
         up[a] = up[b] = new
-    # condense: a split counts where both sides are large enough
+
     def leaves(v: int) -> list[int]:
         out, stack = [], [v]
         while stack:
@@ -135,19 +171,21 @@ def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int) -> np.ndarray:
                 stack += kids[u]
         return out
 
-    root = 2 * n - 2
+    at = lambda h: 1 / h if h > 0 else 1e12
+    # condense: a split counts where both sides are large enough
+    root = n + len(kids) - 1 if kids else 0
     birth, stability, parent, split = {root: 0.0}, {}, {}, {}
     stack = [(root, root)]  # (node, the cluster it is in)
     while stack:
         v, cluster = stack.pop()
         stability.setdefault(cluster, 0.0)
-        if v < n:
+        if v < n:  # copies part at last
+            if sizes[v] > 1:
+                stability[cluster] += sizes[v] * (at(fade[v]) - birth[cluster])
             continue
-        a, b = kids[v]
-        lam = 1 / height[v] if height[v] > 0 else 1e12
-        large = [u for u in (a, b) if sizes[u] >= min_cluster]
-        gone = sum(sizes[u] for u in (a, b) if sizes[u] < min_cluster)
-        stability[cluster] += gone * (lam - birth[cluster])
+        lam = at(height[v])
+        large = [u for u in kids[v] if sizes[u] >= min_cluster and not (u < n and sizes[u] > 1 and fade[u] >= height[v])]
+        stability[cluster] += sum(sizes[u] for u in kids[v] if u not in large) * (lam - birth[cluster])
         if len(large) == 2:
             stability[cluster] += sizes[v] * (lam - birth[cluster])
             split[cluster] = large
@@ -176,6 +214,15 @@ def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int) -> np.ndarray:
     return renumber(labels)
 
 
+def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int) -> np.ndarray:
+    """Hierarchical density clusters (Campello, Moulavi and Sander 2013), excess of mass, Euclidean distance."""
+    n = len(x)
+    if n < max(2, min_cluster):
+        return np.full(n, -1)
+    core = core_distances(x, min_samples)
+    return condensed(spanning_tree(x, core), np.ones(n, int), core, min_cluster)
+
+
 def cluster(x: np.ndarray, s: Settings) -> tuple[np.ndarray, str]:
     """(labels, algorithm) under the policy of the settings."""
     if not len(x):
@@ -220,13 +267,6 @@ def cluster_by(df: DataFrame, group: str, key: str, vector: str, s: Settings, ru
     return rows.groupBy("g").applyInPandas(one, f"g {types[group]}, k {types[key]}, label int, algorithm string").withColumnsRenamed({"g": group, "k": key})
 
 
-def components_at_scale(df: DataFrame, key: str, vector: str, least: float, within: str | None = None) -> DataFrame:
-    """(key, component) by density at two samples: the least key reachable over similar pairs, -1 for a point without any."""
-    edges = written(similar_pairs(df, key, vector, least, within).select("a", "b"), "similar")
-    found = connected_components(edges, "a", "b")
-    return df.select(key).join(found.withColumnRenamed("vertex", key), key, "left").withColumn("component", F.coalesce("component", F.lit(-1).cast("long")))
-
-
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return mean_vectors(df, keys, vector).select(*keys, l2_normalize(F.col("mean")).alias("centroid"))
 

@@ -15,6 +15,7 @@ from recurq.functions.vectors import as_double, dot, hash_embedding
 from recurq.operators import cluster as C
 from recurq.operators import dedup, generate, pairing
 from recurq.operators import quality as Q
+from recurq.operators.cluster_scale import cluster_workspaces
 from recurq.operators.examples import most_frequent
 from recurq.sources.shared import written
 
@@ -132,7 +133,7 @@ def run(messages: DataFrame, known: DataFrame, s: Settings = Settings(), as_of:
     pairs = written(questions(messages, s, as_of), "pairs")
     good = pairs.filter("reject_reason IS NULL")
     vectors = written(good.withColumn("embedding", hash_embedding(s.embedding_dim)(T.fold_text("clean"))), "vectors")
-    labels = C.cluster_by(vectors, "workspace_id", "message_pk", "embedding", s).drop("workspace_id")
+    labels = cluster_workspaces(vectors, "workspace_id", "message_pk", "embedding", s)
     members = written(vectors.join(labels, "message_pk"), "members")
     clusters = written(cluster_rows(members.filter("label >= 0"), s), "clusters")
     candidates = written(candidates_of(clusters, known, s, earlier), "candidates")

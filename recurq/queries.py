@@ -13,7 +13,8 @@ from recurq.config import Settings
 from recurq.functions import lexicon as L
 from recurq.functions import text as T
 from recurq.functions import vectors as V
-from recurq.operators import cluster as C, ingest
+from recurq.operators import cluster as C
+from recurq.operators import cluster_scale as S, ingest
 from recurq.operators import dedup, examples, generate, normalize, pairing, reports, review, runs
 from recurq.operators import quality as Q
 from recurq.plans import pipeline
@@ -547,7 +548,8 @@ r(i, j) AS (SELECT i, j FROM ed UNION SELECT r.i, ed.j FROM r JOIN ed ON r.j = e
 SELECT v.vec_id, CASE WHEN min(r.j) IS NULL THEN -1 ELSE least(v.vec_id, min(r.j)) END AS component FROM embeddings v LEFT JOIN r ON r.i = v.vec_id GROUP BY v.vec_id"""
 )
 def dbscan_components(spark, d):
-    return C.components_at_scale(vectors_of(spark, d), "vec_id", "v", 0.4)
+    found = S.density(vectors_of(spark, d).withColumn("all", F.lit(0)), "all", "vec_id", "v", 0.6, 2)
+    return found.select("vec_id", F.coalesce("component", F.lit(-1).cast("long")).alias("component"))
 
 
 @query(_VEC + " SELECT q.vec_id, round(max(list_dot_product(q.v, k.v)), 6) AS best FROM e q JOIN e k ON q.label = k.label AND k.vec_id % 100 <> 0 WHERE q.vec_id % 100 = 0 GROUP BY 1")
@@ -568,24 +570,40 @@ def hash_embedding(spark, d):
     return table(spark, d, "documents").select("doc_id", V.hash_embedding(96)(T.fold_text("text")).alias("v"))
 
 
-def _clustered(spark, d, algorithm: str, eps: float) -> DataFrame:
-    v = vectors_of(spark, d).withColumn("g", F.lit(0))
-    return C.cluster_by(v, "g", "vec_id", "v", Settings(algorithm=algorithm, eps=eps)).select("vec_id", "label", "algorithm")
+def _workspaces(spark, d) -> DataFrame:
+    """Vectors of seven workspaces."""
+    return vectors_of(spark, d).withColumn("workspace", F.expr("vec_id % 7"))
+
+
+_NEAR = """e AS (SELECT vec_id, vec_id % 7 AS w, embedding::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.w = b.w AND list_dot_product(a.v, b.v) >= 0.5 - 1e-12),
+core AS (SELECT i FROM near GROUP BY 1 HAVING count(*) >= 3), ed AS (SELECT i, j FROM near WHERE i IN (FROM core) AND j IN (FROM core)),"""
+
+
+@query(
+    "WITH RECURSIVE " + _NEAR + """ r(i, j) AS (SELECT i, j FROM ed UNION SELECT r.i, ed.j FROM r JOIN ed ON r.j = ed.i), comp AS (SELECT i, min(j) AS c FROM r GROUP BY 1),
+found AS (SELECT i, c FROM comp UNION ALL SELECT n.i, min(c.c) FROM near n JOIN comp c ON c.i = n.j WHERE n.i NOT IN (FROM core) GROUP BY 1)
+SELECT e.vec_id, CASE WHEN c IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY w, c IS NULL ORDER BY c) - 1 END::INTEGER AS label FROM e LEFT JOIN found ON found.i = e.vec_id"""
+)
+def dbscan_labels(spark, d):
+    v = _workspaces(spark, d)
+    return S.numbered(S.density(v, "workspace", "vec_id", "v", 0.5, 3), v, "workspace", "vec_id")
 
 
 @query()
 def hdbscan_labels(spark, d):
-    return _clustered(spark, d, "hdbscan", 0.34)
+    return S.density_hierarchy(_workspaces(spark, d), "workspace", "vec_id", "v", 3, 2)
 
 
 @query()
 def agglomerative_labels(spark, d):
-    return _clustered(spark, d, "agglomerative", 0.65)
+    v = _workspaces(spark, d)
+    return S.numbered(S.average_linkage(v, "workspace", "vec_id", "v", 0.65, 2), v, "workspace", "vec_id")
 
 
 @query()
 def adaptive_labels(spark, d):
-    return _clustered(spark, d, "auto", 0.62)
+    return S.cluster_workspaces(_workspaces(spark, d), "workspace", "vec_id", "v", Settings(algorithm="auto", eps=0.62))
 
 
 # --- quality over documents as questions
@@ -721,11 +739,6 @@ class Reviewed:
         self.decisions = review.decisions(self.candidates, self.requests)
 
 
-@query("SELECT 1 AS run_id")
-def latest_run(spark, d):
-    return review.latest_run(Reviewed(spark, d).runs).select(F.col("run_id").cast("int").alias("run_id"))
-
-
 @query(
     """WITH c AS (SELECT p_partkey AS id, p_name AS q FROM part), e AS (SELECT s_suppkey AS id, s_name, s_suppkey % 6 = 0 AS blank, s_suppkey % 2 = 0 AS yes FROM supplier)
 SELECT id AS candidate_id, CASE WHEN e.id IS NOT NULL AND NOT blank THEN 'Q ' || s_name ELSE q END AS normalized_question,

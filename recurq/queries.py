@@ -18,7 +18,7 @@ from recurq.operators import cluster_scale as S, ingest
 from recurq.operators import dedup, examples, generate, normalize, pairing, reports, review, runs
 from recurq.operators import quality as Q
 from recurq.plans import pipeline
-from recurq.sources import chat, io
+from recurq.sources import chat, constraints, io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -915,6 +915,46 @@ def analysis(spark: SparkSession, d: str, tables: dict[str, DataFrame] | None =
     return pipeline.run(asked, dedup.known_faqs(c.faqs).filter("workspace_id IS NOT NULL"), s, **({} if earlier is None else {"earlier": earlier}))
 
 
+_PLANTED = """WITH ws AS (SELECT DISTINCT conv_id % 7 AS workspace_id, CASE WHEN conv_id % 7 <> 3 THEN repeat('ws', CASE WHEN conv_id % 7 = 5 THEN 200 ELSE 1 END) END AS name FROM conversations),
+cv AS (SELECT DISTINCT conv_id AS pk, CASE WHEN conv_id % 20 = 1 THEN conv_id - 1 ELSE conv_id END AS chat, conv_id % 8 AS w, (conv_id % 12) / 10.0 AS confidence FROM conversations),
+ms AS (SELECT conv_id * 1000 + turn AS pk, CASE WHEN turn % 6 = 5 THEN -conv_id - 1 ELSE conv_id END AS cpk, CASE WHEN turn % 4 = 3 THEN 'bot' ELSE role END AS role FROM conversations),
+ca AS (SELECT p_partkey AS id, p_partkey % 7 AS w, CASE WHEN p_partkey % 3 = 0 THEN 'a' END AS agent, CASE WHEN p_partkey % 2 = 0 THEN 'Q ' ELSE 'q ' END || (p_partkey // 4 % 40) AS q,
+  CASE WHEN p_partkey % 5 = 0 THEN 'rejected' WHEN p_partkey % 11 = 0 THEN 'lost' ELSE 'pending' END AS status, p_partkey % 13 - 1 AS n FROM part)
+"""
+
+
+@query(_PLANTED + """SELECT 'workspaces' AS table_name, 'not_null: name' AS rule, workspace_id::VARCHAR AS key, 1::BIGINT AS n FROM ws WHERE name IS NULL
+UNION ALL SELECT 'workspaces', 'length: name', workspace_id::VARCHAR, 1 FROM ws WHERE length(name) > 255
+UNION ALL SELECT 'conversations', 'unique: source_agent_chat_id', chat::VARCHAR, count(*) FROM cv GROUP BY chat HAVING count(*) > 1
+UNION ALL SELECT 'conversations', 'check: confidence', pk::VARCHAR, 1 FROM cv WHERE confidence > 1
+UNION ALL SELECT 'conversations', 'foreign: workspace_id', w::VARCHAR, count(*) FROM cv WHERE w NOT IN (SELECT workspace_id FROM ws) GROUP BY w
+UNION ALL SELECT 'messages', 'foreign: conversation_pk', cpk::VARCHAR, count(*) FROM ms WHERE cpk NOT IN (SELECT pk FROM cv) GROUP BY cpk
+UNION ALL SELECT 'messages', 'check: role', pk::VARCHAR, 1 FROM ms WHERE role NOT IN ('user', 'assistant', 'system', 'tool', 'unknown')
+UNION ALL SELECT 'messages', 'unique: message_pk', pk::VARCHAR, count(*) FROM ms GROUP BY pk HAVING count(*) > 1
+UNION ALL SELECT 'faq_candidates', 'check: status', id::VARCHAR, 1 FROM ca WHERE status = 'lost'
+UNION ALL SELECT 'faq_candidates', 'check: recurrence', id::VARCHAR, 1 FROM ca WHERE n < 0
+UNION ALL SELECT 'faq_candidates', 'unique: workspace_id, coalesce(agent_id, ''''), lower(normalized_question)', w || '|' || coalesce(agent, '') || '|' || lower(q), count(*) FROM ca WHERE status = 'pending' GROUP BY w, coalesce(agent, ''), lower(q) HAVING count(*) > 1
+UNION ALL SELECT 'faq_candidates', 'foreign: workspace_id', w::VARCHAR, count(*) FROM ca WHERE w NOT IN (SELECT workspace_id FROM ws) GROUP BY w""")
+def constraint_violations(spark, d):
+    conv, part = table(spark, d, "conversations"), table(spark, d, "part")
+    now = F.lit("2025-01-01").cast("timestamp")
+    made = {
+        "workspaces": conv.selectExpr("conv_id % 7 AS workspace_id").distinct().selectExpr("workspace_id", "CASE WHEN workspace_id <> 3 THEN repeat('ws', CASE WHEN workspace_id = 5 THEN 200 ELSE 1 END) END AS name", "true AS active"),
+        "conversations": conv.select("conv_id").distinct().selectExpr(
+            "conv_id AS conversation_pk", "CAST(CASE WHEN conv_id % 20 = 1 THEN conv_id - 1 ELSE conv_id END AS string) AS source_agent_chat_id", "conv_id % 8 AS workspace_id", "(conv_id % 12) / 10.0 AS agent_inference_confidence", "'single' AS agent_inference_method"
+        ),
+        "messages": conv.selectExpr(
+            "conv_id * 1000 + turn AS message_pk", "CASE WHEN turn % 6 = 5 THEN -conv_id - 1 ELSE conv_id END AS conversation_pk", "concat(conv_id, '-', turn) AS source_chat_message_id", "CASE WHEN turn % 4 = 3 THEN 'bot' ELSE role END AS role",
+            "'text' AS message_type", "'{}' AS raw_message", "'extracted' AS extraction_status",
+        ),
+        "faq_candidates": part.selectExpr(
+            "CAST(p_partkey AS string) AS candidate_id", "p_partkey % 7 AS workspace_id", "CASE WHEN p_partkey % 3 = 0 THEN 'a' END AS agent_id", "concat(CASE WHEN p_partkey % 2 = 0 THEN 'Q ' ELSE 'q ' END, p_partkey div 4 % 40) AS normalized_question",
+            "CASE WHEN p_partkey % 5 = 0 THEN 'rejected' WHEN p_partkey % 11 = 0 THEN 'lost' ELSE 'pending' END AS status", "p_partkey % 13 - 1 AS recurrence_count", "'{}' AS candidate_metadata", "false AS was_human_edited",
+        ).withColumn("updated_at", now).withColumn("created_at", now),
+    }
+    return constraints.violations({name: constraints.conformed(df.withColumn("loaded_at", now), name) for name, df in made.items()})
+
+
 @query()
 def pipeline_summary(spark, d):
     return analysis(spark, d).metrics

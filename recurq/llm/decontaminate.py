@@ -1,26 +1,22 @@
-"""Benchmark decontamination: CGK embedding, bit sampling, pieces that edits leave, exact edit verification.
+"""Benchmark decontamination: pieces of items that edits leave, met in every text, and exact edit verification.
 
-Texts are sequences of folded words. The CGK embedding walks a sequence: at step j it outputs the word
-under the cursor and moves on if the j-th random bit of that word is 1, so edit distance becomes Hamming
-distance between walks. A walk starts at every word of every document and of every benchmark item; each of
-``plan()`` embeddings is sampled at ``samples`` positions, in ``repeats`` ways, and a window and an item that
-agree in all sampled outputs of one repeat are verified, if the sampled words tell a place of the corpus.
+Texts and items are sequences of folded words, joined by one space. An item is cut into disjoint grams of characters,
+more than the edits that are allowed. An edit spoils one at most, so any text within the distance holds a known number of
+them as they are, at places that differ by the edits at most; every window with so many is verified, and none is left
+out (``Pieces``). Which grams are pieces, and how many, follows from a sample of the documents and bears on the cost only.
 
-A walk falls out of step at every second edited word, so walks meet the near copies only: at the full allowed
-distance item-sized walks agree no more often than those of strangers (README). The exact way for all that they leave
-is by pieces: an item is cut into disjoint grams of characters, more than the edits that are allowed. An edit spoils one
-at most, so any text within the distance holds a known number of them as they are, at places that differ by the edits
-at most; every window with so many is verified, and none is left out (``Pieces``). Which grams are pieces, and how many, follows
-from a sample of the documents and bears on the cost only.
+CGK random walks with bit sampling, which this operator had before, can't give right results at a similarity of 0.8:
+item-sized walks agree no more often than those of strangers there, and shorter ones found no window that pieces do not
+find (README has the figures). They are gone.
 
 Verification is exact: the least edit distance, in characters of the folded words joined by one space,
 between the item and any substring of the candidate's surroundings. A document contains an item if
 1 - distance / item length is at least ``similarity``. The table of all candidates of a block is filled in step,
 64 rows to a word; pieces of an item are edited no more than the whole, so most candidates go after the first.
 
-Items go to the executors in blocks of at most ``block_items`` rows and about ``block_bytes`` bytes, two passes over the
-documents for each. Documents are read whole, in place; only the counts of item words shuffle. A very long
-text goes by in pieces (``wordhash.words``), candidates in chunks.
+Items go to the executors in blocks of at most ``block_items`` rows and about ``block_bytes`` bytes, one pass over the
+documents for each. Documents are read whole, in place, and nothing of them shuffles. A very long text goes by in
+pieces (``wordhash.words``), candidates in chunks.
 
 Cases: null or empty texts and items without a word match nothing; an item of one common word is met wherever that
 occurs; repeated rows are each reported; extra columns are not read; empty tables give an empty result.
@@ -38,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import maybe_broadcast, written
-from .wordhash import Words, blocks, buffers, mix, words
+from .wordhash import Words, blocks, buffers, words
 
 #: Characters of the items that are compared with their windows together.
 _CHUNK = 1 << 20
@@ -52,54 +48,6 @@ _CELLS = 1 << 17
 _LONG_ITEM = 4096
 
 
-def plan(similarity: float = 0.8, recall: float = 0.99, steps: int = 6, item_words: int = 21, word_chars: float = 5.5) -> int:
-    """The number of walks for the wanted recall of items whose edits are spread evenly, half as many as allowed.
-
-    A word is clean with the chance that none of its characters is edited, and a walk agrees if the words
-    that it gets past, half as many as it has steps, are clean. Starts so far apart are independent.
-    """
-    clean = (1 - (1 - similarity) / 2) ** word_chars
-    agrees = clean ** (steps / 2)
-    missed = (1 - agrees) ** (item_words * 2 / steps)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(missed))) if 0 < missed < 1 else 1
-
-
-class Walks:
-    """CGK walks of fixed random functions; the same in every task and run."""
-
-    def __init__(self, walks: int, repeats: int, steps: int, samples: int, seed: int = 20240607):
-        rng = np.random.default_rng(seed)
-        self.steps = steps
-        self.salts = rng.integers(1, 1 << 62, walks, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.samples = [[np.sort(rng.choice(steps, samples, replace=False)) for _ in range(repeats)] for _ in range(walks)]
-
-    def keys(self, hashes: np.ndarray, last: np.ndarray, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For each walk and repeat a key of every start, whether the walk was in its text at all samples, and where it was.
-
-        Walks start at all places, or at ``starts``; ``last`` is the place after the text of each place.
-        """
-        n = len(hashes)
-        padded = np.concatenate((hashes, np.zeros(1, np.uint64)))
-        starts = np.arange(n) if starts is None else starts
-        last = last[starts]
-        with np.errstate(over="ignore"):
-            for w, salt in enumerate(self.salts):
-                bits = mix(padded * salt)
-                at = starts
-                out, inside_at, places = [], [], []
-                for j in range(self.steps):
-                    inside_at.append(at < last)
-                    inside = np.where(inside_at[-1], at, n)
-                    places.append(inside)
-                    out.append(padded[inside])
-                    at = at + ((bits[inside] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-                for r, chosen in enumerate(self.samples[w]):
-                    key = np.full(len(starts), np.uint64(w * 1009 + r + 1))
-                    for j in chosen:
-                        key = (key ^ out[j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(j) + 1)
-                    yield mix(key), inside_at[chosen[-1]], [places[j] for j in chosen]
-
-
 class Index:
     """Distinct sorted keys, and the place of each among them."""
 
@@ -165,28 +113,6 @@ class Items:
         self.words = found = words(data, offsets, 0, len(texts))
         self.strings = [folded(found, found.first[i], found.first[i + 1]) for i in range(len(texts))]
         self.lengths = np.diff(found.first)
-        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
-        self.last = found.first[1:][self.owner]
-
-    def keys(self) -> np.ndarray:
-        """The words that the corpus counts."""
-        return np.unique(self.words.hashes)
-
-
-class Weights:
-    """How many bits each word of the items tells, and how many tell a place of the corpus.
-
-    ``counts`` has the corpus count of each key of ``items.keys()`` and ``corpus_words`` their total; without them words
-    are weighed by the items, and any of them tells a place.
-    """
-
-    def __init__(self, items: Items, counts: np.ndarray | None = None, corpus_words: int = 0):
-        keys, which = np.unique(items.words.hashes, return_inverse=True)
-        known = counts is not None and corpus_words > 0
-        if not known:
-            counts, corpus_words = np.bincount(which, minlength=len(keys)), max(1, len(which))
-        self.word_bits = -np.log2(np.minimum((counts[which] + 1) / (corpus_words + 1), 0.5))
-        self.walk_bits = math.log2(corpus_words) if known else 0.0
 
 
 def allowed(strings: list[str], similarity: float) -> np.ndarray:
@@ -276,58 +202,15 @@ def spread(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np
 class Matcher:
     """A block of items, and the search for them in blocks of texts."""
 
-    def __init__(self, items: list[tuple[int, str]] | Items, similarity: float, recall: float = 0.99, steps: int = 6, samples: int = 2, repeats: int = 3, weights: Weights | None = None, pieces: Pieces | None = None):
+    def __init__(self, items: list[tuple[int, str]] | Items, similarity: float, pieces: Pieces | None = None):
         block = items if isinstance(items, Items) else Items(items)
-        self.block, self.similarity, self.items = block, similarity, block.items
-        self.strings, self.lengths = block.strings, block.lengths
-        weights = weights or Weights(block)
+        self.items, self.strings, self.lengths = block.items, block.strings, block.lengths
         self.most = allowed(self.strings, similarity)
         self.sizes = np.array([len(t) for t in self.strings], np.int64)
         self.pieces = pieces or Pieces(self.strings, self.most, np.zeros(0, np.uint32))
         codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in self.strings]
         self.alphabet = np.unique(np.concatenate([*codes, np.zeros(1, np.uint32)]))
         self.letters = [np.searchsorted(self.alphabet, c) for c in codes]
-        self.at_char = character_places(block.words)
-        self.at_char = self.at_char - self.at_char[block.words.first[:-1][block.owner]] if len(block.owner) else self.at_char
-        self.walks = Walks(plan(similarity, recall, steps), repeats, steps, samples)
-        found, keys, rows = block.words, [], []
-        tells = np.concatenate((weights.word_bits, [0.0]))
-        for k, inside, at in self.walks.keys(found.hashes, block.last):
-            # A walk alone makes a candidate only if its words tell a place of the corpus; the pieces find all others.
-            told = sum((tells[b] * (a != b) for a, b in zip([np.full(len(k), -1), *at], at, strict=False)), np.zeros(len(k)))
-            rows.append(np.flatnonzero(inside & (told >= weights.walk_bits)))
-            keys.append(k[rows[-1]])
-        keys, rows = np.concatenate(keys), np.concatenate(rows)
-        order = np.argsort(keys, kind="stable")
-        self.walk_row = rows[order]
-        self.walk_keys, self.walk_begin, self.walk_count = np.unique(keys[order], return_index=True, return_counts=True)
-        self.walk_index = Index(self.walk_keys)
-        # of words that tell enough together, one tells its share or more
-        self.telling = Index(np.unique(found.hashes[weights.word_bits * samples >= weights.walk_bits]))
-
-    def _by_walks(self, found: Words, per_text: np.ndarray, last: np.ndarray, at_char: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, ...]:
-        """(text, item, start, start) of the windows whose walk agrees with one of an item; starts are characters.
-
-        Walks by common words alone are left to ``_by_pieces``, which finds every window within the distance without any walk.
-        """
-        at, row, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(found.hashes)
-        # only a walk that comes by a telling word can agree at enough
-        near = np.zeros(n + self.walks.steps, bool)
-        telling = self.telling.find(found.hashes)[0] + self.walks.steps
-        for step in range(self.walks.steps):
-            near[telling - step] = True
-        near = np.flatnonzero(near[self.walks.steps :])
-        for lo in range(0, len(near), piece):
-            starts = near[lo : lo + piece]
-            a, end = int(starts[0]), min(n, int(starts[-1]) + self.walks.steps)
-            for keys, _, _ in self.walks.keys(found.hashes[a:end], last[a:end] - a, starts - a):
-                hit, which = self.walk_index.find(keys)
-                p, r = spread(starts[hit], self.walk_begin[which], self.walk_count[which])
-                at.append(p)
-                row.append(r)
-        at, row = np.concatenate(at), np.concatenate(row)
-        start = at_char[at] - self.at_char[self.walk_row[row]]
-        return per_text[at], self.block.owner[self.walk_row[row]], start, start
 
     def _by_pieces(self, codes: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, item, least start, largest start) of all windows that hold as many pieces of an item as any text within the allowed
@@ -394,19 +277,16 @@ class Matcher:
 
     def search(self, found: Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, after the last word, edits) of every text that contains an item, its best place."""
-        if not len(found.hashes) or not len(self.block.owner):
+        if not len(found.hashes) or not self.lengths.any():
             return []
         codes, _ = window_characters(found, np.array([0]), np.array([len(found.hashes)]))
         if codes is None:  # bytes that are no UTF-8 are replaced, as in ``folded``
             data, offsets = buffers(pa.array([folded(found, a, b) for a, b in zip(found.first[:-1], found.first[1:], strict=True)], pa.string()))
             found = words(data, offsets, 0, len(offsets) - 1)
             codes, _ = window_characters(found, np.array([0]), np.array([len(found.hashes)]))
-        per_text = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
-        last = found.first[1:][per_text]
         at_char = character_places(found)
         text_at = np.concatenate((at_char, [len(codes)]))[found.first[:-1]]
-        parts = [self._by_pieces(codes, text_at), self._by_walks(found, per_text, last, at_char)]
-        text, item, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        text, item, low, high = self._by_pieces(codes, text_at)
         order = np.lexsort((-high, low, item, text))
         text, item, low, high = text[order], item[order], low[order], high[order]
         # starts within earlier ones of the same text and item add nothing
@@ -556,7 +436,7 @@ def window_characters(found: Words, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
         return None, bounds
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = 20_000, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = 20_000, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each document and item that it contains: doc_id, item_id, first_word, after_word, edits, similarity."""
     spark = documents.sparkSession
     id_type = documents.select(id_col).schema.fields[0].dataType.simpleString()
@@ -575,42 +455,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     for block in range(n_blocks):
         rows = [(r.item_id, r.text) for r in items.filter(F.pmod("deal", F.lit(n_blocks)) == block).select("item_id", "text").collect()]
         items_of = Items(rows)
-        keys = items_of.keys()
-        if not len(keys):
+        if not items_of.lengths.any():
             continue
-        counted = source.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(keys)), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(len(keys) + 1, np.int64)
-        counts[counted.column("key").to_numpy()] = counted.column("n").to_numpy()
-        weights = Weights(items_of, counts[:-1], int(counts[-1]))
         pieces = Pieces(items_of.strings, allowed(items_of.strings, similarity), sample)
-        part = source.mapInArrow(_searcher(spark.sparkContext.broadcast((items_of, weights, pieces)), similarity, recall, to_arrow_type(named.schema["item_id"].dataType)), schema)
+        part = source.mapInArrow(_searcher(spark.sparkContext.broadcast((items_of, pieces)), similarity, to_arrow_type(named.schema["item_id"].dataType)), schema)
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _counter(shared):
-    """Rows (key, n): how often each key occurs in a task's texts, and under the number after the last one its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
-        counts = np.zeros(len(shared.value) + 1, np.int64)
-        for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            for lo, hi in blocks(offsets):
-                found = words(data, offsets, lo, hi)
-                counts[-1] += len(found.hashes)
-                counts[:-1] += np.bincount(index.find(found.hashes)[1], minlength=len(counts) - 1)
-        key = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(counts[key])], names=["key", "n"])
-
-    return run
-
-
-def _searcher(shared, similarity: float, recall: float, item_type: pa.DataType):
+def _searcher(shared, similarity: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = None
         for batch in batches:
-            matcher = matcher or Matcher(shared.value[0], similarity, recall=recall, weights=shared.value[1], pieces=shared.value[2])
+            matcher = matcher or Matcher(shared.value[0], similarity, shared.value[1])
             data, offsets = buffers(batch.column(1))
             ids = batch.column(0)
             out: list[tuple] = []

@@ -25,10 +25,6 @@ def test_least_edits_matches_the_table():
         assert d.least_edits(item, text)[0] == slow_least_edits(item, text)
 
 
-def test_plan_grows_with_recall():
-    assert d.plan(recall=0.999) >= d.plan(recall=0.99) >= d.plan(recall=0.5) >= 1
-
-
 def brute_pairs(docs, items, similarity=0.8):
     def fold(texts):
         data, offsets = buffers(pa.array(texts, pa.string()))
@@ -56,8 +52,7 @@ def test_against_brute_force(spark, sf_dir):
     rows = got.collect()
     pairs = {(r.doc_id, r.item_id) for r in rows}
     want = brute_pairs(docs, items)
-    assert pairs <= want
-    assert len(pairs) >= 0.99 * len(want)
+    assert pairs == want
     assert all(r.similarity >= 0.8 for r in rows)
     assert sum(r.doc_id == 6002 for r in rows) == 2
     kept = d.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
@@ -90,7 +85,7 @@ def test_recall_up_to_the_full_distance():
             docs.append(" ".join(word(rng) for _ in range(20)) + " " + "".join(rng.choice("abcdefghij") if k in edits and c != " " else c for k, c in enumerate(item)) + " " + " ".join(word(rng) for _ in range(20)))
         want, got = {(k, k) for k, (i, t) in enumerate(zip(items, docs, strict=True)) if d.least_edits(i, t)[0] <= len(i) * 0.2 + 1e-9}, matched(items, docs)
         assert len(want) == 150
-        assert len(got & want) >= 0.85 * len(want), n
+        assert got >= want, n
 
 
 def test_a_copy_of_an_item_of_short_words():
@@ -198,33 +193,12 @@ def test_all_that_verify_are_found():
     assert matched(items, docs) == want
 
 
-def walked(matcher, found):
-    """The windows that the walks meet."""
-    per_text = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
-    return matcher._by_walks(found, per_text, found.first[1:][per_text], d.character_places(found))
-
-
-def test_no_walk_that_can_agree_is_passed_over():
-    """Three samples that tell enough together, none of them half of it; the exact way needs no walk at all."""
-    rng = random.Random(31)
-    items = [" ".join(word(rng, 6) for _ in range(12)) for _ in range(20)]
-    found = words(*buffers(pa.array(items, pa.string())), 0, len(items))
-    block = d.Items(list(enumerate(items)))
-    weights = d.Weights(block)
-    weights.walk_bits = 2.5 * float(weights.word_bits.min())
-    few = d.Matcher(block, 0.8, samples=3, weights=weights)
-    text, item, *_ = walked(few, found)
-    assert {(k, k) for k in range(20)} <= set(zip(text.tolist(), item.tolist(), strict=True))
-    few._by_walks = lambda *_: (np.zeros(0, np.int64),) * 4
-    assert {(t, i) for t, i, *_ in few.search(found)} == brute_pairs(list(enumerate(items)), list(enumerate(items)))
-
-
 def test_items_that_may_be_edited_as_a_whole():
     """Without a character that must stay there are no pieces, and every text with a word is within the distance."""
     items, docs = ["abc def", "", "q", "long words here"], ["zzz yyy", "", "x", "...", "abc"]
     found = words(*buffers(pa.array(docs, pa.string())), 0, len(docs))
     for similarity in (0.0, 0.1, 0.5):
-        got = {(t, i) for t, i, *_ in d.Matcher(list(enumerate(items)), similarity, recall=0.01).search(found)}  # a few walks
+        got = {(t, i) for t, i, *_ in d.Matcher(list(enumerate(items)), similarity).search(found)}
         assert got == {(t, i) for t, i in brute_pairs(list(enumerate(docs)), list(enumerate(items)), similarity) if docs[t].strip(".")}, similarity
 
 

@@ -38,7 +38,7 @@ from .shared import maybe_broadcast, written
 _FAN = 4
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
+def fingerprint(text: str | None, words: int = 4, run: int = 1 << 16) -> int:
     """The unsigned 64-bit fingerprint of one text."""
     import xxhash
 
@@ -47,12 +47,12 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         return 0
     last = max(1, len(found) - words + 1)
     join, digest = b" ".join, xxhash.xxh64_intdigest
-    if last > 1:
-        hashes = [digest(join(four), 42) for four in zip(*(found[k:] for k in range(words)), strict=False)]
-    else:
-        hashes = [digest(join(found), 42)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, last, run):  # so that a very long text takes its words and one run of shingles
+        part = found[lo : lo + run + words - 1]
+        hashes = [digest(join(four), 42) for four in zip(*(part[k:] for k in range(words)), strict=False)] if last > 1 else [digest(join(found), 42)]
+        counts += np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    over = counts * 2 > last
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 

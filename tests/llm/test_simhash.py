@@ -37,6 +37,7 @@ def brute_components(fps, ids, radius=4):
 def test_fingerprint_matches_brute_force():
     for text in ["", None, "  ", "One", "a b c d", "a b c d E f\tg\x0bh", "é É x y z " * 20]:
         assert simhash.fingerprint(text) == brute_fingerprint(text)
+        assert simhash.fingerprint(text, run=3) == brute_fingerprint(text)
 
 
 def test_gray_rank_is_the_inverse_of_the_gray_code():
@@ -84,3 +85,18 @@ def test_several_blocks_against_brute_force(spark, sf_dir):
     got = simhash.near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, block string, fp int"), block_rows=40).collect()
     want = brute_components([brute_fingerprint(t) for _, t in rows], [i for i, _ in rows])
     assert {r.doc_id: r.component_id for r in got} == dict(zip([i for i, _ in rows], want, strict=True))
+
+
+def test_a_bridge_larger_than_both_of_its_ends_over_several_blocks(spark):
+    """Two fingerprints 8 bits apart hang together on one between them that is larger than either."""
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 1 << 62, 3000)
+    y = (0x7FFF << 48) | (int(rng.integers(0, 1 << 40)) << 8)
+    x = y | 0b11110000
+    z = x & ~(0b1111 << 56)
+    fps = [*map(int, fps), y, z, x]
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = simhash.hamming_components(table, block_rows=400).collect()
+    assert len(got) == len({r.vertex for r in got})
+    of = {r.vertex: r.component for r in got}
+    assert of[x] == of[y] == of[z] == min(x, y, z)

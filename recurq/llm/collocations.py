@@ -303,7 +303,7 @@ def _bounds(docs: DataFrame, part_bytes: int, sample_texts: int) -> list[tuple[s
     parts = int(total // part_bytes)
     if not parts:
         return []
-    sample = docs.select("lang", F.substr("text", F.lit(1), F.lit(4000)).alias("text"), F.xxhash64("text", "lang").alias("k")).orderBy("k", "lang").limit(sample_texts).toArrow()
+    sample = docs.select("lang", F.substr("text", F.lit(1), F.lit(4000)).alias("text"), F.xxhash64("text", F.monotonically_increasing_id()).alias("k")).orderBy("k", "lang").limit(sample_texts).toArrow()
     pairs = []
     for lang, text in zip(sample["lang"].to_pylist(), sample["text"].to_pylist(), strict=True):
         words = tokens(text.encode())
@@ -343,8 +343,8 @@ def collocations(
         walk = levels[k].withColumn("parent", F.expr("substring_index(phrase, ' ', %d)" % (k - 1))).withColumn("suffix", F.expr("substr(phrase, 2 + length(substring_index(phrase, ' ', 1)))"))
         above, _path = written_at(shorter, f"level-{k}")
         paths.append(_path)
-        walk = walk.join(maybe_broadcast(above.select("lang", F.col("phrase").alias("parent"), F.col("lefts").alias("before"))), ["lang", "parent"])
-        walk = walk.join(maybe_broadcast(above.select("lang", F.col("phrase").alias("suffix"), F.col("rights").alias("behind"))), ["lang", "suffix"])
+        walk = walk.join(maybe_broadcast(above.select("lang", F.col("phrase").alias("parent"), F.col("lefts").alias("before")), 200_000), ["lang", "parent"])
+        walk = walk.join(maybe_broadcast(above.select("lang", F.col("phrase").alias("suffix"), F.col("rights").alias("behind")), 200_000), ["lang", "suffix"])
         here, _path = written_at(walk, f"walk-{k}")
         paths.append(_path)
         scored.append(here.select("lang", "phrase", F.col("f").alias("a"), "before", "behind"))

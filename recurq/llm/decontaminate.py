@@ -184,9 +184,9 @@ def _cheapest(cost: np.ndarray, size: int, most: int) -> np.ndarray:
 def character_grams(codes: np.ndarray, size: int) -> np.ndarray:
     """Keys of all runs of ``size`` characters, one for each start."""
     n = max(0, len(codes) - size + 1)
-    key = np.zeros(n, np.uint64)
+    key = codes[:n].astype(np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
+        for k in range(1, size):
             key *= np.uint64(0x100000001B3)
             key += codes[k : k + n]
         key *= np.uint64(0x9E3779B97F4A7C15)
@@ -253,14 +253,14 @@ class Matcher:
             some = np.flatnonzero(good.take(cell))
             at, row = at[some] + lo, row[some]
             item, text, start = pieces.item[row], np.searchsorted(text_at, at, "right") - 1, at - pieces.offset[row]
-            order = np.lexsort((start, item, text))
+            order = np.argsort((text * len(pieces.need) + item) * (2 * len(codes) + 4 * overlap) + start, kind="stable")
             start, item, text, row = start[order], item[order], text[order], row[order]
             last = np.arange(len(item)) + pieces.need[item] - 1
             at = np.flatnonzero(last < len(item))
             last = last[at]
             at = at[(item[at] == item[last]) & (text[at] == text[last]) & (start[last] - start[at] <= self.most[item[at]])]
             # a piece that is met again within a window counts once
-            again = np.lexsort((row, text))
+            again = np.argsort(text * len(pieces.item) + row, kind="stable")
             before = np.full(len(row), -1)
             before[again[1:]] = np.where((row[again[1:]] == row[again[:-1]]) & (text[again[1:]] == text[again[:-1]]), again[:-1], -1)
             reach = (text * len(pieces.need) + item) * (2 * len(codes) + 4 * overlap) + start

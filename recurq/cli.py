@@ -1,7 +1,7 @@
 """From the command line: ``python -m recurq.cli DATA_DIR OUT_DIR`` runs the analysis, with ``--ingest`` the ingest.
 
-The analysis puts its candidates into the table ``OUT_DIR/candidates`` by key and takes those that are there as earlier
-ones. The ingest puts clean rows into the tables under ``OUT_DIR/clean``; with ``--dry-run`` it only counts them.
+The analysis commits clusters, candidates, examples, events, embeddings and metrics to ``OUT_DIR/store`` as one version and
+takes the candidates that are there as earlier ones; ``OUT_DIR/candidates`` is a copy of them. The ingest puts clean rows into the tables under ``OUT_DIR/clean``; with ``--dry-run`` it only counts them.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recurq import queries
 from recurq.operators import ingest, reports, runs
-from recurq.plans import pipeline
+from recurq.plans import persist
 from recurq.sources import io
+from recurq.sources.store import Store
 
 
 def _clean(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
@@ -35,16 +36,17 @@ def ingested(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def analysed(spark: SparkSession, args: argparse.Namespace) -> None:
-    """One run with its log; pairs, clusters and metrics are those of the last run, candidates those of all."""
+    """One run with its log; pairs, clusters and metrics beside the store are those of the last run."""
     run_id = runs.start(spark, f"{args.out}/runs", {"data": args.data, "agent": args.agent, "since": args.since}, args.workspace)
     try:
-        path = f"{args.out}/candidates"
-        earlier = io.read_table(spark, path) if io.has_table(spark, path) else None
+        store = Store(spark, f"{args.out}/store")
+        earlier = store.read("candidates")
         found = queries.analysis(spark, args.data, _clean(spark, args), earlier)
         for name in ("pairs", "clusters", "metrics", *(["members"] if args.debug else [])):
             getattr(found, name).write.mode("overwrite").parquet(f"{args.out}/{name}")
         now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
-        io.replace_table(pipeline.persisted(earlier, found.candidates, now), path, spark)
+        done = persist.persist(store, found, run_id, now)
+        io.replace_table(store.read("candidates", done), f"{args.out}/candidates", spark)
         runs.finish(spark, f"{args.out}/runs", run_id, "succeeded")
     except Exception as error:
         runs.finish(spark, f"{args.out}/runs", run_id, "failed", str(error)[:500])

@@ -15,7 +15,7 @@ from recurq.functions import text as T
 from recurq.functions import vectors as V
 from recurq.operators import cluster as C
 from recurq.operators import cluster_scale as S, ingest
-from recurq.operators import dedup, examples, generate, normalize, pairing, reports, review, runs
+from recurq.operators import dedup, embeddings, examples, generate, normalize, pairing, reports, review, review_fold, runs
 from recurq.operators import quality as Q
 from recurq.plans import pipeline
 from recurq.sources import chat, constraints, io
@@ -750,6 +750,78 @@ def review_state(spark, d):
     return review.state(r.candidates, r.edit_events, r.decisions).select("candidate_id", "normalized_question", "status", "was_human_edited")
 
 
+_FOLD = """WITH RECURSIVE c AS (SELECT p_partkey AS candidate_id, CASE WHEN p_partkey % 3 = 0 THEN 'needs_review' ELSE 'pending' END AS status, p_partkey % 5 = 0 AS no_agent, p_name AS q,
+  CASE WHEN p_partkey % 4 > 0 THEN 'Sobre ' || p_name END AS a, p_partkey % 7 AS w FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY t, request_id) AS n, CASE WHEN wanted IS NULL THEN 'edited' WHEN wanted = 'needs_review' THEN 'marked_needs_review' ELSE wanted END AS event_type FROM (
+  SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS request_id, CASE WHEN l_orderkey % 50 = 0 THEN -l_partkey ELSE l_partkey END AS candidate_id, l_orderkey AS t,
+  CASE (l_orderkey + l_linenumber) % 6 WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' WHEN 3 THEN 'needs_review' WHEN 4 THEN 'pending' WHEN 5 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'archived' ELSE 'approved' END END AS wanted,
+  CASE l_suppkey % 5 WHEN 1 THEN 'pending' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'approved' END AS expected,
+  CASE l_orderkey % 8 WHEN 1 THEN ' ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'Q ' || l_orderkey % 11 END AS question, CASE l_linenumber WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN ' ' ELSE 'A ' || l_orderkey % 11 END AS answer,
+  CASE WHEN l_orderkey % 9 = 0 THEN ' ' ELSE 'eva' END AS actor FROM lineitem)),
+f AS (SELECT candidate_id, 0::BIGINT AS n, status AS s, q, a, NULL::VARCHAR AS ps, NULL::VARCHAR AS pq, NULL::VARCHAR AS pa, NULL::VARCHAR AS err FROM c
+UNION ALL SELECT candidate_id, n, CASE WHEN err IS NULL THEN coalesce(wanted, s) ELSE s END, CASE WHEN err IS NULL AND question <> '' THEN question ELSE q END, CASE WHEN err IS NULL AND answer <> '' THEN answer ELSE a END, s, q, a, err FROM (
+  SELECT *, CASE WHEN wanted = 'archived' THEN 'unknown_status' WHEN expected <> s THEN 'conflict'
+    WHEN (wanted IS NULL OR coalesce(question, '') <> '' OR coalesce(answer, '') <> '') AND (actor = ' ' OR coalesce(question, '') = ' ' OR coalesce(answer, '') = ' ' OR (coalesce(answer, '') = '' AND a IS NULL)) THEN 'blank'
+    WHEN wanted = 'approved' AND (no_agent OR (a IS NULL AND coalesce(answer, '') = '')) THEN 'cannot_promote' END AS err
+  FROM (SELECT f.candidate_id, r.n, f.s, f.q, f.a, r.wanted, r.expected, r.question, r.answer, r.actor, c.no_agent FROM f JOIN r ON r.candidate_id = f.candidate_id AND r.n = f.n + 1 JOIN c ON c.candidate_id = f.candidate_id)))
+"""
+
+
+class Requested:
+    """Candidates and requests for their review, interleaved edits and decisions, made of the provided tables."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.candidates = table(spark, d, "part").selectExpr(
+            "p_partkey AS candidate_id", "CASE WHEN p_partkey % 3 = 0 THEN 'needs_review' ELSE 'pending' END AS status", "CASE WHEN p_partkey % 5 > 0 THEN concat('agent-', p_partkey % 7) END AS agent_id", "p_name AS normalized_question",
+            "CASE WHEN p_partkey % 4 > 0 THEN concat('Sobre ', p_name) END AS suggested_answer", "p_partkey % 7 AS workspace_id",
+        )
+        self.requests = table(spark, d, "lineitem").selectExpr(
+            "(l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS request_id", "CASE WHEN l_orderkey % 50 = 0 THEN -l_partkey ELSE l_partkey END AS candidate_id", "l_orderkey AS at",
+            "CASE (l_orderkey + l_linenumber) % 6 WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' WHEN 3 THEN 'needs_review' WHEN 4 THEN 'pending' WHEN 5 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'archived' ELSE 'approved' END END AS status",
+            "CASE l_suppkey % 5 WHEN 1 THEN 'pending' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'approved' END AS expected_status",
+            "CASE l_orderkey % 8 WHEN 1 THEN ' ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE concat('Q ', l_orderkey % 11) END AS question", "CASE l_linenumber WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN ' ' ELSE concat('A ', l_orderkey % 11) END AS answer",
+            "CASE WHEN l_orderkey % 9 = 0 THEN ' ' ELSE 'eva' END AS actor", "CAST(NULL AS string) AS notes",
+        )
+        self.folded = review_fold.fold(self.candidates, self.requests)
+
+
+@query(_FOLD + """SELECT request_id, candidate_id, event_type, f.ps AS previous_status, f.s AS new_status, f.pq AS previous_question, f.q AS new_question, f.pa AS previous_answer, f.a AS new_answer,
+f.err IS NULL AND (f.q IS DISTINCT FROM f.pq OR f.a IS DISTINCT FROM f.pa) AND f.n IS NOT NULL AS edited, CASE WHEN f.n IS NULL THEN 'not_found' ELSE f.err END AS error
+FROM r LEFT JOIN f USING (candidate_id, n)""")
+def review_log(spark, d):
+    return Requested(spark, d).folded.drop("turn", "at", "actor", "notes")
+
+
+@query(_FOLD + """, g AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY n DESC) AS k FROM f WHERE n > 0 AND err IS NULL),
+ap AS (SELECT candidate_id, max(n) AS n FROM f JOIN r USING (candidate_id, n) WHERE err IS NULL AND wanted = 'approved' GROUP BY 1),
+new AS (SELECT ap.candidate_id AS faq_id, w AS workspace_id, f.q AS question, f.a AS answer, true AS is_active FROM ap JOIN f USING (candidate_id, n) JOIN c USING (candidate_id)),
+held AS (SELECT p_partkey * 2 AS faq_id, p_partkey % 3 AS workspace_id, 'old' AS question, 'old' AS answer, p_partkey % 2 = 0 AS is_active FROM part)
+SELECT * FROM new UNION ALL SELECT * FROM held WHERE faq_id NOT IN (SELECT faq_id FROM new)""")
+def promoted_faqs(spark, d):
+    r = Requested(spark, d)
+    held = table(spark, d, "part").selectExpr("p_partkey * 2 AS faq_id", "p_partkey % 3 AS workspace_id", "'old' AS question", "'old' AS answer", "p_partkey % 2 = 0 AS is_active")
+    return review_fold.promote(held, r.candidates, r.folded).select("faq_id", "workspace_id", "question", "answer", "is_active")
+
+
+@query(_FOLD + """, g AS (SELECT candidate_id, max(n) AS n, count(*) FILTER (q IS DISTINCT FROM pq OR a IS DISTINCT FROM pa) AS edits FROM f WHERE n > 0 AND err IS NULL GROUP BY 1)
+SELECT c.candidate_id, coalesce(f.s, c.status) AS status, coalesce(f.q, c.q) AS normalized_question, CASE WHEN f.n IS NULL THEN c.a ELSE f.a END AS suggested_answer, coalesce(edits, 0) AS edit_count FROM c LEFT JOIN g USING (candidate_id) LEFT JOIN f USING (candidate_id, n)""")
+def reviewed_candidates(spark, d):
+    r = Requested(spark, d)
+    return review_fold.state(r.candidates, r.folded).select("candidate_id", "status", "normalized_question", "suggested_answer", "edit_count")
+
+
+@query(r"""WITH m AS (SELECT conv_id, conv_id * 100 + turn AS message_pk FROM conversations WHERE regexp_matches(text, '[\p{L}\p{N}_]'))
+SELECT message_pk, 'small' AS embedding_model, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 2 END AS run, 1024 AS embedding_dimension FROM m UNION ALL SELECT message_pk, 'large', 3, 2048 FROM m""")
+def message_embeddings(spark, d):
+    said = table(spark, d, "conversations").selectExpr("conv_id", "conv_id * 100 + turn AS message_pk", "text")
+    vector = lambda dim: V.hash_embedding(dim)(T.fold_text("text"))
+    first = embeddings.delta(said.filter("conv_id % 2 = 0"), None, "text", "small", vector(1024))
+    second = embeddings.delta(said, first, "text", "small", vector(1024))
+    third = embeddings.delta(said, first.unionByName(second), "text", "large", vector(2048))
+    runs_ = [df.withColumn("run", F.lit(k)) for k, df in enumerate((first, second, third), 1)]
+    return reduce(DataFrame.unionByName, runs_).select("message_pk", "embedding_model", "run", "embedding_dimension")
+
+
 @query("SELECT s_suppkey AS candidate_id, CASE WHEN s_suppkey % 2 = 0 THEN 'approved' ELSE 'rejected' END AS event_type, s_suppkey % 7 AS workspace_id, substr(p_name, 1, 180) AS question_preview FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey % 7 = 2")
 def list_validations(spark, d):
     r = Reviewed(spark, d)

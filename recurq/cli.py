@@ -1,7 +1,7 @@
 """From the command line: ``python -m recurq.cli DATA_DIR OUT_DIR`` runs the analysis, with ``--ingest`` the ingest.
 
 The analysis commits clusters, candidates, examples, events, embeddings and metrics to ``OUT_DIR/store`` as one version and
-takes the candidates that are there as earlier ones; ``OUT_DIR/candidates`` is a copy of them. The ingest puts clean rows into the tables under ``OUT_DIR/clean``; with ``--dry-run`` it only counts them.
+takes the candidates that are there as earlier ones; ``OUT_DIR/candidates`` is a copy of them. The ingest puts clean rows into the tables under ``OUT_DIR/clean`` and writes pairs and counters as JSON lines; with ``--dry-run`` it only counts them.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 import argparse
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from recurq import queries
-from recurq.operators import ingest, reports, runs
+from recurq.operators import ingest, pairing, reports, runs
 from recurq.plans import persist
 from recurq.sources import io
 from recurq.sources.store import Store
@@ -25,14 +26,19 @@ def _clean(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame
 
 
 def ingested(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Put the selected rows into the clean tables, a new version of each."""
+    """Put the selected rows into the clean tables, a new version of each; pairs of all messages and counters as JSON lines."""
     tables = _clean(spark, args)
     if args.dry_run:
         reports.counts(tables).orderBy("metric").show(truncate=False)
         return
     old = {name: io.read_table(spark, path) for name in tables if io.has_table(spark, path := f"{args.out}/clean/{name}")}
-    for name, df in ingest.ingest(old, tables).items():
+    counts: dict[str, dict[str, int]] = {}
+    for name, df in ingest.ingest(old, tables, counts).items():
         io.replace_table(df, f"{args.out}/clean/{name}", spark)
+    seen = Observation()
+    found = pairing.pairs(io.read_table(spark, f"{args.out}/clean/messages"), "conversation_pk", ["created_at", "message_pk"])
+    io.write_jsonl(found.select("conversation_pk", "message_pk", "assistant_pk", "user_text", "assistant_text").observe(seen, F.count(F.lit(1)).alias("n")), f"{args.out}/pairs")
+    io.write_jsonl(spark.createDataFrame(list(ingest.figures(counts, seen.get["n"]).items()), "metric_name string, metric_value long").coalesce(1), f"{args.out}/counters")
 
 
 def analysed(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -223,6 +223,20 @@ def dq_summary(spark, d):
     return reports.group_counts(normalize.issues(c.convs, c.faqs, c.msgs), "issue_type", "severity", "source_table", name="issues_count")
 
 
+@query(BASE + """, m AS (SELECT CASE WHEN message_pk % 10 = 7 THEN NULL ELSE id END AS id, role, conversation_pk FROM msgs), m2 AS (SELECT * FROM m UNION ALL SELECT * FROM m WHERE conversation_pk % 3 = 0),
+sizes AS (SELECT (SELECT count(*) FROM workspaces) AS w, (SELECT count(*) FROM agents) AS a, (SELECT count(*) FROM convs) AS c, (SELECT count(*) FROM m2) AS m, (SELECT count(*) FROM faqs) AS f,
+  (SELECT count(DISTINCT id) FROM m2) AS ids, (SELECT count(id) FROM m2) AS keyed, (SELECT count_if(role = 'user') FROM m2) AS u, (SELECT count_if(role = 'assistant') FROM m2) AS s,
+  (SELECT count(*) FROM (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant') AND (conv_id % 8 >= 6 OR trim(text, ' ') = '')) e, range(2) r(k) WHERE k = 0 OR conv_id % 3 = 0) AS e)
+SELECT unnest(['workspaces_read', 'agents_read', 'chats_read', 'messages_read', 'faqs_read', 'user_messages', 'assistant_messages', 'messages_skipped_invalid_json', 'messages_skipped_empty_text', 'duplicates_omitted', 'records_written', 'records_omitted']) AS metric_name,
+unnest([w, a, c, m, f, u, s, 0, e, keyed - ids, w + a + c + ids + f, m - ids]) AS metric_value FROM sizes""")
+def ingest_counters(spark, d):
+    c = Clean(spark, d)
+    some = c.msgs.withColumn("id", F.when(F.col("message_pk") % 10 != 7, F.col("id")))
+    counts = {}
+    ingest.ingest({}, {"workspaces": c.workspaces, "agents": c.agents, "conversations": c.convs, "messages": some.unionByName(some.filter("conversation_pk % 3 = 0")), "faqs": c.faqs}, counts)
+    return spark.createDataFrame(list(ingest.figures(counts).items()), "metric_name string, metric_value long")
+
+
 @query("""SELECT CASE WHEN role NOT IN ('user', 'assistant') THEN 'unsupported_role' WHEN conv_id % 8 >= 6 OR trim(text, ' ') = '' THEN 'empty_text' ELSE 'kept' END AS reason, count(*) AS n FROM conversations GROUP BY 1""")
 def ingest_dry_run(spark, d):
     reason = F.coalesce(normalize.skip_reason(F.col("message")), F.lit("kept")).alias("reason")

@@ -5,6 +5,7 @@ from recurq.config import Settings
 from recurq.operators import ingest, review, runs
 from recurq.plans import pipeline
 from recurq.sources import io
+from recurq.sources.store import Store
 from recurq.streaming.pairs import streamed_pairs
 
 MESSAGES = "conversation_pk long, message_pk long, workspace_id long, role string, content_text string, created_at timestamp_ntz"
@@ -131,6 +132,8 @@ def test_command_line_ingest(spark, sf_dir, tmp_path):
     all_rows = io.read_table(spark, f"{out}/clean/messages")
     c = queries.Clean(spark, sf_dir)
     assert all_rows.count() == c.msgs.count() == all_rows.select("message_pk").distinct().count()
+    found = {r.metric_name: r.metric_value for r in spark.read.json(f"{out}/counters").collect()}
+    assert found["messages_read"] == c.msgs.count() and found["user_assistant_pairs_built"] == spark.read.json(f"{out}/pairs").count() > 0
     kept = all_rows.join(some["messages"].select("id", some["messages"]["message_pk"].alias("before")), "id")
     assert kept.count() == some["messages"].count() and kept.filter("message_pk <> before").isEmpty()
 
@@ -141,5 +144,7 @@ def test_command_line_run(spark, sf_dir, tmp_path):
         cli.main([sf_dir, out, "--since", "2024-01-01"])
     log = runs.latest(spark.read.schema(runs.LOG).parquet(f"{out}/runs")).collect()
     assert [r.status for r in log] == ["succeeded"] * 2
+    store = Store(spark, f"{out}/store")
+    assert store.state().version == 2 and store.read("metrics").select("run_id").distinct().count() == 2
     table = io.read_table(spark, f"{out}/candidates")
     assert table.count() == table.select("candidate_id").distinct().count() == table.selectExpr("workspace_id", "agent_id", "lower(normalized_question)").distinct().count()

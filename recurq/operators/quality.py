@@ -176,10 +176,15 @@ def alignment(question: Column, questions: Column, centroid_similarity: Column,
     return F.struct(status.alias("status"), overlap.alias("token_overlap"), F.round(centroid_similarity, 4).alias("centroid_similarity"), F.round(average_similarity, 4).alias("average_similarity"))
 
 
-def score(recurrence: Column, cohesion: Column, confidence: Column, n_questions: Column, n_answers: Column) -> Column:
+def exact_score(recurrence: Column, cohesion: Column, confidence: Column, n_questions: Column, n_answers: Column) -> Column:
+    """The score from 0 to 100 before it is rounded."""
     evidence = F.least(F.lit(1.0), (n_questions + n_answers) / F.greatest(F.lit(1), recurrence * 2))
     total = 0.30 * cohesion + 0.40 * confidence + 0.15 * F.least(F.lit(1.0), recurrence / 10) + 0.15 * evidence
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total * 100)), 2)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total * 100))
+
+
+def score(recurrence: Column, cohesion: Column, confidence: Column, n_questions: Column, n_answers: Column) -> Column:
+    return F.round(exact_score(recurrence, cohesion, confidence, n_questions, n_answers), 2)
 
 
 def tier_reasons(confidence: Column, cohesion: Column, support: Column, n_answers: Column, earlier: Column, s: Settings = Settings()) -> Column:  # noqa: B008

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -19,6 +20,12 @@ def lit_or_col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, which is evaluated once however often ``body`` names it: Spark shares no expressions between branches,
+    nor in lambdas, where each name would be a copy of the whole chain before it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def sub(x: Column, pattern: str, by: str = "", flags: str = "(?iu)(?U)") -> Column:
     return F.regexp_replace(x, F.lit(flags + pattern), F.lit(by))
 
@@ -116,16 +123,17 @@ def has_emoji(x: Column) -> Column:
     return has(x, L.EMOJI, "")
 
 
-def is_tool_trace(x: Column) -> Column:
-    return has_any(fold_text(x), L.TRACE_FRAGMENTS)
+def is_tool_trace(x: Column, folded: Column | None = None) -> Column:
+    """``folded``, here and below: the folded text, where a caller has it."""
+    return has_any(fold_text(x) if folded is None else folded, L.TRACE_FRAGMENTS)
 
 
-def is_chat_style(x: Column) -> Column:
-    return has_emoji(x) | has_any(fold_text(x), L.CHAT_STYLE_FRAGMENTS) | has(normalize_text(x), r"^(hola|buenos dias|buenas tardes|buenas noches|cordial saludo)\b")
+def is_chat_style(x: Column, folded: Column | None = None) -> Column:
+    return has_emoji(x) | has_any(fold_text(x) if folded is None else folded, L.CHAT_STYLE_FRAGMENTS) | has(normalize_text(x), r"^(hola|buenos dias|buenas tardes|buenas noches|cordial saludo)\b")
 
 
-def has_time_reference(x: Column) -> Column:
-    return has(x, L.TIME) | has(x, L.DATE) | has_any(fold_text(x), L.TIME_WORDS)
+def has_time_reference(x: Column, folded: Column | None = None) -> Column:
+    return has(x, L.TIME) | has(x, L.DATE) | has_any(fold_text(x) if folded is None else folded, L.TIME_WORDS)
 
 
 def redact_personal_data(x: Column | str, protected: Column | None = None) -> Column:
@@ -161,8 +169,8 @@ def clean_faq_answer(x: Column | str, company: Column | None = None) -> Column:
     for at, (pattern, by) in enumerate(L.ANSWER_REWRITES):
         text = sub(text, pattern, by, "(?iu)(?U)(?s)" if at == 0 else "(?iu)(?U)")
     text = normalize_text(strip_edges(sub(text, r"\[persona\],?\s*", "", "(?U)"), " -:;,."))
-    ended = F.when(text.rlike(r"[.!?]$"), text).otherwise(F.concat(text, F.lit(".")))
-    return F.when(text == "", F.lit("")).otherwise(_upper_first(ended))
+    ended = lambda t: F.when(t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
+    return let(text, lambda t: F.when(t == "", F.lit("")).otherwise(_upper_first(ended(t))))
 
 
 def clean_answer_evidence(x: Column | str, company: Column | None = None) -> Column:
@@ -171,19 +179,24 @@ def clean_answer_evidence(x: Column | str, company: Column | None = None) -> Col
 
 
 def is_answer_evidence_usable(x: Column) -> Column:
-    clean = normalize_text(x)
-    return (F.char_length(clean) >= 20) & ~is_tool_trace(clean) & ~is_chat_style(clean) & ~has(clean, L.PLACEHOLDER)
+    def usable(clean: Column, folded: Column) -> Column:
+        return (F.char_length(clean) >= 20) & ~is_tool_trace(clean, folded) & ~is_chat_style(clean, folded) & ~has(clean, L.PLACEHOLDER)
+
+    return let(normalize_text(x), lambda clean: let(fold_text(clean), lambda folded: usable(clean, folded)))
 
 
 def compact_answer(x: Column | str, most: int = 55) -> Column:
     """The whole answer if short enough, else its first sentence, else the first two, else its first words."""
-    clean = normalize_text(x)
-    sentences = F.filter(F.split(clean, r"(?<=[.!])\s+"), lambda s: F.trim(s) != "")
-    one, two = (normalize_text(F.array_join(F.slice(sentences, 1, n), " ")) for n in (1, 2))
-    cut = strip_edges(F.array_join(F.slice(F.split(clean, " "), 1, most), " "), " ,;:")
-    cut = F.when(cut.rlike(r"[.!?]$") | (cut == ""), cut).otherwise(F.concat(cut, F.lit(".")))
+    ended = lambda cut: F.when(cut.rlike(r"[.!?]$") | (cut == ""), cut).otherwise(F.concat(cut, F.lit(".")))
     short = lambda t: (t != "") & (word_count(t) <= most)
-    return F.when(word_count(clean) <= most, clean).when(short(one), one).when(short(two), two).otherwise(cut)
+
+    def shortened(clean: Column) -> Column:
+        sentences = F.filter(F.split(clean, r"(?<=[.!])\s+"), lambda s: F.trim(s) != "")
+        first = lambda n: normalize_text(F.array_join(F.slice(sentences, 1, n), " "))
+        cut = let(strip_edges(F.array_join(F.slice(F.split(clean, " "), 1, most), " "), " ,;:"), ended)
+        return let(first(1), lambda one: F.when(short(one), one).otherwise(let(first(2), lambda two: F.when(short(two), two).otherwise(cut))))
+
+    return let(normalize_text(x), lambda clean: F.when(word_count(clean) <= most, clean).otherwise(shortened(clean)))
 
 
 def clean_canonical_answer(x: Column | str, company: Column | None = None) -> Column:
@@ -191,12 +204,15 @@ def clean_canonical_answer(x: Column | str, company: Column | None = None) -> Co
 
 
 def clean_canonical_question(x: Column | str) -> Column:
-    clean = clean_question_evidence(x)
-    folded = strip_edges(fold_text(clean), " ?")
-    rewritten = reduce(lambda rest, r: F.when(has(folded, r[0]), sub(clean, r[0], r[1])).otherwise(rest), reversed(L.QUESTION_REWRITES), clean)
-    body = normalize_text(strip_edges(rewritten, " -:;,.¿?"))
+    def rewritten(clean: Column, folded: Column) -> Column:
+        return reduce(lambda rest, r: F.when(has(folded, r[0]), sub(clean, r[0], r[1])).otherwise(rest), reversed(L.QUESTION_REWRITES), clean)
+
+    def asked(clean: Column) -> Column:
+        return let(strip_edges(fold_text(clean), " ?"), lambda folded: normalize_text(strip_edges(rewritten(clean, folded), " -:;,.¿?")))
+
     # an inverted question mark that a rewrite put in front was stripped with the edges
-    return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit("¿"), _upper_first(body), F.lit("?")))
+    ended = lambda body: F.when(body == "", F.lit("")).otherwise(F.concat(F.lit("¿"), _upper_first(body), F.lit("?")))
+    return let(let(clean_question_evidence(x), asked), ended)
 
 
 def strip_thinking(x: Column) -> Column:
@@ -234,10 +250,16 @@ def company_key(company: Column, workspace: Column) -> Column:
 def candidate_reject_reason(clean: Column, raw: Column | None = None) -> Column:
     """Why a message is no candidate question: the first rule that rejects, or null. ``raw`` is the text the rules
     on whole messages see; by default the cleaned text, as in the pipeline."""
-    raw = normalize_text(clean if raw is None else raw)
-    text = normalize_chat_text(raw)
     edge = " ¿?¡!.,;:-_"
-    raw_folded, folded = strip_edges(fold_text(raw), edge), strip_edges(fold_text(text), edge)
+    folded = lambda t: strip_edges(fold_text(t), edge)
+    return let(
+        normalize_text(clean if raw is None else raw),
+        lambda r: let(normalize_chat_text(r), lambda t: let(folded(r), lambda fr: let(folded(t), lambda ft: _first_reject(r, t, fr, ft)))),
+    )
+
+
+def _first_reject(raw: Column, text: Column, raw_folded: Column, folded: Column) -> Column:
+    """The first rule that rejects, from the whole and the cleaned text, both folded, too."""
     one_of = lambda words: "|".join(words)
     opens = rf"^(?:(?:{one_of(L.GREETING_STARTS_ES)}|{one_of(L.GREETING_STARTS_EN)}|{one_of(L.THANKS)})(\s+.*)?|(?:{one_of(L.ACKNOWLEDGEMENTS)})(\s+gracias|\s+thank you|\s+thanks)?)$"
     no_contact = lambda x: sub(sub(x, L.EMAIL), L.PHONE)

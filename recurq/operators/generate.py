@@ -75,9 +75,14 @@ def generate(clusters: DataFrame, prompt: Column, model: Callable[[list[str]], l
 
 def focus_tokens(questions: Column, most: int = 4) -> Column:
     """The most frequent support tokens of an array of questions, the first seen first on a tie."""
-    every = F.flatten(F.transform(questions, T.support_tokens))
-    ranked = F.transform(F.array_distinct(every), lambda t: F.struct((-F.size(F.filter(every, lambda u: u == t))).alias("n"), F.array_position(every, t).alias("at"), t.alias("token")))
-    return F.transform(F.slice(F.array_sort(ranked), 1, most), lambda r: r["token"])
+    every = F.transform(F.flatten(F.transform(questions, T.support_tokens)), lambda t, i: F.struct(t.alias("token"), i.alias("at")))
+
+    def ranked(tokens: Column) -> Column:
+        # sorted by token and place, so equal tokens are a run that begins with the first one seen
+        begins = F.filter(F.transform(tokens, lambda x, i: F.when((i == 0) | (F.get(tokens, i - 1)["token"] != x["token"]), i)), lambda i: i.isNotNull())
+        return T.let(begins, lambda at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(tokens))).alias("n"), F.get(tokens, i)["at"].alias("at"), F.get(tokens, i)["token"].alias("token"))))
+
+    return F.transform(F.slice(F.array_sort(T.let(F.array_sort(every), ranked)), 1, most), lambda r: r["token"])
 
 
 def _sentence(rules: list, categories: Column, folded: Column, focus: Column) -> Column:
@@ -97,37 +102,48 @@ def _product_focus(questions: Column) -> Column:
     return F.array_join(F.slice(kept, 1, 3), " ")
 
 
+def _prudent(rules: list, questions: Column, categories: Column) -> Column:
+    folded = T.fold_text(F.array_join(questions, " "))
+    return T.let(folded, lambda f: T.let(_product_focus(questions), lambda focus: _sentence(rules, categories, f, focus)))
+
+
 def prudent_answer(questions: Column, categories: Column) -> Column:
     """A cautious sentence for the first intent in order of payment, scheduling, shipping, product and price."""
-    return _sentence(L.PRUDENT_ANSWERS, categories, T.fold_text(F.array_join(questions, " ")), _product_focus(questions))
+    return _prudent(L.PRUDENT_ANSWERS, questions, categories)
 
 
 def prudent_question(questions: Column, categories: Column) -> Column:
     """A cautious question for the first intent in order of shipping, payment, scheduling, price and product."""
-    return _sentence(L.PRUDENT_QUESTIONS, categories, T.fold_text(F.array_join(questions, " ")), _product_focus(questions))
+    return _prudent(L.PRUDENT_QUESTIONS, questions, categories)
 
 
 def intent_statement(questions: Column) -> Column:
-    qs = F.filter(F.transform(questions, T.clean_question_evidence), lambda x: x != "")
-    categories = Q.intents_of(qs)
-    tokens = F.flatten(F.transform(qs, T.support_tokens))
-    focus = F.array_join(focus_tokens(qs), " ")
+    return T.let(F.filter(F.transform(questions, T.clean_question_evidence), lambda x: x != ""), _statement)
+
+
+def _statement(qs: Column) -> Column:
+    """``intent_statement`` from cleaned questions."""
+    about = F.arrays_overlap(F.flatten(F.transform(qs, T.support_tokens)), F.array(*[F.lit(t) for t in L.SHIPPING_FOCUS]))
+    parts = F.struct(Q.intents_of(qs).alias("categories"), about.alias("about"), F.array_join(focus_tokens(qs), " ").alias("focus"))
     s = L.INTENT_STATEMENTS
-    known = lambda c: F.array_contains(categories, c)
-    about = F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in L.SHIPPING_FOCUS]))
-    with_focus = lambda name: F.replace(F.lit(s[name]), F.lit("{}"), focus)
-    return Q.first_of(
-        [
-            (known("shipping") & (about | ~known("product_availability")), s["shipping"]),
-            (known("payment"), s["payment"]),
-            (known("scheduling"), s["scheduling"]),
-            (known("product_availability") & (focus != ""), with_focus("product_focus")),
-            (known("product_availability"), s["product_availability"]),
-            (known("pricing"), s["pricing"]),
-            (focus != "", with_focus("focus")),
-        ],
-        F.lit(s["other"]),
-    )
+
+    def stated(p: Column) -> Column:
+        known = lambda c: F.array_contains(p["categories"], c)
+        with_focus = lambda name: F.replace(F.lit(s[name]), F.lit("{}"), p["focus"])
+        return Q.first_of(
+            [
+                (known("shipping") & (p["about"] | ~known("product_availability")), s["shipping"]),
+                (known("payment"), s["payment"]),
+                (known("scheduling"), s["scheduling"]),
+                (known("product_availability") & (p["focus"] != ""), with_focus("product_focus")),
+                (known("product_availability"), s["product_availability"]),
+                (known("pricing"), s["pricing"]),
+                (p["focus"] != "", with_focus("focus")),
+            ],
+            F.lit(s["other"]),
+        )
+
+    return T.let(parts, stated)
 
 
 def with_template(clusters: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,10 +21,12 @@ def first_of(rules: list[tuple[Column, Column | str]], default: Column | None =
 
 def intents(question: Column) -> Column:
     """The sorted intents of one question."""
-    folded = T.fold_text(question)
-    payment = T.has_any(folded, L.INTENTS["payment"])
+    return T.let(T.fold_text(question), intents_of_folded)
+
+
+def intents_of_folded(folded: Column) -> Column:
     found = {name: T.has_any(folded, terms) for name, terms in L.INTENTS.items()}
-    found["scheduling"] = found["scheduling"] | (folded.contains("reserv") & ~payment)
+    found["scheduling"] = found["scheduling"] | (folded.contains("reserv") & ~found["payment"])
     return F.array_compact(F.array(*[F.when(found[name], F.lit(name)) for name in sorted(found)]))
 
 
@@ -40,39 +43,42 @@ def is_mixed(categories: Column) -> Column:
     return F.size(primary(categories)) > 1
 
 
-def _shape(clean: Column, least: int, most: int) -> Column:
-    return T.word_count(clean).between(least, most) & ~T.is_tool_trace(clean) & ~T.has(clean, L.PLACEHOLDER) & ~T.has_emoji(clean)
+def _shape(clean: Column, least: int, most: int, folded: Column | None = None) -> Column:
+    return T.word_count(clean).between(least, most) & ~T.is_tool_trace(clean, folded) & ~T.has(clean, L.PLACEHOLDER) & ~T.has_emoji(clean)
+
+
+def _with_folded(x: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the normalised and the folded text."""
+    return T.let(T.normalize_text(x), lambda clean: T.let(T.fold_text(clean), lambda folded: body(clean, folded)))
 
 
 def is_valid_question(x: Column, s: Settings = Settings()) -> Column:  # noqa: B008
-    clean = T.normalize_text(x)
-    folded = T.fold_text(clean)
     starts = "|".join(r"\Q" + w + r"\E" for w in [*L.QUESTION_GREETINGS, *L.RAW_CHAT_STARTS])
-    return (
-        F.char_length(clean).between(8, 180) & _shape(clean, 3, s.max_question_words) & clean.rlike("[?¿]") & (clean.startswith("¿") | clean.contains("?")) & ~T.has_time_reference(clean)
+    return _with_folded(x, lambda clean, folded: (
+        F.char_length(clean).between(8, 180) & _shape(clean, 3, s.max_question_words, folded) & clean.rlike("[?¿]") & (clean.startswith("¿") | clean.contains("?")) & ~T.has_time_reference(clean, folded)
         & ~folded.rlike(f"^(?:{starts})") & ~T.has_any(folded, L.PERSONAL_MARKERS) & ~T.has(folded, r"\b(yo|me|mi|mis|conmigo|con mi)\b") & (F.regexp_count(folded, F.lit("[a-záéíóúñ]")) >= 6)
-    )
+    ))
 
 
 def is_valid_answer(x: Column, s: Settings = Settings()) -> Column:  # noqa: B008
-    clean = T.normalize_text(x)
-    folded = T.fold_text(clean)
-    return (
-        F.char_length(clean).between(20, 420) & _shape(clean, 5, s.max_answer_words) & ~T.is_chat_style(clean) & ~T.has(clean, r"https?://|www\.") & ~T.has_time_reference(clean) & ~clean.contains("?")
+    return _with_folded(x, lambda clean, folded: (
+        F.char_length(clean).between(20, 420) & _shape(clean, 5, s.max_answer_words, folded) & ~T.is_chat_style(clean, folded) & ~T.has(clean, r"https?://|www\.") & ~T.has_time_reference(clean, folded) & ~clean.contains("?")
         & ~T.has_any(folded, L.ANSWER_FORBIDDEN) & ~T.has(folded, r"\b(indica|indique|contacta|contacte|consulta|consulte|tienes|tengo|quieres|quiero|gustaria)\b") & ~folded.rlike("^(?:claro|aqui)")
-    )
+    ))
 
 
 def is_valid_statement(x: Column, most: int = 45) -> Column:
     """A knowledge statement; 55 words for a statement of intent."""
-    clean = T.normalize_text(x)
-    return (clean != "") & ~clean.contains("?") & _shape(clean, 4, most)
+    return _with_folded(x, lambda clean, folded: (clean != "") & ~clean.contains("?") & _shape(clean, 4, most, folded))
 
 
 def is_aligned(question: Column, answer: Column, statement: Column | None = None) -> Column:
     """Whether an answer is about the question."""
-    q = T.fold_text(question)
-    a = T.fold_text(F.concat_ws(" ", answer, F.coalesce(statement, F.lit("")) if statement is not None else F.lit("")))
+    said = F.concat_ws(" ", answer, F.coalesce(statement, F.lit("")) if statement is not None else F.lit(""))
+    return T.let(T.fold_text(question), lambda q: T.let(T.fold_text(said), lambda a: _about(q, a)))
+
+
+def _about(q: Column, a: Column) -> Column:
     conditional = q.contains("gratis") | T.has_any(q, ["desde", "valor minimo", "monto minimo"])
     free = a.contains("gratis")
     free_delivery = free & T.has_any(a, ["domicilio", "envio", "entrega"])
@@ -88,21 +94,30 @@ def is_prudent(answer: Column) -> Column:
 
 def evidence_support(intent: Column, statement: Column, question: Column, answer: Column, questions: Column, answers: Column) -> Column:
     """How far cleaned evidence supports a generated pair: level, reason, hard_reject, answer_review, overlap."""
-    blank = lambda x: F.coalesce(x, F.lit(""))
-    said = F.concat_ws(" ", *[T.normalize_text(blank(x)) for x in (intent, statement, question, answer)])
     qs = F.filter(F.transform(questions, T.clean_question_evidence), lambda x: x != "")
     ans = F.filter(F.transform(answers, lambda a: T.clean_answer_evidence(a)), lambda x: x != "")
-    evidence = F.array_join(F.concat(qs, ans), " ")
-    folded_said, folded_evidence = T.fold_text(said), T.fold_text(evidence)
-    q_tokens, a_tokens = T.support_tokens(question), T.support_tokens(F.concat_ws(" ", blank(statement), answer))
-    e_tokens, qe_tokens = T.support_tokens(evidence), T.support_tokens(F.array_join(qs, " "))
-    asked = F.arrays_overlap(q_tokens, qe_tokens) | (F.size(intents_of(qs)) > 0)
-    positive = T.has(folded_said, r"\bsi\b") | T.has_any(folded_said, L.POSITIVE_EVIDENCE[1:])
-    negative = T.has(folded_evidence, rf"\b({'|'.join(L.NEGATIVE_EVIDENCE)})\b")
-    contradicted = positive & negative & F.arrays_overlap(T.support_tokens(said), e_tokens)
+    return T.let(qs, lambda q: T.let(F.array_join(F.concat(q, ans), " "), lambda e: _supported(intent, statement, question, answer, q, e)))
+
+
+def _supported(intent: Column, statement: Column, question: Column, answer: Column, qs: Column, evidence: Column) -> Column:
+    """``evidence_support`` from the cleaned questions and all cleaned evidence as one text."""
+    blank = lambda x: F.coalesce(x, F.lit(""))
     amounts = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"\d[\d.,]*"), F.lit(0)))
-    unknown_amount = F.size(F.array_except(amounts(folded_said), amounts(folded_evidence))) > 0
-    overlap = F.when(F.size(a_tokens) > 0, F.size(F.array_intersect(a_tokens, e_tokens)) / F.size(a_tokens)).otherwise(0.0)
+    said = F.concat_ws(" ", *[T.normalize_text(blank(x)) for x in (intent, statement, question, answer)])
+    parts = F.struct(
+        said.alias("said"), T.fold_text(said).alias("folded_said"), T.fold_text(evidence).alias("folded_evidence"), T.support_tokens(question).alias("q"),
+        T.support_tokens(F.concat_ws(" ", blank(statement), answer)).alias("a"), T.support_tokens(evidence).alias("e"),
+    )
+
+    def facts(p: Column) -> Column:
+        positive = T.has(p["folded_said"], r"\bsi\b") | T.has_any(p["folded_said"], L.POSITIVE_EVIDENCE[1:])
+        negative = T.has(p["folded_evidence"], rf"\b({'|'.join(L.NEGATIVE_EVIDENCE)})\b")
+        contradicted = positive & negative & F.arrays_overlap(T.support_tokens(p["said"]), p["e"])
+        unknown_amount = F.size(F.array_except(amounts(p["folded_said"]), amounts(p["folded_evidence"]))) > 0
+        asked = F.arrays_overlap(p["q"], T.support_tokens(F.array_join(qs, " "))) | (F.size(intents_of(qs)) > 0)
+        overlap = F.when(F.size(p["a"]) > 0, F.size(F.array_intersect(p["a"], p["e"])) / F.size(p["a"])).otherwise(0.0)
+        prudent = is_prudent(answer) & F.arrays_overlap(p["q"], p["e"])
+        return F.struct(contradicted.alias("contradicted"), unknown_amount.alias("unknown_amount"), asked.alias("asked"), overlap.alias("overlap"), prudent.alias("prudent"))
 
     def result(level: str, reason: str, hard: bool, review: bool, ratio: Column | float = 0.0) -> Column:
         ratio = F.lit(ratio) if isinstance(ratio, float) else ratio
@@ -110,19 +125,23 @@ def evidence_support(intent: Column, statement: Column, question: Column, answer
 
     none = result("none", L.REASONS["unsupported"], True, True)
     weak = result("weak", L.REASONS["answer_review"], False, True)
-    return first_of(
-        [
-            (contradicted, none),
-            (unknown_amount & asked, result("weak", L.REASONS["amount"], False, True)),
-            (unknown_amount, none),
-            (overlap >= 0.55, result("strong", "", False, False, overlap)),
-            (overlap >= 0.25, result("partial", L.REASONS["partial"], False, True, overlap)),
-            (overlap > 0, result("weak", L.REASONS["answer_review"], False, True, overlap)),
-            (asked, weak),
-            (is_prudent(answer) & F.arrays_overlap(q_tokens, e_tokens), result("weak", L.REASONS["prudent"], False, True)),
-        ],
-        none,
-    )
+
+    def level(f: Column) -> Column:
+        return first_of(
+            [
+                (f["contradicted"], none),
+                (f["unknown_amount"] & f["asked"], result("weak", L.REASONS["amount"], False, True)),
+                (f["unknown_amount"], none),
+                (f["overlap"] >= 0.55, result("strong", "", False, False, f["overlap"])),
+                (f["overlap"] >= 0.25, result("partial", L.REASONS["partial"], False, True, f["overlap"])),
+                (f["overlap"] > 0, result("weak", L.REASONS["answer_review"], False, True, f["overlap"])),
+                (f["asked"], weak),
+                (f["prudent"], result("weak", L.REASONS["prudent"], False, True)),
+            ],
+            none,
+        )
+
+    return T.let(T.let(parts, facts), level)
 
 
 def generation_reject_reason(g: Column, s: Settings = Settings()) -> Column:  # noqa: B008
@@ -153,27 +172,43 @@ def alignment(question: Column, questions: Column, centroid_similarity: Column,
     """How a canonical question fits its cluster: status, token_overlap, similarities."""
     clean = T.normalize_text(question)
     qs = F.filter(F.transform(questions, T.clean_question_evidence), lambda x: x != "")
-    tokens, cluster_tokens = T.support_tokens(clean), F.array_distinct(F.flatten(F.transform(qs, T.support_tokens)))
-    overlap = F.round(F.size(F.array_intersect(tokens, cluster_tokens)) / F.greatest(F.lit(1), F.least(F.size(tokens), F.lit(5))), 4)
-    theirs, own = intents_of(qs), intents(clean)
-    theirs_primary, own_primary = primary(theirs), primary(own)
-    known = F.size(theirs_primary) > 0
-    shared = F.arrays_overlap(theirs, own)
-    mismatch = known & (F.size(own_primary) > 0) & ~F.arrays_overlap(theirs_primary, own_primary)
-    introduced = F.when(known, F.array_except(own_primary, theirs_primary)).otherwise(F.array().cast("array<string>"))
-    nearest = F.greatest(F.round(centroid_similarity, 4), F.round(average_similarity, 4))
-    status = first_of(
-        [
-            ((clean == "") | (F.size(qs) == 0), "misaligned"),
-            ((F.size(introduced) > 0) & (F.array_contains(introduced, "shipping") | (overlap < 0.5)), "misaligned"),
-            (mismatch & (overlap < 0.25), "misaligned"),
-            ((overlap >= 0.35) & ~mismatch, "strong_alignment"),
-            ((nearest >= s.align_strong) & (shared | (overlap >= 0.2) | (F.size(theirs) == 0)) & ~mismatch, "strong_alignment"),
-            (((nearest >= s.align_partial) | shared | (overlap > 0)) & ~(mismatch & (overlap == 0)), "partial_alignment"),
-        ],
-        F.lit("misaligned"),
+    similarities = (F.round(centroid_similarity, 4), F.round(average_similarity, 4))
+    return T.let(clean, lambda c: T.let(qs, lambda q: _aligned(c, q, *similarities, s)))
+
+
+def _aligned(clean: Column, qs: Column, centroid_similarity: Column, average_similarity: Column, s: Settings) -> Column:
+    """``alignment`` from the normalised question and the cleaned questions of the cluster."""
+    parts = F.struct(
+        T.support_tokens(clean).alias("tokens"), F.array_distinct(F.flatten(F.transform(qs, T.support_tokens))).alias("cluster_tokens"), intents_of(qs).alias("theirs"), intents(clean).alias("own")
     )
-    return F.struct(status.alias("status"), overlap.alias("token_overlap"), F.round(centroid_similarity, 4).alias("centroid_similarity"), F.round(average_similarity, 4).alias("average_similarity"))
+    nearest = F.greatest(centroid_similarity, average_similarity)
+
+    def facts(p: Column) -> Column:
+        theirs_primary, own_primary = primary(p["theirs"]), primary(p["own"])
+        known = F.size(theirs_primary) > 0
+        overlap = F.round(F.size(F.array_intersect(p["tokens"], p["cluster_tokens"])) / F.greatest(F.lit(1), F.least(F.size(p["tokens"]), F.lit(5))), 4)
+        mismatch = known & (F.size(own_primary) > 0) & ~F.arrays_overlap(theirs_primary, own_primary)
+        introduced = F.when(known, F.array_except(own_primary, theirs_primary)).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            overlap.alias("overlap"), F.arrays_overlap(p["theirs"], p["own"]).alias("shared"), mismatch.alias("mismatch"), introduced.alias("introduced"), (F.size(p["theirs"]) == 0).alias("unknown")
+        )
+
+    def fitted(f: Column) -> Column:
+        overlap, shared, mismatch, introduced = f["overlap"], f["shared"], f["mismatch"], f["introduced"]
+        status = first_of(
+            [
+                ((clean == "") | (F.size(qs) == 0), "misaligned"),
+                ((F.size(introduced) > 0) & (F.array_contains(introduced, "shipping") | (overlap < 0.5)), "misaligned"),
+                (mismatch & (overlap < 0.25), "misaligned"),
+                ((overlap >= 0.35) & ~mismatch, "strong_alignment"),
+                ((nearest >= s.align_strong) & (shared | (overlap >= 0.2) | f["unknown"]) & ~mismatch, "strong_alignment"),
+                (((nearest >= s.align_partial) | shared | (overlap > 0)) & ~(mismatch & (overlap == 0)), "partial_alignment"),
+            ],
+            F.lit("misaligned"),
+        )
+        return F.struct(status.alias("status"), overlap.alias("token_overlap"), centroid_similarity.alias("centroid_similarity"), average_similarity.alias("average_similarity"))
+
+    return T.let(T.let(parts, facts), fitted)
 
 
 def exact_score(recurrence: Column, cohesion: Column, confidence: Column, n_questions: Column, n_answers: Column) -> Column:

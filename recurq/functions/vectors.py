@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,22 +15,37 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"\w+")
 
 
+#: Bytes of vectors that a task hands on at once; a batch of texts has more of them than a worker should hold.
+OUT_BYTES = 4 << 20
+
+
+@lru_cache(maxsize=1 << 16)
+def _place(token: str) -> tuple[int, float]:
+    """The number of a word, before it is taken modulo the dimension, and its sign."""
+    digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
+    return int.from_bytes(digest[:4], "big"), 1.0 if digest[4] % 2 == 0 else -1.0
+
+
 def hash_vector(folded: str, dim: int = 96) -> np.ndarray:
     """The signed hashing of a text's words into ``dim`` places, of length 1; a text without words is zero."""
     out = np.zeros(dim)
     for token in _TOKEN.findall(folded):
-        digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        out[int.from_bytes(digest[:4], "big") % dim] += 1.0 if digest[4] % 2 == 0 else -1.0
+        number, sign = _place(token) if len(token) <= 64 else _place.__wrapped__(token)
+        out[number % dim] += sign
     norm = np.sqrt((out * out).sum())
     return out / norm if norm else out
 
 
 def hash_embedding(dim: int = 96):
-    """A vectorised function from folded text to its hash vector; Spark has no BLAKE2 of its own."""
+    """A vectorised function from folded text to its hash vector; Spark has no BLAKE2 of its own. Vectors leave in slices of ``OUT_BYTES``."""
+    rows = max(1, OUT_BYTES // (8 * dim))
 
     @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: hash_vector(t, dim).tolist())
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts = batch.fillna("")
+            for k in range(0, len(texts), rows):
+                yield pd.Series([hash_vector(t, dim) for t in texts.iloc[k : k + rows]], dtype=object)
 
     return embed
 
@@ -38,12 +55,13 @@ def embedding_backend(encode, batch: int = 64):
     on an executor and takes a list of texts."""
 
     @F.pandas_udf("array<double>")
-    def embed(batches: pd.Series) -> pd.Series:
-        texts = batches.fillna("").tolist()
-        rows = [v for k in range(0, len(texts), batch) for v in encode(texts[k : k + batch])]
-        x = np.asarray(rows, float)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return pd.Series(list(np.divide(x, norm, out=x, where=norm > 0)))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for many in batches:
+            texts = many.fillna("").tolist()
+            for k in range(0, len(texts), batch):
+                x = np.asarray(encode(texts[k : k + batch]), float)
+                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                yield pd.Series(list(np.divide(x, norm, out=x, where=norm > 0)), dtype=object)
 
     return embed
 

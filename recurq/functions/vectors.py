@@ -86,6 +86,22 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return places.groupBy(*keys).agg(ordered.alias("mean"))
 
 
+#: A large group has ``BLOCKS`` blocks, so its rows are copied that often whatever its size, until a block has ``MOST_BLOCK_ROWS``.
+BLOCKS, MOST_BLOCK_ROWS = 8, 32_768
+
+
+def block_count(rows: Column, block_rows: int) -> Column:
+    """How many blocks a group is dealt to: blocks have at least about ``block_rows`` rows."""
+    return F.greatest(F.lit(1), F.least(F.ceil(rows / block_rows), F.lit(BLOCKS)), F.ceil(rows / max(block_rows, MOST_BLOCK_ROWS))).cast("int")
+
+
+def tiles(x: np.ndarray, y: np.ndarray, rows: int = 1024, columns: int = 4096) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The products of all rows of ``x`` with all of ``y`` in tiles: first row, first column, products."""
+    for a in range(0, len(x), rows):
+        for b in range(0, len(y), columns):
+            yield a, b, x[a : a + rows] @ y[b : b + columns].T
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: str | None = None, block_rows: int = 2048) -> DataFrame:
     """(a, b, sim) for all pairs a < b, in one group of ``within``, whose product is at least ``least``.
 

@@ -95,19 +95,6 @@ def linked_sums(sums: np.ndarray, size: np.ndarray, threshold: float) -> np.ndar
     return member
 
 
-def nearest_of(sims: np.ndarray, most: int, own: bool) -> list[tuple[int, list[tuple[float, int]]]]:
-    """For each row of products the distances and places of its ``most`` nearest columns, but for itself if ``own``."""
-    d = np.sqrt(np.maximum(0, 2 - 2 * np.round(sims, 12)))
-    if own:
-        np.fill_diagonal(d, np.inf)
-    k = min(most, d.shape[1])
-    if not k:
-        return []
-    at = np.argpartition(d, k - 1, axis=1)[:, :k]
-    near = np.take_along_axis(d, at, axis=1)
-    return [(n, [(x, y) for x, y in zip(row, of, strict=True) if np.isfinite(x)]) for n, (row, of) in enumerate(zip(near.tolist(), at.tolist(), strict=True))]
-
-
 def core_distances(x: np.ndarray, min_samples: int, block: int = 1024) -> np.ndarray:
     """The distance of the ``min_samples``-th point from each, counted from itself; no more than ``block`` rows of distances are held."""
     k, out = min(min_samples, len(x)) - 1, []

@@ -1,8 +1,8 @@
 """Clustering of a workspace over many tasks: density, density hierarchy and average linkage, as blocks of products.
 
 Equal vectors are one row with a weight first, so copies are never expanded into pairs. The rows of a workspace are
-dealt to blocks, and each task multiplies the vectors of two blocks: it holds two blocks, whatever the size of the
-workspace, and returns a bounded number of rows for each row it has (counts, nearest sides, a spanning forest), never all
+dealt to blocks, and each task multiplies the vectors of two blocks tile by tile: it holds two blocks, whatever the size of the
+workspace, and one tile of products, and returns a bounded number of rows for each row it has (counts, nearest sides, a spanning forest), never all
 similar pairs. Results equal those of the functions in ``cluster`` that take one workspace as a matrix.
 
 * Density: core counts; a spanning forest of core rows for each pair of blocks and connected components over all
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recurq.config import Settings
-from recurq.functions.vectors import as_double, dot
-from recurq.operators.cluster import cluster_by, condensed, first_roots, linked_sums, nearest_of, spanning_tree
+from recurq.functions.vectors import as_double, block_count, dot, tiles
+from recurq.operators.cluster import cluster_by, condensed, first_roots, linked_sums, spanning_tree
 from recurq.operators.components import connected_components
 from recurq.sources.shared import maybe_broadcast, written
 
-#: Rows of a workspace in one block: a task holds two.
+#: Rows that a block of a workspace has at least, where there are several: a task holds two.
 BLOCK_ROWS = 2048
 
 
@@ -52,20 +52,21 @@ def _classes(rows: DataFrame, name: str) -> DataFrame:
 
 def block_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
     """``rows`` (g, k, ...) dealt to blocks of their workspace, once for each pair of blocks (i <= j) that they are in."""
-    blocks = maybe_broadcast(written(rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n")), "blocks"))
+    blocks = maybe_broadcast(written(rows.groupBy("g").agg(block_count(F.count(F.lit(1)), block_rows).alias("n")), "blocks"))
     dealt = rows.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
     sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return sides.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n")
 
 
-def _sides(part: pd.DataFrame) -> tuple[bool, pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Whether the block meets itself, both sides, and their products."""
+def _sides(part: pd.DataFrame) -> tuple[bool, pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    """Whether the block meets itself, both sides in the order of their keys, and their vectors."""
     i, j = part["i"].iloc[0], part["j"].iloc[0]
+    part = part.sort_values("k", kind="stable")
     left = part[part["own"] == i]
     right = left if i == j else part[part["own"] == j]
-    if left.empty or right.empty:
-        return i == j, left, right, np.zeros((len(left), len(right)))
-    return i == j, left, right, np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
+    x = np.stack(left["v"].to_list()) if len(left) else np.zeros((0, 0))
+    y = x if i == j else np.stack(right["v"].to_list()) if len(right) else np.zeros((0, 0))
+    return i == j, left, right, x, y
 
 
 def _frame(columns: dict) -> pd.DataFrame:
@@ -79,23 +80,38 @@ def density(df: DataFrame, group: str, key: str, vector: str, eps: float, min_sa
     classes = _classes(rows, "classes")
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        own, left, right, sims = _sides(part)
-        near = sims >= 1 - eps - 1e-12
-        out = {"k": left["k"].tolist(), "c": near @ right["w"].to_numpy()}
+        own, left, right, x, y = _sides(part)
+        out, wide = {"k": left["k"].tolist()}, (left["w"].to_numpy(), right["w"].to_numpy())
+        c, d, selves = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.zeros(len(x), bool)
+        for a, b, sims in tiles(x, y):
+            i, j = np.nonzero(sims >= 1 - eps - 1e-12)
+            i, j = i + a, j + b
+            c += np.bincount(i, wide[1][j], len(c)).astype(np.int64)
+            if own:
+                selves[i[i == j]] = True
+            else:
+                d += np.bincount(j, wide[0][i], len(d)).astype(np.int64)
         if own:  # a row counts itself, a zero vector's too
-            out["c"] = out["c"] + np.where(near.diagonal(), 0, 1)
-        elif len(right):
-            out = {"k": out["k"] + right["k"].tolist(), "c": np.concatenate((out["c"], left["w"].to_numpy() @ near))}
-        return _frame({"k": out["k"], "c": np.asarray(out["c"], np.int64)})
+            return _frame({"k": out["k"], "c": c + ~selves})
+        return _frame({"k": out["k"] + right["k"].tolist(), "c": np.concatenate((c, d))})
 
     counts = block_pairs(classes, block_rows).groupBy("g", "i", "j").applyInPandas(count, f"k {kind}, c long").groupBy("k").agg(F.sum("c").alias("c"))
     known = written(classes.join(counts, "k").withColumn("core", F.col("c") >= min_samples).drop("c"), "core")
 
     def forest(part: pd.DataFrame) -> pd.DataFrame:
-        own, left, right, sims = _sides(part)
+        own, left, right, x, y = _sides(part)
         keys = left["k"].tolist() + ([] if own else right["k"].tolist())
-        a, b = np.nonzero(sims >= 1 - eps - 1e-12)
-        roots = first_roots(len(keys), a, b + (0 if own else len(left)))
+        ends: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int))]
+        for a, b, sims in tiles(x, y):
+            i, j = np.nonzero(sims >= 1 - eps - 1e-12)
+            j += len(sims)
+            if len(i) > sum(sims.shape):  # the tile's own forest is enough
+                roots = first_roots(sum(sims.shape), i, j)
+                j = np.flatnonzero(roots != np.arange(len(roots)))
+                i = roots[j]
+            place = np.concatenate((np.arange(a, a + len(sims)), np.arange(b, b + sims.shape[1]) + (0 if own else len(x))))
+            ends.append((place[i], place[j]))
+        roots = first_roots(len(keys), *map(np.concatenate, zip(*ends, strict=True)))
         hung = np.flatnonzero(roots != np.arange(len(keys)))
         return _frame({"a": [keys[x] for x in roots[hung]], "b": [keys[x] for x in hung]})
 
@@ -106,14 +122,17 @@ def density(df: DataFrame, group: str, key: str, vector: str, eps: float, min_sa
     marked = written(known.join(cores, "k", "left"), "marked")
 
     def border(part: pd.DataFrame) -> pd.DataFrame:
-        own, left, right, sims = _sides(part)
-        near, found = sims >= 1 - eps - 1e-12, {}
-        for here, there, of in ((left, right, near), (right, left, near.T))[: 1 if own else 2]:
+        own, left, right, x, y = _sides(part)
+        found: dict = {}
+        for here, there, ours, theirs in ((left, right, x, y), (right, left, y, x))[: 1 if own else 2]:
             out, to = ~here["core"].to_numpy(bool), there["core"].to_numpy(bool)
             if not out.any() or not to.any():
                 continue
             names, number = np.unique(there["component"][to].to_numpy(), return_inverse=True)
-            least = np.where(of[np.ix_(out, to)], number, len(names)).min(axis=1)
+            least = np.full(int(out.sum()), len(names))
+            for a, b, sims in tiles(ours[out], theirs[to]):
+                i, j = np.nonzero(sims >= 1 - eps - 1e-12)
+                np.minimum.at(least, i + a, number[j + b])
             found |= {k: names[n] for k, n in zip(here["k"][out], least, strict=True) if n < len(names)}
         return _frame({"k": list(found), "component": list(found.values())})
 
@@ -130,20 +149,45 @@ def numbered(found: DataFrame, df: DataFrame, group: str, key: str) -> DataFrame
     return found.join(label, "component", "left").select(key, F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
+def most_similar(x: np.ndarray, y: np.ndarray, most: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x`` its ``most`` largest products and which rows of ``y`` they are with, not itself if ``own``; -inf where there are fewer."""
+    best, at = np.full((len(x), most), -np.inf), np.zeros((len(x), most), int)
+    for a, b, sims in tiles(x, y):
+        rows = np.arange(len(sims))[:, None]
+        if own:
+            same = np.arange(max(a, b), max(a, b, min(a + sims.shape[0], b + sims.shape[1])))
+            sims[same - a, same - b] = -np.inf
+        if most <= 8:
+            found = np.zeros((len(sims), min(most, sims.shape[1])), int)
+            values = np.zeros(found.shape)
+            for k in range(found.shape[1]):
+                found[:, k] = sims.argmax(axis=1)
+                values[:, k] = sims[rows[:, 0], found[:, k]]
+                sims[rows[:, 0], found[:, k]] = -np.inf
+        else:
+            k = min(most, sims.shape[1])
+            found = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            values = sims[rows, found]
+        values, found = np.hstack((best[a : a + len(sims)], values)), np.hstack((at[a : a + len(sims)], found + b))
+        order = np.argsort(-values, axis=1, kind="stable")[:, :most]
+        best[a : a + len(sims)], at[a : a + len(sims)] = values[rows, order], found[rows, order]
+    return best, at
+
+
 def _mutual(classes: DataFrame, kind: str, min_samples: int, block_rows: int) -> DataFrame:
     """``classes`` with ``core``, the distance of the ``min_samples``-th row counted from the row itself, and ``fade``,
     the height at which the copies of the row come together."""
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
-        own, left, right, sims = _sides(part)
-        out: dict[str, list] = {"k": [], "d": [], "w": []}
-        for here, there, of in ((left, right, sims), (right, left, sims.T))[: 1 if own else 2]:
-            weight = there["w"].to_numpy()
-            for at, d in nearest_of(of, min_samples, own):
-                out["k"] += [here["k"].iloc[at]] * len(d)
-                out["d"] += [x for x, _ in d]
-                out["w"] += [int(weight[y]) for _, y in d]
-        return _frame({"k": out["k"], "d": np.array(out["d"], float), "w": np.array(out["w"], np.int64)})
+        own, left, right, x, y = _sides(part)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for here, there, ours, theirs in ((left, right, x, y), (right, left, y, x))[: 1 if own else 2]:
+            sims, at = most_similar(ours, theirs, min_samples, own)
+            known = np.isfinite(sims)
+            d = np.sqrt(np.maximum(0, 2 - 2 * np.round(sims[known], 12)))
+            out.append((np.repeat(here["k"].to_numpy(), known.sum(axis=1)), d, there["w"].to_numpy()[at[known]]))
+        k, d, w = map(np.concatenate, zip(*out, strict=True))
+        return _frame({"k": k.tolist(), "d": d, "w": w.astype(np.int64)})
 
     sides = block_pairs(classes, block_rows).groupBy("g", "i", "j").applyInPandas(nearest, f"k {kind}, d double, w long")
     # the row itself is at distance 0, its copies as far as its length makes them
@@ -224,20 +268,24 @@ def average_linkage(df: DataFrame, group: str, key: str, vector: str, threshold:
     open_ = classes.select("g", "k", F.transform("v", lambda x: x * F.col("w")).alias("s"), "w")
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
-        own, left, right, sims = _sides(part)
-        d = np.round(1 - sims, 12)
-        out = []
-        for here, there, of in ((left, right, d), (right, left, d.T))[: 1 if own else 2]:
+        own, left, right, x, y = _sides(part)
+        best, at = (np.full(len(x), np.inf), np.full(len(y), np.inf)), (np.zeros(len(x), int), np.zeros(len(y), int))
+        for a, b, sims in tiles(x, y):
+            d = np.round(1 - sims, 12)
             if own:
-                np.fill_diagonal(of, np.inf)
-            if here.empty or there.empty:
-                continue
-            keys, others = here["k"].tolist(), there["k"].to_numpy()
-            best = of.min(axis=1)
-            for n in np.flatnonzero(best <= threshold):
-                # equal distances: the least pair of keys
-                ties = others[of[n] == best[n]]
-                out.append((keys[n], float(best[n]), *min((min(keys[n], t), max(keys[n], t)) for t in ties.tolist())))
+                same = np.arange(max(a, b), max(a, b, min(a + d.shape[0], b + d.shape[1])))
+                d[same - a, same - b] = np.inf
+            # equal distances: the least key, which comes first, makes the least pair of keys
+            for side, axis, to, of in ((0, 1, a, b), (1, 0, b, a))[: 1 if own else 2]:
+                first = d.argmin(axis=axis)
+                value, rows = np.take_along_axis(d, np.expand_dims(first, axis), axis).ravel(), slice(to, to + d.shape[side])
+                less = value < best[side][rows]
+                best[side][rows] = np.where(less, value, best[side][rows])
+                at[side][rows] = np.where(less, first + of, at[side][rows])
+        out = []
+        for here, there, value, which in ((left, right, best[0], at[0]), (right, left, best[1], at[1]))[: 1 if own else 2]:
+            keys, others = here["k"].tolist(), there["k"].tolist()
+            out += [(keys[n], float(value[n]), *sorted((keys[n], others[which[n]]))) for n in np.flatnonzero(value <= threshold)]
         return _frame({"k": [o[0] for o in out], "d": np.array([o[1] for o in out], float), "a": [o[2] for o in out], "b": [o[3] for o in out]})
 
     def rest(part: pd.DataFrame) -> pd.DataFrame:

@@ -78,3 +78,19 @@ def test_nothing_to_fold(spark):
     folded = review_fold.fold(have, none)
     assert folded.count() == 0 and review_fold.state(have, folded).first().status == "pending"
     assert review_fold.fold(have.limit(0), none).count() == 0
+
+
+def test_one_shuffle_folds_what_a_task_can_walk(spark):
+    candidates = [(f"c{k}", STATUSES[k % 4], "x" if k % 3 else None, f"q{k}", None if k % 5 == 0 else "a", 1) for k in range(40)]
+    requests = [
+        (k, f"c{0 if k % 3 == 0 else k % 41}" if k % 29 else None, k // 7, [None, *STATUSES][k % 5], STATUSES[k % 4] if k % 11 == 0 else None, ["", "new  text", None, " ", f"q{k % 41}"][k % 7 % 5], f"a {k}" if k % 2 else None, "eva", None)
+        for k in range(1500)
+    ]
+    have, asked = spark.createDataFrame(candidates, CANDIDATES), spark.createDataFrame(requests, REQUESTS)
+    want, end = by_hand(candidates, requests)
+    for rows in (100, 100_000):  # c0 alone goes through ranges, then none does
+        folded = review_fold.fold(have, asked, rows)
+        assert {r.request_id: (r.error, r.previous_status, r.new_status, r.new_question, r.new_answer) for r in folded.collect()} == want
+        assert {r.candidate_id: [r.status, r.agent_id, r.normalized_question, r.suggested_answer] for r in review_fold.state(have, folded).collect()} == end
+    plan = review_fold.fold(have, asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -106,25 +106,27 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: st
     """(a, b, sim) for all pairs a < b, in one group of ``within``, whose product is at least ``least``.
 
     Rows are dealt to blocks and pairs of blocks are multiplied as matrices, so no pair is a row before it
-    qualifies, and a task holds two blocks whatever the size of a group.
+    qualifies, and a task holds two blocks and the pairs of one tile whatever the size of a group.
     """
     rows = df.select(F.col(key).alias("k"), as_double(vector).alias("v"), (F.col(within) if within else F.lit(0)).alias("g"))
-    blocks = rows.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("n"))
+    blocks = rows.groupBy("g").agg(block_count(F.count(F.lit(1)), block_rows).alias("n"))
     dealt = rows.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
     sides = dealt.select("g", "k", "v", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     sides = sides.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "v")
     kind = df.schema[key].dataType.simpleString()
 
-    def product(part: pd.DataFrame) -> pd.DataFrame:
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(batches), ignore_index=True)
         i, j = part["i"].iloc[0], part["j"].iloc[0]
         left, right = part[part["own"] == i], part[part["own"] == j]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object), "sim": pd.Series([], dtype=float)})
-        sims = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
-        x, y = np.nonzero(sims >= least)
-        a, b = np.array(left["k"].tolist())[x], np.array(right["k"].tolist())[y]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sims[x, y][keep]})
+            return
+        ours, theirs = np.array(left["k"].tolist()), np.array(right["k"].tolist())
+        for lo, hi, sims in tiles(np.stack(left["v"].to_list()), np.stack(right["v"].to_list())):
+            x, y = np.nonzero(sims >= least)
+            a, b = ours[x + lo], theirs[y + hi]
+            keep = a < b if i == j else a != b
+            yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sims[x, y][keep]})
 
     return sides.groupBy("g", "i", "j").applyInPandas(product, f"a {kind}, b {kind}, sim double")
 

@@ -123,6 +123,34 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int
     return edges
 
 
+def crossing_tree(x: np.ndarray, y: np.ndarray, core: tuple[np.ndarray, np.ndarray], place: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The minimum spanning tree over the edges between two sides, as rows of ``spanning_tree``; ``place`` orders the rows of both. All distances are held."""
+    if not len(x) or not len(y):
+        return np.zeros((0, 3))
+    d = np.maximum(np.maximum(np.sqrt(np.maximum(0, 2 - 2 * np.round(x @ y.T, 12))), core[0][:, None]), core[1])
+    to = (d, np.ascontiguousarray(d.T))
+    many = int(max(place[0].max(), place[1].max())) + 1
+    open_, best = [np.ones(len(s), bool) for s in place], [np.full(len(s), np.inf) for s in place]
+    pair = [np.full(len(s), many * many) for s in place]
+    side, at, edges = 0, 0, []
+    for _ in range(len(x) + len(y) - 1):
+        open_[side][at], best[side][at] = False, np.inf
+        other, here = 1 - side, place[side][at]
+        reach, code = to[side][at], np.minimum(place[other], here) * many + np.maximum(place[other], here)
+        closer = open_[other] & ((reach < best[other]) | ((reach == best[other]) & (code < pair[other])))
+        best[other][closer], pair[other][closer] = reach[closer], code[closer]
+        low = best[0].min(), best[1].min()
+        w, found = min(low), []
+        for s in (0, 1):
+            if low[s] == w:
+                ties = np.flatnonzero(best[s] == w)
+                n = ties[pair[s][ties].argmin()]
+                found.append((pair[s][n], s, n))
+        code, side, at = min(found)
+        edges.append((w, *divmod(int(code), many)))
+    return np.array(edges)
+
+
 def condensed(edges: list[tuple[float, int, int]], weight: np.ndarray, fade: np.ndarray, min_cluster: int) -> np.ndarray:
     """Labels by excess of mass from the edges (distance, a, b) of which a spanning tree is the least one.
 

@@ -7,7 +7,7 @@ similar pairs. Results equal those of the functions in ``cluster`` that take one
 
 * Density: core counts; a spanning forest of core rows for each pair of blocks and connected components over all
   forests; a border row joins the cluster whose first core row comes first.
-* Density hierarchy: a minimum spanning tree of each pair of blocks, whose union has that of the workspace; Borůvka
+* Density hierarchy: a minimum spanning tree within each block and one between the sides of each pair, whose union has that of the workspace; Borůvka
   rounds shrink the union until a workspace's edges fit ``task_edges``; then the edges, three numbers each, are sorted and
   merged to the condensed tree. That last step takes one task a workspace, linear in its distinct vectors.
 * Average linkage: on unit vectors the mean distance of two clusters is 1 - S.T / (m n) of their sums, so a cluster is
@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from recurq.config import Settings
 from recurq.functions.vectors import as_double, block_count, dot, tiles
-from recurq.operators.cluster import cluster_by, condensed, first_roots, linked_sums, spanning_tree
+from recurq.operators.cluster import cluster_by, condensed, crossing_tree, first_roots, linked_sums, spanning_tree
 from recurq.operators.components import connected_components
 from recurq.sources.shared import maybe_broadcast, written
 
@@ -61,7 +61,7 @@ def block_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
 def _sides(part: pd.DataFrame) -> tuple[bool, pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
     """Whether the block meets itself, both sides in the order of their keys, and their vectors."""
     i, j = part["i"].iloc[0], part["j"].iloc[0]
-    part = part.sort_values("k", kind="stable")
+    part = part.sort_values("k", kind="stable", ignore_index=True)
     left = part[part["own"] == i]
     right = left if i == j else part[part["own"] == j]
     x = np.stack(left["v"].to_list()) if len(left) else np.zeros((0, 0))
@@ -234,14 +234,23 @@ def density_hierarchy(df: DataFrame, group: str, key: str, vector: str, min_clus
     classes = written(_mutual(_classes(rows, "classes"), kind, min_samples, block_rows), "mutual")
 
     def tree(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k", kind="stable")
-        keys = part["k"].tolist()
-        found = spanning_tree(np.stack(part["v"].to_list()), part["core"].to_numpy())
-        return _frame({"g": [part["g"].iloc[0]] * len(found), "a": [keys[a] for _, a, _ in found], "b": [keys[b] for _, _, b in found], "d": np.array([d for d, _, _ in found], float)})
+        own, left, right, x, y = _sides(part)
+        keys, core = part["k"].sort_values(kind="stable").to_numpy(), (left["core"].to_numpy(), right["core"].to_numpy())
+        at, found = (left.index.to_numpy(), right.index.to_numpy()), [np.zeros((0, 3))]
+        # the edges of all rows are those within small blocks and those between two, so the trees of both have all that is needed
+        for a in range(0, len(x), block_rows):
+            ours = slice(a, a + block_rows)
+            if own:
+                found.append(np.array(spanning_tree(x[ours], core[0][ours])).reshape(-1, 3) + [0, a, a])
+            for b in range(a + block_rows if own else 0, len(y), block_rows):
+                theirs = slice(b, b + block_rows)
+                found.append(crossing_tree(x[ours], y[theirs], (core[0][ours], core[1][theirs]), (at[0][ours], at[1][theirs])))
+        d, a, b = np.concatenate(found).T
+        return _frame({"g": [part["g"].iloc[0]] * len(d), "a": keys[a.astype(int)].tolist(), "b": keys[b.astype(int)].tolist(), "d": d})
 
     pairs = block_pairs(classes.select("g", "k", "v", "core"), block_rows)
     trees = pairs.groupBy("g", "i", "j").applyInPandas(tree, f"g string, a {kind}, b {kind}, d double")
-    edges = _shrunk(written(trees.distinct(), "trees"), kind, task_edges)
+    edges = _shrunk(written(trees, "trees"), kind, task_edges)
     # points are rows, too: with themselves as the other end
     points = classes.select("g", F.col("k").alias("a"), F.col("k").alias("b"), F.col("fade").alias("d"), "w")
 

@@ -320,10 +320,12 @@ def average_linkage(df: DataFrame, group: str, key: str, vector: str, threshold:
         merges.append(chosen)
         # what has no other below the threshold is finished
         near = open_.join(maybe_broadcast(best.select("k")), "k", "left_semi")
-        moved = near.join(maybe_broadcast(chosen.select(F.col("b").alias("k"), "a")), "k", "left").withColumn("k", F.coalesce("a", "k")).drop("a")
-        total = moved.select("g", "k", "w", F.posexplode("s").alias("pos", "x")).groupBy("g", "k", "pos").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
-        open_ = written(total.groupBy("g", "k").agg(ordered.alias("s"), F.max("w").alias("w")), "sums")
+        ends = written(chosen.select(F.col("b").alias("k"), F.col("a").alias("to")).unionAll(chosen.select(F.col("a").alias("k"), F.col("a").alias("to"))), "ends")
+        moved = near.join(maybe_broadcast(ends), "k", "left")
+        # two of each, as both ends chose the other
+        two = moved.filter("to IS NOT NULL").groupBy("g", F.col("to").alias("k")).agg(F.collect_list(F.struct("s", "w")).alias("p"))
+        met = two.select("g", "k", F.zip_with(F.col("p")[0]["s"], F.col("p")[1]["s"], lambda x, y: x + y).alias("s"), (F.col("p")[0]["w"] + F.col("p")[1]["w"]).alias("w"))
+        open_ = written(moved.filter("to IS NULL").select("g", "k", "s", "w").unionByName(met), "sums")
     linked = connected_components(written(reduce(DataFrame.unionByName, merges), "links"), "a", "b")
     named = classes.join(linked.withColumnRenamed("vertex", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     counts = named.groupBy("component").agg(F.sum("w").alias("size"))

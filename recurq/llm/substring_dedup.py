@@ -9,14 +9,18 @@ length, which sliding minima find without building the tree.
 A passage's window is met from either side of its centre: any passage long enough contains the whole
 half-length stretch before the centre, or the one after it. The key of a side joins the min-hash to a
 second min-hash over that stretch, so a common phrase in different surroundings does not make a group.
-Keys that occur once are dropped by a Bloom filter of bounded size (``exact_dedup.repeated_filter``), then
-exactly. Members of a key are joined to its least member, never to each other; what is left over because
+Keys that occur once are dropped by a Bloom filter of bounded size. Members of a key are joined to its least
+member, never to each other; what is left over because
 it does not verify against that member is keyed again and joined anew: by the min-hashes of all passages of
 full length around the centre and by the short stretches beside it, for near copies, and by hashes of those passages as a
 whole, for exact repeats. Members of a whole passage are equal, so any of them verifies against the least, and no exact repeat
 is lost to a stranger. The members that did verify take part too, as a repeat can join them to one that did
 not. Whole passages are keyed only where a half-length stretch at the centre repeats.
 
+Keys travel in bundles, the keys of some documents that fall into one of 2 ** ``_PARTS`` ranges, each key once a bundle, so
+Spark moves and sorts bundles, not keys. Only the least member in a bundle goes to the range of a key, and the least
+of all comes back to the documents of the bundle; so a key that occurs everywhere brings a row a bundle to one task.
+
 Verification joins the shingles of two documents and asks for two passages of ``least_words`` at the
 anchor with a Jaccard similarity of ``similarity`` or more, as multisets; an edited passage shares each of ``functions``
 min-hashes with that probability. Verified passages are extended along equal shingles, as far as
@@ -29,15 +33,16 @@ an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .exact_dedup import bits_of, repeated_filter, word_of
 from .shared import drop_path, maybe_broadcast, written, written_at
 from .wordhash import blocks, buffers, mix, shingles, words
 
@@ -51,8 +56,8 @@ _TILES, _ANCHORS = 1 << 12, 1 << 16
 _SHINGLES, _LEFT = 1 << 18, 1 << 12
 #: A tile's places fall into 2 ** ``_CELL_BITS`` cells where tiles are sorted out before they are compared in full.
 _CELL_BITS = 10
-#: Keys with more than 1 / ``_HOT_KEYS`` of the rows, and at least ``_HOT_ROWS``, are hot.
-_HOT_KEYS, _HOT_ROWS = 10_000, 1_000
+#: Keys that a task bundles at once, about, and the upper bits of a key that make its range.
+_BUNDLE, _PARTS = 1 << 18, 11
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -102,40 +107,157 @@ def keys_of(h: np.ndarray, at: np.ndarray, width: int, functions: int) -> tuple[
     return np.concatenate(keys), np.concatenate(where)
 
 
-def _scan(source: DataFrame, width: int, functions: int, dense) -> DataFrame:
-    """(key, doc_id, centre) of windows, or key alone without ``dense``, the filter of repeated keys."""
-    id_type = source.schema["doc_id"].dataType.simpleString()
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
+def _binary(numbers: np.ndarray, bounds: np.ndarray | None = None) -> pa.Array:
+    """Binaries of the numbers between ``bounds``, or one of all."""
+    bounds = np.array([0, len(numbers)]) if bounds is None else bounds
+    offsets = (bounds * numbers.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of binaries, one after the other, and where each binary's begin, and the end."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data else np.zeros(0, kind)
+    return flat, (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+def _in_parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of sorted keys, and where the keys of each begin, and the end."""
+    part = (key >> np.uint64(64 - _PARTS)).astype(np.int32)
+    first = _starts(part)
+    return part[first], np.append(first, len(part))
+
+
+def _together(bundles: DataFrame) -> DataFrame:
+    """Bundles of a range in one task, ranges in order."""
+    return bundles.repartition("part").sortWithinPartitions("part")
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_together`` regrouped so that no range is in two batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(part, part[-1]))
+        if cut or held and held[-1].column(0)[0].as_py() != part[0]:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _gathered(found: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Some of ``found`` at a time, about ``_BUNDLE`` keys; the keys are the first of each."""
+    some, n = [], 0
+    for one in found:
+        some.append(one)
+        n += len(one[0])
+        if n >= _BUNDLE:
+            yield some
+            some, n = [], 0
+    if n:
+        yield some
+
+
+def _once_each(found: Iterator[tuple[np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
+    """Bundles (part, h, flags) of keys and whether they are around an anchor that is left, where given: flag 1 for a key that
+    occurs twice in the bundle, 2 for one that is around such an anchor or may be."""
+    for some in _gathered(found):
+        key = np.concatenate([k for k, _ in some])
+        flag = np.concatenate([np.full(len(k), 2, np.uint8) if left is None else left.astype(np.uint8) * np.uint8(2) for k, left in some])
+        order = np.argsort(key)
+        key, flag = key[order], flag[order]
+        first = _starts(key)
+        flag = np.bitwise_or.reduceat(flag, first) | (np.diff(np.append(first, len(key))) > 1).astype(np.uint8)
+        part, bounds = _in_parts(key[first])
+        yield pa.RecordBatch.from_arrays([pa.array(part), _binary(key[first], bounds), _binary(flag, bounds)], names=["part", "h", "flags"])
+
+
+def _bits(key: np.ndarray) -> np.ndarray:
+    """Three bits of a word of the filter, selected by the lower 18 bits of a key."""
+    one = np.uint64(1)
+    return (one << (key & np.uint64(63))) | (one << (key >> np.uint64(6) & np.uint64(63))) | (one << (key >> np.uint64(12) & np.uint64(63)))
+
+
+def _repeated(bundles: DataFrame) -> np.ndarray:
+    """The filter of keys that occur at least twice, once around an anchor that is left, from ``_once_each``: one array of 2**(_FILTER_BITS - 6)
+    words, its size whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_parts(batches):
+            (key, _), (flag, _) = _numbers(batch.column(1), np.uint64), _numbers(batch.column(2), np.uint8)
+            order = np.argsort(key)
+            key, first = key[order], _starts(key[order])
+            flag = np.bitwise_or.reduceat(flag[order], first) | (np.diff(np.append(first, len(key))) > 1).astype(np.uint8)
+            key = key[first[flag == 3]]
+            if len(key):
+                word = (key >> np.uint64(64 - (_FILTER_BITS - 6))).astype(np.int32)
+                first = _starts(word)
+                yield pa.RecordBatch.from_arrays([_binary(word[first]), _binary(np.bitwise_or.reduceat(_bits(key), first))], names=["words", "bits"])
+
+    out = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
+    for batch in _together(bundles).mapInArrow(run, "words binary, bits binary").toArrow().to_batches():
+        out[_numbers(batch.column(0), np.int32)[0]] = _numbers(batch.column(1), np.uint64)[0]
+    return out
+
+
+_WINDOWS = "bundle long, keys binary, least binary, least_centre binary, starts binary, docs binary, doc binary, centre binary"
+
+
+def _rank(doc: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Order of the members of a key: by a fixed hash of the document, so that one document is the least of all keys of a group, then by place."""
+    return ((doc & np.int64((1 << 39) - 1)) << np.int64(24)) | np.minimum(centre, (1 << 24) - 1).astype(np.int64)
+
+
+def _windows(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """One bundle a row of (key, document, centre): the keys, each once, their least members, and all members, by key."""
+    for k, some in enumerate(_gathered(found)):
+        key, doc, centre = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.lexsort((_rank(doc, centre), key))
+        key, doc, centre = key[order], doc[order], centre[order].astype(np.int32)
+        first = _starts(key)
+        docs, which = np.unique(doc, return_inverse=True)
+        columns = [key[first], doc[first], centre[first], first.astype(np.int32), docs, which.astype(np.int32), centre]
+        yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + k], pa.int64()), *map(_binary, columns)], names=[x.split()[0] for x in _WINDOWS.split(", ")])
+
+
+def _scan(source: DataFrame, width: int, functions: int, dense=None) -> DataFrame:
+    """``_windows`` of the source, or ``_once_each`` of their keys without ``dense``, the filter of repeated keys."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
+            ids = batch.column(0).to_numpy()
             for lo, hi in blocks(offsets):
-                found = words(data, offsets, lo, hi)
-                h, at = shingles(found.hashes, found.first, SHINGLE)
+                some = words(data, offsets, lo, hi)
+                h, at = shingles(some.hashes, some.first, SHINGLE)
                 key, centre = keys_of(h, at, width, functions)
                 if dense is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["h"])
+                    yield key, None
                     continue
                 hit = _in_filter(dense.value, key)
                 key, centre = key[hit], centre[hit]
                 text = np.searchsorted(at, centre, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(lo + text)), pa.array((centre - at[text]).astype(np.int32))], names=["key", "doc_id", "centre"])
+                yield key, ids[lo + text], centre - at[text]
 
-    return source.mapInArrow(run, "h long" if dense is None else f"key long, doc_id {id_type}, centre int")
-
-
-def _dense(filter_words: DataFrame) -> np.ndarray:
-    """The filter as one array of 2**(_FILTER_BITS - 6) words, its size whatever the corpus."""
-    out = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
-    table = filter_words.toArrow()
-    out[table.column("__word").to_numpy()] = table.column("__filter_word").to_numpy().view(np.uint64)
-    return out
+    columns = source.select("doc_id", "text")
+    if dense is None:
+        return columns.mapInArrow(lambda batches: _once_each(found(batches)), "part int, h binary, flags binary")
+    return columns.mapInArrow(lambda batches: _windows(found(batches)), _WINDOWS)
 
 
 def _in_filter(dense: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the filter has each key."""
-    one = np.uint64(1)
-    bits = (one << (key & np.uint64(63))) | (one << (key >> np.uint64(6) & np.uint64(63))) | (one << (key >> np.uint64(12) & np.uint64(63)))
+    bits = _bits(key)
     return (dense[key >> np.uint64(64 - (_FILTER_BITS - 6))] & bits) == bits
 
 
@@ -329,71 +451,101 @@ def _once(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _verify(pairs: DataFrame, arrays: DataFrame, width: int, similarity: float, anchors: bool = False) -> DataFrame:
     """Both sides of every verified passage, kind 0; and with ``anchors`` those of each document of a batch, kind 1, as
     numbers of 64 bits: twice the place, and one if the anchor is left over."""
-    id_type = arrays.schema["doc_id"].dataType.simpleString()
-    left = arrays.select("doc_id", F.col("shingles").alias("a"))
-    right = arrays.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
-    both = pairs.join(left.hint("merge"), "doc_id").join(right.hint("merge"), "other").select("doc_id", "other", "anchors", "a", "b")
-    columns = ["kind", "doc_id", "first_word", "after_word", "other", "similarity", "places"]
+    id_type = arrays.schema["id"].dataType.simpleString()
+    left = arrays.select("doc_id", "id", F.col("shingles").alias("a"))
+    right = arrays.select(F.col("doc_id").alias("other"), F.col("id").alias("other_id"), F.col("shingles").alias("b"))
+    both = pairs.join(left.hint("merge"), "doc_id").join(right.hint("merge"), "other").select("doc_id", "other", "anchors", "a", "b", "id", "other_id")
+    columns = ["kind", "doc_id", "id", "first_word", "after_word", "other", "similarity", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists, names = batch.column(2), (batch.column(0), batch.column(1))
-            offsets = lists.offsets.to_numpy().astype(np.int64)
+            marks, offsets = _numbers(batch.column(2), np.int64)
+            names = ((batch.column(0), batch.column(5)), (batch.column(1), batch.column(6)))
             seen = []
             for lo, hi in blocks(offsets, _ANCHORS):
                 part = batch.slice(lo, hi - lo)
-                # an anchor that several keys make is one
-                pair, both = _once(np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), part.column(2).flatten().to_numpy())
+                # an anchor may come from several bundles
+                pair, both = _once(np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), marks[offsets[lo] : offsets[hi]])
                 c, o = both >> 32, both & 0xFFFFFFFF
                 found, similar, left_out = shared_passages(Sides(part.column(3)), Sides(part.column(4)), pair, c, o, width, similarity)
                 which, similar = pa.array(found[:, 0] + lo), pa.array(similar)
                 for (one, two), at in ((names, 1), (names[::-1], 3)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), one.take(which), pa.array(found[:, at]), pa.array(found[:, at + 1] + SHINGLE - 1), two.take(which), similar, pa.nulls(len(found), pa.binary())], names=columns)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), one[0].take(which), one[1].take(which), pa.array(found[:, at]), pa.array(found[:, at + 1] + SHINGLE - 1), two[1].take(which), similar, pa.nulls(len(found), pa.binary())], names=columns)
                 seen.append((pair + lo, c, o, left_out))
             if not anchors:
                 continue
             # the anchors of each document of the batch, and which of them are left over
             pair, c, o, left_out = (np.concatenate(x) for x in zip(*seen, strict=True))
-            for one, at in ((names[0], c), (names[1], o)):
-                name = one.field("id")
-                code = np.arange(batch.num_rows) if pa.types.is_nested(name.type) else name.dictionary_encode().indices.to_numpy()
-                _, first, document = np.unique(np.stack((code, one.field("text").to_numpy())), axis=1, return_index=True, return_inverse=True)
+            for (one, name), at in ((names[0], c), (names[1], o)):
+                _, first, document = np.unique(one.to_numpy(), return_index=True, return_inverse=True)
                 owner, marked = _once(document[pair], at * 2 + left_out)
                 bounds = np.searchsorted(owner, np.arange(len(first) + 1))
                 places = pa.array([marked[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
                 none = pa.nulls(len(first), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), np.int32)), one.take(pa.array(first)), none, none, one.take(pa.array(first)), pa.nulls(len(first), pa.float64()), places], names=columns)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), np.int32)), one.take(pa.array(first)), name.take(pa.array(first)), none, none, name.take(pa.array(first)), pa.nulls(len(first), pa.float64()), places], names=columns)
 
-    return both.mapInArrow(run, f"kind int, doc_id {id_type}, first_word long, after_word long, other {id_type}, similarity double, places binary")
+    return both.mapInArrow(run, f"kind int, doc_id long, id {id_type}, first_word long, after_word long, other {id_type}, similarity double, places binary")
 
 
-def _pairs(hits: DataFrame) -> DataFrame:
-    """Each member of a key with the key's least member, one row for a pair of documents with its anchors, place in one and in the other.
+def _pairs(hits: DataFrame, spread: bool = False) -> DataFrame:
+    """Each member of a key with the key's least member, one row for a pair of documents with its anchors, place in one and in the other, each once.
 
-    The least is that of a fixed hash of the document, so that one document is the least of all keys of a group. All
-    that is aggregated has a fixed width. ``hits`` is a written table; keys with more than 1 / ``_HOT_KEYS`` of its rows
-    are at most that many, so their least members come by broadcast and no task gets all rows of such a key.
+    ``hits`` is a written table of ``_windows``. The least members of bundles meet by key; the least of all goes back to each bundle.
+    A document is in one bundle, or with ``spread`` in several, whose anchors are then put together.
     """
-    rank = F.call_function("shiftleft", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 39) - 1)), F.lit(24)).bitwiseOR(F.least(F.col("centre"), F.lit((1 << 24) - 1)).cast("long"))
-    ranked = hits.withColumn("rank", rank)
-    least = ranked.groupBy("key").agg(F.min_by("doc_id.id", "rank").alias("id"), F.min_by("doc_id.text", "rank").alias("text"), F.min_by("centre", "rank").alias("m"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count(F.lit(1)).alias("n"))
-    least = written(least.filter(F.shiftright("lo", 24) != F.shiftright("hi", 24)).select("key", F.struct("id", "text").alias("other"), "m", "n"), "least")
-    hot_rows = max(_HOT_ROWS, hits.count() // _HOT_KEYS)
-    hot, others = F.broadcast(least.filter(F.col("n") > hot_rows).drop("n")), least.filter(F.col("n") <= hot_rows).drop("n")
-    if least.filter(F.col("n") > hot_rows).isEmpty():
-        joined = hits.join(others.hint("merge"), "key")
-    else:
-        joined = hits.join(hot, "key", "left_anti").join(others.hint("merge"), "key").unionByName(hits.join(hot, "key"))
-    joined = joined.filter("doc_id <> other")
-    anchor = F.call_function("shiftleft", F.col("centre").cast("long"), F.lit(32)).bitwiseOR(F.col("m").cast("long"))
-    return joined.groupBy("doc_id", "other").agg(F.collect_list(anchor).alias("anchors"))
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, doc, centre = (_numbers(batch.column(k).slice(row, 1), kind)[0] for k, kind in ((1, np.uint64), (2, np.int64), (3, np.int32)))
+                part, bounds = _in_parts(key)
+                bundle = pa.array(np.full(len(part), batch.column(0)[row].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(part), bundle, _binary(key, bounds), _binary(doc, bounds), _binary(centre, bounds)], names=["part", "bundle", "keys", "doc", "centre"])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_parts(batches):
+            key, bounds = _numbers(batch.column(2), np.uint64)
+            (doc, _), (centre, _) = _numbers(batch.column(3), np.int64), _numbers(batch.column(4), np.int32)
+            order = np.lexsort((_rank(doc, centre), key))
+            first = _starts(key[order])
+            of = np.empty(len(key), np.int64)
+            of[order] = np.repeat(order[first], np.diff(np.append(first, len(key))))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), _binary(doc[of], bounds), _binary(centre[of], bounds)], names=["bundle", "part", "other", "m"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                starts, docs, which, centre = (_numbers(batch.column(k).slice(row, 1), kind)[0] for k, kind in ((1, np.int32), (2, np.int64), (3, np.int32), (4, np.int32)))
+                back = batch.column(5).slice(row, 1).flatten()
+                back = back.take(pa.array(np.argsort(back.field("part").to_numpy())))
+                sizes = np.diff(np.append(starts, len(which)))
+                other, m = (np.repeat(_numbers(back.field(name), kind)[0], sizes) for name, kind in (("other", np.int64), ("m", np.int32)))
+                pair = np.flatnonzero(docs[which] != other)
+                which, other, anchor = which[pair], other[pair], (centre[pair].astype(np.int64) << 32) | m[pair]
+                order = np.lexsort((anchor, other, which))
+                which, other, anchor = which[order], other[order], anchor[order]
+                # an anchor that several keys make is one
+                new = np.ones(len(which), bool)
+                new[1:] = (which[1:] != which[:-1]) | (other[1:] != other[:-1]) | (anchor[1:] != anchor[:-1])
+                which, other, anchor = which[new], other[new], anchor[new]
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(which)), bool), (which[1:] != which[:-1]) | (other[1:] != other[:-1]))))
+                yield pa.RecordBatch.from_arrays([pa.array(docs[which[first]]), pa.array(other[first]), _binary(anchor, np.append(first, len(which)))], names=["doc_id", "other", "anchors"])
+
+    sent = hits.select("bundle", "keys", "least", "least_centre").mapInArrow(out, "part int, bundle long, keys binary, doc binary, centre binary")
+    back = _together(sent).mapInArrow(least, "bundle long, part int, other binary, m binary")
+    back = back.groupBy("bundle").agg(F.collect_list(F.struct("part", "other", "m")).alias("back"))
+    pairs = hits.select("bundle", "starts", "docs", "doc", "centre").join(back.hint("merge"), "bundle").mapInArrow(joined, "doc_id long, other long, anchors binary")
+    if not spread:
+        return pairs
+    one = F.aggregate("anchors", F.lit(b""), lambda x, y: F.concat(x, y))
+    return pairs.groupBy("doc_id", "other").agg(F.collect_list("anchors").alias("anchors")).select("doc_id", "other", one.alias("anchors"))
 
 
 def _arrays(source: DataFrame, ids: DataFrame) -> DataFrame:
     """Shingles, 32 bits each, of the documents in ``ids``, once each."""
-    id_type = source.schema["doc_id"].dataType.simpleString()
+    id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,20 +556,31 @@ def _arrays(source: DataFrame, ids: DataFrame) -> DataFrame:
                 h, at = shingles(found.hashes, found.first, SHINGLE)
                 low = (h >> np.uint64(32)).astype(np.uint32)
                 out += [low[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "id", "shingles"])
+
+    wanted = source.join(maybe_broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "id")
+    return wanted.mapInArrow(run, f"doc_id long, id {id_type}, shingles binary")
 
-    wanted = source.join(maybe_broadcast(ids), "doc_id", "left_semi")
-    # rows that repeat, id and text, are rare, so only they are brought together
-    repeated = written(source.select("doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-rows")
-    if not repeated.isEmpty():
+
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, id) of every document once; doc_id is a number of the id and the text, as an id may stand for several texts."""
+    text = F.col(text_col).cast("string")
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("of"), text.alias("text"))
+    for seed in itertools.count():
+        source = rows.withColumn("doc_id", F.xxhash64("of", *[F.lit(seed)] * (seed > 0)))
+        # rows that repeat, id and text, are rare, so only they are brought together
+        repeated = written(source.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-rows")
+        if repeated.isEmpty():
+            return source.select("doc_id", "text", F.col("of.id").alias("id"))
         again = maybe_broadcast(repeated)
-        wanted = wanted.join(again, "doc_id", "left_anti").unionByName(wanted.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return wanted.mapInArrow(run, f"doc_id {id_type}, shingles binary")
+        once = source.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "of"])
+        if once.groupBy("doc_id").count().filter("count > 1").isEmpty():  # else two documents have one number: numbers anew
+            return source.join(again, "doc_id", "left_anti").unionByName(once).select("doc_id", "text", F.col("of.id").alias("id"))
 
 
 def _around(anchors: DataFrame, arrays: DataFrame) -> DataFrame:
     """Each document with its anchors, as ``_verify`` gives them for a batch, and its shingles."""
-    return anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places")).join(arrays.hint("merge"), "doc_id").select("doc_id", "places", "shingles")
+    return anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places")).join(arrays.hint("merge"), "doc_id").select("doc_id", "places", "shingles", "id")
 
 
 def _anchored(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -475,25 +638,26 @@ def flank_keys(h: np.ndarray, c: np.ndarray, width: int, dense: np.ndarray | Non
 
 
 def _near(around: DataFrame, width: int, dense=None) -> DataFrame:
-    """(key, doc_id, centre) of ``passage_minima`` and ``flank_keys`` of the anchors that are left, or without ``dense``, the
-    filter of repeated keys of flanks, h of the flanks alone."""
-    id_type = around.schema["doc_id"].dataType.simpleString()
+    """``_windows`` of ``passage_minima`` and ``flank_keys`` of the anchors that are left, or without ``dense``, the
+    filter of repeated keys of flanks, ``_once_each`` of the flanks alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for ids, h, at, owner, places, left in _anchored(batch):
-                owner, places = owner[left], places[left]
+                ids, owner, places = ids.to_numpy(), owner[left], places[left]
                 for k in range(0, len(places), _LEFT):
                     c, first, last = places[k : k + _LEFT], at[owner[k : k + _LEFT]], at[owner[k : k + _LEFT] + 1]
                     key, centre = flank_keys(h, c, width, None if dense is None else dense.value, first, last)
                     if dense is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["h"])
+                        yield key, None
                         continue
                     key, centre = (np.concatenate(x) for x in zip((key, centre), passage_minima(h, first, last, c, width), strict=True))
                     text = np.searchsorted(at, centre, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(text)), pa.array((centre - at[text]).astype(np.int32))], names=["key", "doc_id", "centre"])
+                    yield key, ids[text], centre - at[text]
 
-    return around.mapInArrow(run, "h long" if dense is None else f"key long, doc_id {id_type}, centre int")
+    if dense is None:
+        return around.mapInArrow(lambda batches: _once_each(found(batches)), "part int, h binary, flags binary")
+    return around.mapInArrow(lambda batches: _windows(found(batches)), _WINDOWS)
 
 
 def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -533,38 +697,33 @@ def passage_keys(h: np.ndarray, first: np.ndarray, last: np.ndarray, c: np.ndarr
     return run_hashes(h, width)[starts], starts, by_left[starts]
 
 
-def _touched(keys: DataFrame) -> DataFrame:
-    """The filter of keys that occur at least twice, once around an anchor that is left."""
-    cells = keys.groupBy(word_of(F.col("h"), _FILTER_BITS).alias("__word"), bits_of(F.col("h")).alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
-    return cells.filter("n > 1 AND left").groupBy("__word").agg(F.bit_or("bits").alias("__filter_word"))
-
-
 def _whole(around: DataFrame, width: int) -> DataFrame:
-    """(key, doc_id, centre) of the passages of full length around anchors that occur, as they are, at least twice; centre is the start."""
-    id_type = around.schema["doc_id"].dataType.simpleString()
+    """``_windows`` of the passages of full length around anchors that occur, as they are, at least twice; centre is the start."""
     spark = around.sparkSession
 
     def scan(stretches, passages) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
                 for ids, h, at, owner, c, left in _anchored(batch):
                     if stretches is None:
                         for key, which in stretch_keys(h, at[owner], at[owner + 1], c, width):
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left[which])], names=["h", "left"])
+                            yield key, left[which]
                         continue
                     key, start, by_left = passage_keys(h, at[owner], at[owner + 1], c, left, width, stretches.value)
                     if passages is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(by_left)], names=["h", "left"])
+                        yield key, by_left
                         continue
                     hit = _in_filter(passages.value, key)
                     key, start = key[hit], start[hit]
                     text = np.searchsorted(at, start, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(text)), pa.array((start - at[text]).astype(np.int32))], names=["key", "doc_id", "centre"])
+                    yield key, ids.to_numpy()[text], start - at[text]
 
-        return around.mapInArrow(run, "h long, left boolean" if passages is None else f"key long, doc_id {id_type}, centre int")
+        if passages is None:
+            return around.mapInArrow(lambda batches: _once_each(found(batches)), "part int, h binary, flags binary")
+        return around.mapInArrow(lambda batches: _windows(found(batches)), _WINDOWS)
 
-    stretches = spark.sparkContext.broadcast(_dense(_touched(scan(None, None))))
-    return scan(stretches, spark.sparkContext.broadcast(_dense(_touched(scan(stretches, None)))))
+    stretches = spark.sparkContext.broadcast(_repeated(scan(None, None)))
+    return scan(stretches, spark.sparkContext.broadcast(_repeated(scan(stretches, None))))
 
 
 def repeated_passages(df: DataFrame, least_words: int = 50, similarity: float = 0.8, functions: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -572,10 +731,8 @@ def repeated_passages(df: DataFrame, least_words: int = 50, similarity: float =
     other_id (the least document it was found in), similarity (the best)."""
     spark = df.sparkSession
     width = least_words - SHINGLE + 1
-    text = F.col(text_col).cast("string")
-    # a document is its id and a hash of its text, as an id may stand for several texts
-    source = df.filter(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dense = spark.sparkContext.broadcast(_dense(repeated_filter(_scan(source, width, functions, None), "h", _FILTER_BITS)))
+    source = _numbered(df, id_col, text_col)
+    dense = spark.sparkContext.broadcast(_repeated(_scan(source, width, functions)))
     hits, hits_path = written_at(_scan(source, width, functions, dense), "windows")
     pairs, pairs_path = written_at(_pairs(hits), "pairs")
     drop_path(spark, hits_path)
@@ -586,14 +743,14 @@ def repeated_passages(df: DataFrame, least_words: int = 50, similarity: float =
     around = written(_around(first.filter("kind = 1"), arrays), "around")
     drop_path(spark, pairs_path)
     drop_path(spark, arrays_path)
-    flanks = spark.sparkContext.broadcast(_dense(repeated_filter(_near(around, width), "h", _FILTER_BITS)))
+    flanks = spark.sparkContext.broadcast(_repeated(_near(around, width)))
     rekeyed, rekeyed_path = written_at(_near(around, width, flanks).unionAll(_whole(around, width)), "windows")
-    again = written(_pairs(rekeyed), "pairs")
+    again = written(_pairs(rekeyed, spread=True), "pairs")
     drop_path(spark, rekeyed_path)
-    second = _verify(again, around.select("doc_id", "shingles"), width, similarity).filter("kind = 0")
-    passages = found.unionAll(second).groupBy("doc_id", "first_word", "after_word").agg(F.min("other.id").alias("other"), F.max("similarity").alias("similarity"))
+    second = _verify(again, around.select("doc_id", "id", "shingles"), width, similarity).filter("kind = 0")
+    passages = found.unionAll(second).groupBy("doc_id", "first_word", "after_word").agg(F.first("id").alias("id"), F.min("other").alias("other"), F.max("similarity").alias("similarity"))
     order = Window.partitionBy("doc_id").orderBy("first_word", "after_word")
     reach = F.max("after_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = passages.withColumn("island", F.sum(F.when(reach >= F.col("first_word"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("doc_id", "island").agg(F.min("first_word").alias("first_word"), F.max("after_word").alias("after_word"), F.min("other").alias("other"), F.max("similarity").alias("similarity"))
-    return merged.select("doc_id.id", "first_word", "after_word", "other", "similarity").toDF("doc_id", "first_word", "after_word", "other_id", "similarity")
+    merged = islands.groupBy("doc_id", "island").agg(F.first("id").alias("id"), F.min("first_word").alias("first_word"), F.max("after_word").alias("after_word"), F.min("other").alias("other"), F.max("similarity").alias("similarity"))
+    return merged.select("id", "first_word", "after_word", "other", "similarity").toDF("doc_id", "first_word", "after_word", "other_id", "similarity")
